@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The largest absolute value of the normal quantile output, the normal quantile of 1 - (1e-7 - 2**-52).
@@ -65,16 +67,31 @@ def _rational(pair, x: Column) -> Column:
     return _polynomial(pair[0], x) / _polynomial(pair[1], x)
 
 
-def normal_quantile(p: Column) -> Column:
-    """Standard normal quantile of a probability, held within +-NORMAL_BOUND at and near 0 and 1."""
+def with_normal_quantile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Probabilities become standard normal quantiles, held within +-NORMAL_BOUND at and near 0 and 1.
+
+    The distance into the tail is a column of its own: written out at each use, the expression would grow too large to plan.
+    """
+    return (
+        df.withColumns({f"{c}_tail": _tail_distance(F.col(c)) for c in columns})
+        .withColumns({c: _normal_quantile(F.col(c), F.col(f"{c}_tail")) for c in columns})
+        .drop(*[f"{c}_tail" for c in columns])
+    )
+
+
+def _tail_distance(p: Column) -> Column:
+    # The floor keeps the logarithm's argument positive; values this far out are bounded anyway.
+    return F.sqrt(-F.log(F.greatest(F.when(p < 0.5, p).otherwise(F.lit(1.0) - p), F.lit(1e-300))))
+
+
+def _normal_quantile(p: Column, r: Column) -> Column:
     q = p - F.lit(0.5)
-    tail = F.when(q < 0, p).otherwise(F.lit(1.0) - p)
-    # Keeps the logarithm's argument positive; values this far out are bounded below anyway.
-    r = F.sqrt(-F.log(F.greatest(tail, F.lit(1e-300))))
     outer = F.when(r <= 5.0, _rational(AS241_NEAR_TAIL, r - F.lit(1.6))).otherwise(
         _rational(AS241_FAR_TAIL, r - F.lit(5.0))
     )
     value = F.when(F.abs(q) <= 0.425, q * _rational(AS241_CENTRE, F.lit(0.180625) - q * q)).otherwise(
         F.when(q < 0, -outer).otherwise(outer)
     )
-    return bounded(value, -NORMAL_BOUND, NORMAL_BOUND)
+    return F.when(
+        p.isNotNull(), F.least(F.greatest(value, F.lit(-NORMAL_BOUND)), F.lit(NORMAL_BOUND))
+    )

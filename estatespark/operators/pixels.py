@@ -100,13 +100,14 @@ def resize_photos(
         for batch in batches:
             done = []
             for row in batch.itertuples(index=False):
-                out = np.rint(_cut(rgb(row.data, row.height, row.width, row.n_channels), row))
+                out = np.floor(_cut(rgb(row.data, row.height, row.width, row.n_channels), row) + 0.5)
                 flat = (normalise(out) if norm_image else out.astype(np.int32)).ravel()
                 done.append((*[getattr(row, n) for n in names], out.shape[0], out.shape[1], flat))
             yield pd.DataFrame(done, columns=schema.names)
 
     with_size = with_geometry(images, target, im_size)
-    return small_batches(with_size).mapInPandas(run, schema)
+    # Arrow batches are bounded in bytes by the session (64 MB by default), whatever the photo size.
+    return with_size.mapInPandas(run, schema)
 
 
 def colour_summary() -> Callable[[np.ndarray], np.ndarray]:
@@ -138,8 +139,5 @@ def embed_photos(
             ]
             yield pd.DataFrame(rows, columns=schema.names)
 
-    return small_batches(images).mapInPandas(run, schema)
+    return images.mapInPandas(run, schema)
 
-
-def small_batches(images: DataFrame) -> DataFrame:
-    return images

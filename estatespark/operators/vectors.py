@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import PCA, ElementwiseProduct, PCAModel, StandardScaler, StandardScalerModel, VectorAssembler
+from pyspark.ml.feature import (
+    PCA,
+    ElementwiseProduct,
+    PCAModel,
+    StandardScaler,
+    StandardScalerModel,
+    VectorAssembler,
+    VectorSizeHint,
+)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
@@ -77,7 +85,15 @@ def fit_components(df: DataFrame, vector: str, n_components: int) -> Components:
     return Components(centre, model, [1.0 if s >= 0 else -1.0 for s in strongest])
 
 
-def assemble(df: DataFrame, columns: Sequence[str], output: str = "features") -> DataFrame:
-    """Blocks of columns, numbers or vectors, as one vector; missing numbers become 0."""
-    filled = df.fillna(0.0, subset=[f.name for f in df.schema.fields if f.name in columns and f.dataType.typeName() in ("double", "float")])
-    return VectorAssembler(inputCols=list(columns), outputCol=output, handleInvalid="keep").transform(filled)
+def assemble(
+    df: DataFrame, columns: Sequence[str], vector_sizes: Mapping[str, int] | None = None, output: str = "features"
+) -> DataFrame:
+    """Blocks of columns, numbers or vectors, as one vector; missing numbers become 0.
+
+    The widths of vector columns are given, so that no row has to be read to plan.
+    """
+    types = dict(df.dtypes)
+    filled = df.fillna(0.0, [c for c in columns if types[c] in ("double", "float")])
+    for column, size in (vector_sizes or {}).items():
+        filled = VectorSizeHint(inputCol=column, size=size, handleInvalid="error").transform(filled)
+    return VectorAssembler(inputCols=list(columns), outputCol=output, handleInvalid="error").transform(filled)

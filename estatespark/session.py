@@ -36,10 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session, where driver and executors are one machine, may fall back to a temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
     context = spark.sparkContext
     current = context.getCheckpointDir()
+    if configured:
+        if current is None:
+            context.setCheckpointDir(configured)
+        return configured.rstrip("/")
     if current:
         return current.rstrip("/")
     if not context.master.startswith("local"):

@@ -85,6 +85,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str, *names: str) -> str:
     """`sql` for the checking database, preceded by the views it reads."""
+    if not names:
+        return sql.strip()
     wanted: list[str] = []
     for name in names:
         for need in (*[n for n in NEEDS[name] if n in VIEWS], name):
