@@ -87,11 +87,11 @@ def resize_geometry(spark, sf):
 
 
 _RESIZED = f"""with {DRAWN}, g as (select *, {_GEOMETRY.format(t=TARGET)} from drawn), m as (select *, {_MARGINS.format(t=TARGET)} from g),
- at as (select photo_no, listing_id, split, height, width, c, y, x,
+ spots as (select photo_no, listing_id, split, height, width, c, y, x,
   least(greatest((y-pad_top+0.5e0)*(cast(height as double)/new_height)-0.5e0,0),height-1) as sy,
   least(greatest((x-pad_left+0.5e0)*(cast(width as double)/new_width)-0.5e0,0),width-1) as sx
   from m, (select unnest(range({TARGET})) as y), (select unnest(range({TARGET})) as x), (select unnest(range(3)) as c)),
- near as (select *, cast(floor(sy) as bigint) as y0, cast(floor(sx) as bigint) as x0 from at),
+ near as (select *, cast(floor(sy) as bigint) as y0, cast(floor(sx) as bigint) as x0 from spots),
  edge as (select *, least(y0+1,height-1) as y1, least(x0+1,width-1) as x1, sy-y0 as ay, sx-x0 as ax from near),
  resized as (select photo_no, listing_id, split, c, (y*{TARGET}+x)*3+c as position,
   floor(({PIXEL.format(x='x0', y='y0')}*(1-ax)+{PIXEL.format(x='x1', y='y0')}*ax)*(1-ay)
