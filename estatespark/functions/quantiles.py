@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from estatespark.session import as_table
+from estatespark.session import as_table, joinable
 
 # Groups of up to this many rows are handed to `percentile`.
 DIRECT_ROWS = 1_000_000
@@ -29,38 +29,38 @@ def quantiles_by_group(
     probabilities: Sequence[float],
     group_rows: DataFrame,
     direct_rows: int = DIRECT_ROWS,
+    weight: str | None = None,
 ) -> DataFrame:
     """(keys, quantiles array) with linear interpolation between neighbouring ranks.
 
-    `group_rows` is a written table of (keys, n): the number of non-missing values of each group. Rows whose key or value
-    is missing are left out.
+    `group_rows` is a written table of (keys, n): the number of rows of each group in `df`. A row stands for `weight` equal
+    values, if given. Rows whose key or value is missing are left out.
     """
-    present = df.select(*keys, value).dropna()
+    repeats = F.lit(1) if weight is None else F.col(weight)
+    present = df.select(*keys, F.col(value).cast("double").alias("v"), repeats.cast("bigint").alias("repeats")).dropna()
     large = group_rows.where(F.col("n") > direct_rows).select(*keys)
     if large.isEmpty():
-        return _direct(present, keys, value, probabilities)
-    # At most (all rows / direct_rows) rows; as a written table its size decides the join.
-    large = as_table(large, "large-groups")
-    small_part = _direct(present.join(large, list(keys), "left_anti"), keys, value, probabilities)
-    large_part = narrowed_quantiles(present.join(large, list(keys), "left_semi"), keys, value, probabilities)
+        return _direct(present, keys, probabilities)
+    # At most (all rows / direct_rows) rows.
+    large = joinable(as_table(large, "large-groups"))
+    small_part = _direct(present.join(large, list(keys), "left_anti"), keys, probabilities)
+    large_part = _narrowed(present.join(large, list(keys), "left_semi"), list(keys), probabilities)
     return small_part.unionByName(large_part)
 
 
-def _direct(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+def _direct(rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     points = F.array(*[F.lit(float(p)) for p in probabilities])
-    return df.groupBy(*keys).agg(F.percentile(value, points).alias("quantiles"))
+    return rows.groupBy(*keys).agg(F.percentile("v", points, F.col("repeats")).alias("quantiles"))
 
 
-def narrowed_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
-    """The counting way, for groups of any size. `df` is read twice."""
-    keys = list(keys)
-    v = F.col("v")
-    rows = df.select(*keys, F.col(value).cast("double").alias("v")).dropna()
+def _narrowed(rows: DataFrame, keys: list[str], probabilities: Sequence[float]) -> DataFrame:
+    """The counting way, for groups of any size. `rows` (keys, v, repeats) is read twice."""
+    v, count = F.col("v"), F.sum("repeats").alias("w")
 
     # A group has at most 2 * 710 * LOG_CELLS cells whatever its row count, so the windows over cells are bounded.
     rows = rows.withColumn("cell", F.signum(v).cast("bigint") * F.floor(F.log1p(F.abs(v)) * LOG_CELLS))
     cells = as_table(
-        rows.groupBy(*keys, "cell").agg(F.count(v).alias("w"), F.min(v).alias("low"), F.max(v).alias("high")),
+        rows.groupBy(*keys, "cell").agg(count, F.min(v).alias("low"), F.max(v).alias("high")),
         "quantile-cells",
     )
     ranks = as_table(_place(_ranks(cells, keys, probabilities), cells, keys, "cell"), "quantile-ranks")
@@ -68,15 +68,15 @@ def narrowed_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabili
     wanted = cells.drop("w").join(ranks.select(*keys, "cell").distinct(), [*keys, "cell"])
     width = F.col("high") - F.col("low")
     sub_cell = F.coalesce(F.floor(F.try_divide(v - F.col("low"), width) * SUB_CELLS), F.lit(0))
-    rows = rows.join(as_table(wanted, "quantile-cells"), [*keys, "cell"]).select(*keys, "cell", "v", sub_cell.alias("sub_cell"))
+    rows = rows.join(joinable(as_table(wanted, "quantile-cells")), [*keys, "cell"])
     # A small share of the rows: those that lie in a cell with a wanted rank.
-    rows = as_table(rows, "quantile-rows")
-    sub_cells = rows.groupBy(*keys, "cell", "sub_cell").agg(F.count(v).alias("w"))
+    rows = as_table(rows.select(*keys, "cell", "v", "repeats", sub_cell.alias("sub_cell")), "quantile-rows")
+    sub_cells = rows.groupBy(*keys, "cell", "sub_cell").agg(count)
     ranks = as_table(_place(ranks, sub_cells, [*keys, "cell"], "sub_cell"), "quantile-ranks")
 
     # What is left of a group is the distinct values of a few narrow cells.
     spot = [*keys, "cell", "sub_cell"]
-    values = rows.join(ranks.select(*spot).distinct(), spot).groupBy(*spot, "v").agg(F.count("*").alias("w"))
+    values = rows.join(ranks.select(*spot).distinct(), spot).groupBy(*spot, "v").agg(count)
     ranks = _place(ranks, values, spot, "v")
 
     lower, upper, share = F.max(F.when(F.col("side") == 0, v)), F.max(F.when(F.col("side") == 1, v)), F.max("share")

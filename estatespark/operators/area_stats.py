@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from estatespark.functions import quantiles
 from estatespark.functions.numeric import safe_ratio
 from estatespark.schema import AREA_LEVELS, PRICE_STATISTICS
-from estatespark.session import as_table
+from estatespark.session import as_table, as_tables, joinable
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -47,11 +47,6 @@ def stack_levels(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.inline(areas), *columns).where(F.col("area").isNotNull())
 
 
-def area_counts(df: DataFrame) -> DataFrame:
-    """Listings per level and area, over all splits."""
-    return stack_levels(df).groupBy("level", "area").agg(F.count("*").alias("n"))
-
-
 def price_rows(df: DataFrame, fit_rows: Column) -> DataFrame:
     """(level, area, property_type, price_m2) of fit listings, nothing missing."""
     usable = fit_rows & F.col("price_m2").isNotNull() & F.col("property_type").isNotNull()
@@ -59,70 +54,68 @@ def price_rows(df: DataFrame, fit_rows: Column) -> DataFrame:
 
 
 def price_moments(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*GROUP).agg(*_moments())
-
-
-def price_quantiles(rows: DataFrame, group_rows: DataFrame, direct_rows: int = quantiles.DIRECT_ROWS) -> DataFrame:
-    points = quantiles.quantiles_by_group(rows, GROUP, "price_m2", QUARTILES, group_rows, direct_rows)
-    return points.select(*GROUP, *_quartiles())
-
-
-def price_statistics(rows: DataFrame, counts: DataFrame, direct_rows: int = quantiles.DIRECT_ROWS) -> DataFrame:
-    """Mean, quartiles and deviation per group. `counts` bounds the group sizes and so decides the way."""
-    if counts.where(F.col("n") > direct_rows).isEmpty():
-        points = F.percentile("price_m2", F.array(*[F.lit(p) for p in QUARTILES])).alias("quantiles")
-        return rows.groupBy(*GROUP).agg(*_moments(), points).select(*GROUP, "n", "mean", "std", *_quartiles())
-    moments = as_table(price_moments(rows), "price-moments")
-    return moments.join(price_quantiles(rows, moments.select(*GROUP, "n"), direct_rows), list(GROUP), "left")
-
+    """Rows of any split, and count, mean and sample deviation of the prices, per group.
 
-def _moments() -> list[Column]:
-    """These combine before the shuffle, so a hot area costs nothing extra."""
+    All of these combine before the shuffle, so a hot area costs nothing extra.
+    """
     value = F.col("price_m2")
-    return [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")]
+    return rows.groupBy(*GROUP).agg(
+        F.count("*").alias("listings"),
+        F.count(value).alias("n"),
+        F.avg(value).alias("mean"),
+        F.stddev_samp(value).alias("std"),
+    )
 
 
-def _quartiles() -> list[Column]:
-    return [F.col("quantiles")[i].alias(name) for i, name in enumerate(("p25", "p50", "p75"))]
+def price_quantiles(rows: DataFrame, group_rows: DataFrame, direct_rows: int = quantiles.DIRECT_ROWS) -> DataFrame:
+    points = quantiles.quantiles_by_group(rows, GROUP, "price_m2", QUARTILES, group_rows, direct_rows)
+    quartiles = [F.col("quantiles")[i].alias(name) for i, name in enumerate(("p25", "p50", "p75"))]
+    return points.select(*GROUP, *quartiles)
 
 
 @dataclass(frozen=True)
 class AreaStatistics:
-    """Fitted statistics; every member is a written table whose size is known when it is joined."""
+    """Fitted statistics, ready to join: (postal_code, density), (department, density) and one table per level."""
 
     postal: DataFrame
     departments: DataFrame
-    prices: DataFrame
+    prices: Mapping[str, DataFrame]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return join_price_statistics(join_densities(df, self.postal, self.departments), self.prices)
-
-
-def join_price_statistics(df: DataFrame, prices: DataFrame, levels: Sequence[str] = tuple(AREA_LEVELS)) -> DataFrame:
-    """Left joins of the levels' statistics under their public names."""
-    for level in levels:
-        column = AREA_LEVELS[level]
-        one_level = prices.where(F.col("level") == level).select(
-            F.col("area").cast(df.schema[column].dataType).alias(column),
-            "property_type",
-            *[F.col(stat).alias(name.format(level)) for stat, name in PRICE_STATISTICS.items()],
-        )
-        df = df.join(one_level, [column, "property_type"], "left")
-    return df
+        df = join_densities(df, self.postal, self.departments)
+        for level, table in self.prices.items():
+            df = df.join(table, [AREA_LEVELS[level], "property_type"], "left")
+        return df
 
 
 def fit_area_statistics(df: DataFrame, fit_rows: Column, direct_rows: int = quantiles.DIRECT_ROWS) -> AreaStatistics:
-    """`df` needs department and price_m2. Densities count all rows, price statistics only `fit_rows`."""
-    counts = as_table(area_counts(df), "area-counts")
-    prices = price_statistics(price_rows(df, fit_rows), counts, direct_rows)
+    """`df` needs department and price_m2. Densities count all rows, price statistics only `fit_rows`.
+
+    One scan gives densities, means and deviations, one more the quartiles.
+    """
+    masked = df.withColumn("price_m2", F.when(fit_rows, F.col("price_m2")))
+    moments = as_table(price_moments(stack_levels(masked, "property_type", "price_m2")), "price-moments")
+    spread = price_quantiles(price_rows(df, fit_rows), moments.select(*GROUP, "n"), direct_rows)
+    statistics = moments.where((F.col("n") > 0) & F.col("property_type").isNotNull()).join(spread, list(GROUP), "left")
+    by_level = as_tables(statistics.drop("listings", "n"), "price-statistics", "level", list(AREA_LEVELS))
     return AreaStatistics(
-        _density(counts, "zipcode", df, "density"),
-        _density(counts, "deptcode", df, "density_department"),
-        as_table(prices, "price-statistics", partition_by="level"),
+        _density(moments, "zipcode", df, "density"),
+        _density(moments, "deptcode", df, "density_department"),
+        {level: _named(table, level, df) for level, table in by_level.items()},
     )
 
 
-def _density(counts: DataFrame, level: str, df: DataFrame, name: str) -> DataFrame:
+def _area(level: str, df: DataFrame) -> Column:
     column = AREA_LEVELS[level]
-    area = F.col("area").cast(df.schema[column].dataType).alias(column)
-    return counts.where(F.col("level") == level).select(area, F.col("n").alias(name))
+    return F.col("area").cast(df.schema[column].dataType).alias(column)
+
+
+def _density(moments: DataFrame, level: str, df: DataFrame, name: str) -> DataFrame:
+    """Groups of one area differ in the property type only."""
+    counts = moments.where(F.col("level") == level).groupBy("area").agg(F.sum("listings").alias(name))
+    return joinable(as_table(counts.select(_area(level, df), name), "density"))
+
+
+def _named(table: DataFrame, level: str, df: DataFrame) -> DataFrame:
+    statistics = [F.col(stat).alias(name.format(level)) for stat, name in PRICE_STATISTICS.items()]
+    return joinable(table.select(_area(level, df), "property_type", *statistics))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from estatespark.schema import CATEGORICAL, CONTINUOUS
-from estatespark.session import as_table, as_tables
+from estatespark.session import as_table, fresh_path, joinable
 
 # Values are ranked inside groups of equal beginnings, so that a large vocabulary is not sorted by one task.
 HEAD_LENGTH = 3
@@ -110,12 +110,21 @@ def rank_values(values: DataFrame) -> DataFrame:
 
 
 def fit_ordinal(df: DataFrame, columns: Sequence[str] = CATEGORICAL, unknown: str = "minus_one") -> OrdinalCodes:
+    """One scan of `df`."""
     if unknown not in ("minus_one", "count"):
         raise ValueError("unknown must be 'minus_one' or 'count'")
-    ranked = as_table(rank_values(category_values(df, columns)), "category-codes")
-    sizes = {row["column"]: row["n"] for row in ranked.groupBy("column").agg(F.count("*").alias("n")).collect()}
     # One table per column: each join is decided by the size of its own dictionary.
-    dictionaries = as_tables(ranked, "dictionary", "column", list(sizes))
+    path = fresh_path(df.sparkSession, "dictionary")
+    rank_values(category_values(df, columns)).write.partitionBy("column").parquet(path)
+    return read_codes(df.sparkSession, path, columns, unknown)
+
+
+def read_codes(spark: SparkSession, path: str, columns: Sequence[str], unknown: str) -> OrdinalCodes:
+    """Dictionaries written as one folder per column."""
+    schema = "value string, code bigint"
+    written = spark.read.schema(f"column string, {schema}").parquet(path)
+    sizes = {row["column"]: row["n"] for row in written.groupBy("column").agg(F.count("*").alias("n")).collect()}
+    dictionaries = {c: joinable(spark.read.schema(schema).parquet(f"{path}/column={c}"), n) for c, n in sizes.items()}
     return OrdinalCodes(dictionaries, {c: sizes.get(c, 0) for c in columns}, unknown)
 
 

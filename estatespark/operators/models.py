@@ -6,14 +6,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatespark.config import RunConfig
 from estatespark.operators import splits
-from estatespark.operators.encoding import OrdinalCodes, category_values, fit_ordinal
+from estatespark.operators.encoding import OrdinalCodes, fit_ordinal
 from estatespark.operators.projections import exp_prediction, log_target
 from estatespark.schema import CATEGORICAL, IS_TEST, KEY, TARGET
 from estatespark.session import as_table
@@ -26,65 +26,58 @@ VALIDATION = "is_validation"
 MAX_BINS = 64
 
 
-def _category_counts(df: DataFrame, categorical: Sequence[str]) -> dict[str, int]:
-    counted = category_values(df, categorical).groupBy("column").agg(F.count("*").alias("n")).collect()
-    found = {row["column"]: row["n"] for row in counted}
-    return {c: found.get(c, 0) for c in categorical}
-
-
 @dataclass(frozen=True)
 class Encoder:
     """Category and number columns as one vector, fitted on the fit rows."""
 
+    codes: OrdinalCodes
     stages: PipelineModel
-    codes: OrdinalCodes | None
-    inputs: tuple[str, ...]
+    continuous: tuple[str, ...]
     names: tuple[str, ...]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        keep = df.columns
-        filled = df.fillna(0.0, [c for c in self.inputs if dict(df.dtypes)[c] in ("double", "float")])
-        if self.codes is not None:
-            filled = self.codes.transform(filled, suffix="_code")
-            filled = filled.withColumns({f"{c}_code": F.col(f"{c}_code").cast("double") for c in self.codes.sizes})
-        return self.stages.transform(filled).select(*keep, FEATURES)
+        return self.stages.transform(_numbers(df, self.codes, self.continuous)).select(*df.columns, FEATURES)
+
+
+def _numbers(df: DataFrame, codes: OrdinalCodes, continuous: Sequence[str]) -> DataFrame:
+    """Missing numbers filled with 0, codes of the large categories added."""
+    filled = codes.transform(df.fillna(0.0, list(continuous)), suffix="_code")
+    return filled.withColumns({f"{c}_code": F.col(f"{c}_code").cast("double") for c in codes.sizes})
 
 
 def fit_encoder(
     df: DataFrame, continuous: Sequence[str], categorical: Sequence[str] = CATEGORICAL, one_hot_max_size: int = 8
 ) -> Encoder:
-    """One-hot up to `one_hot_max_size` categories, nominal codes up to MAX_BINS, sorted codes as numbers above."""
-    counts = _category_counts(df, categorical)
-    small = [c for c in categorical if counts[c] <= one_hot_max_size]
-    middle = [c for c in categorical if one_hot_max_size < counts[c] < MAX_BINS]
-    large = [c for c in categorical if counts[c] >= MAX_BINS]
-    stages, blocks = [], []
-    if small + middle:
-        stages.append(
-            StringIndexer(
-                inputCols=small + middle,
-                outputCols=[f"{c}_index" for c in small + middle],
-                stringOrderType="alphabetAsc",
-                handleInvalid="keep",
-            )
-        )
+    """One-hot up to `one_hot_max_size` categories, nominal codes up to MAX_BINS, sorted codes as numbers above.
+
+    One scan of `df`, for the category dictionaries.
+    """
+    codes = fit_ordinal(df, categorical)
+    small = [c for c in categorical if codes.sizes[c] <= one_hot_max_size]
+    middle = [c for c in categorical if one_hot_max_size < codes.sizes[c] < MAX_BINS]
+    large = OrdinalCodes(
+        codes.dictionaries, {c: codes.sizes[c] for c in categorical if codes.sizes[c] >= MAX_BINS}, codes.unknown
+    )
+    stages = []
+    for c in small + middle:
+        # At most MAX_BINS labels come to the driver.
+        stages.append(StringIndexerModel.from_labels(_labels(codes, c), c, f"{c}_index", handleInvalid="keep"))
     if small:
+        # The indexer's last index stands for values unseen in the fit, so every index has a slot.
         stages.append(
-            OneHotEncoder(
-                inputCols=[f"{c}_index" for c in small], outputCols=[f"{c}_hot" for c in small], handleInvalid="keep"
-            )
+            OneHotEncoder(inputCols=[f"{c}_index" for c in small], outputCols=[f"{c}_hot" for c in small], dropLast=False)
         )
-    blocks += [f"{c}_hot" for c in small] + [f"{c}_index" for c in middle] + [f"{c}_code" for c in large] + list(continuous)
-    stages.append(VectorAssembler(inputCols=blocks, outputCol=FEATURES, handleInvalid="error"))
-    codes = fit_ordinal(df, large) if large else None
-    sample = df.fillna(0.0, [c for c in continuous])
-    if codes is not None:
-        sample = codes.transform(sample, suffix="_code")
-        sample = sample.withColumns({f"{c}_code": F.col(f"{c}_code").cast("double") for c in large})
-    fitted = Pipeline(stages=stages).fit(sample)
-    # A one-hot block has one slot per category and one for values unseen in the fit.
-    names = [c for c in small for _ in range(counts[c] + 1)] + middle + large + list(continuous)
-    return Encoder(fitted, codes, tuple(continuous), tuple(names))
+    blocks = [f"{c}_hot" for c in small] + [f"{c}_index" for c in middle] + [f"{c}_code" for c in large.sizes]
+    stages.append(VectorAssembler(inputCols=blocks + list(continuous), outputCol=FEATURES, handleInvalid="error"))
+    fitted = Pipeline(stages=stages).fit(_numbers(df, large, continuous))
+    names = [c for c in small for _ in range(codes.sizes[c] + 1)] + middle + list(large.sizes) + list(continuous)
+    return Encoder(large, fitted, tuple(continuous), tuple(names))
+
+
+def _labels(codes: OrdinalCodes, column: str) -> list[str]:
+    if column not in codes.dictionaries:
+        return []
+    return [row["value"] for row in codes.dictionaries[column].orderBy("code").collect()]
 
 
 @dataclass(frozen=True)
@@ -100,7 +93,7 @@ class PriceModel:
     def importances(self, spark) -> DataFrame:
         """(feature, importance), slots of one source column added up."""
         total: dict[str, float] = {}
-        for name, value in zip(self.encoder.names, self.trees.featureImportances.toArray()):
+        for name, value in zip(self.encoder.names, self.trees.featureImportances.toArray(), strict=True):
             total[name] = total.get(name, 0.0) + float(value)
         return spark.createDataFrame(list(total.items()), "feature string, importance double")
 

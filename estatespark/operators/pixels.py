@@ -92,7 +92,7 @@ def resize_photos(
     schema = T.StructType(
         passed
         + [T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType())]
-        + [T.StructField("pixels", T.ArrayType(T.DoubleType() if norm_image else T.IntegerType()))]
+        + [T.StructField("pixels", T.ArrayType(T.FloatType() if norm_image else T.ShortType()))]
     )
     names = [f.name for f in passed]
 
@@ -101,7 +101,7 @@ def resize_photos(
             done = []
             for row in batch.itertuples(index=False):
                 out = np.floor(_cut(rgb(row.data, row.height, row.width, row.n_channels), row) + 0.5)
-                flat = (normalise(out) if norm_image else out.astype(np.int32)).ravel()
+                flat = (normalise(out).astype(np.float32) if norm_image else out.astype(np.int16)).ravel()
                 done.append((*[getattr(row, n) for n in names], out.shape[0], out.shape[1], flat))
             yield pd.DataFrame(done, columns=schema.names)
 

@@ -59,7 +59,12 @@ def run_trees(
     """`labels` are pseudo labels (key, price, uncertainty) of test rows."""
     table, continuous = model_table(listings, config, image_features)
     # Every fold fit and the scoring read the prepared rows.
-    table = as_table(table, "prepared")
+    return fit_and_score(as_table(table, "prepared"), continuous, config, labels, run)
+
+
+def fit_and_score(
+    table: DataFrame, continuous: list[str], config: RunConfig, labels: DataFrame | None = None, run: str = "run"
+) -> TreeRun:
     known = table.where(~F.col(IS_TEST))
     validation = splits.is_holdout(config.valid_size, config.seed) & ~F.col(IS_TEST)
     if labels is not None:
@@ -73,10 +78,12 @@ def run_trees(
 def pseudo_label_rounds(
     listings: DataFrame, config: RunConfig = RunConfig(), rounds: int = 1, image_features: DataFrame | None = None
 ) -> TreeRun:
-    """A run without pseudo labels, then runs on the labels of the run before."""
-    result = run_trees(listings, config, image_features, run="round_0")
+    """A run without pseudo labels, then runs on the labels of the run before. The rows are prepared once."""
+    table, continuous = model_table(listings, config, image_features)
+    table = as_table(table, "prepared")
+    result = fit_and_score(table, continuous, config, run="round_0")
     for i in range(rounds):
         scored = result.scored.select(KEY, "postal_code", TARGET, "prediction", IS_TEST)
-        labels = as_table(pseudo_labels.pseudo_labels(scored), "pseudo-labels")
-        result = run_trees(listings, config, image_features, labels, run=f"round_{i + 1}")
+        labels = as_table(pseudo_labels.pseudo_labels(as_table(scored, "scored")), "pseudo-labels")
+        result = fit_and_score(table, continuous, config, labels, f"round_{i + 1}")
     return result

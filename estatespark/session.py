@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Written tables of up to this many narrow rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def build_session(app: str = "estatespark", master: str | None = None, **settings) -> SparkSession:
@@ -58,9 +62,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def as_table(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write `df` to the shared folder once and return the written table.
 
-    Cuts the lineage, so a lost executor re-reads files instead of recomputing, and gives Catalyst the true size:
-    it broadcasts the table in a later join only below `spark.sql.autoBroadcastJoinThreshold` and otherwise
-    shuffles both sides, with skewed partitions split at run time.
+    Cuts the lineage, so a lost executor re-reads files instead of recomputing, and makes the table's size known.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
@@ -69,6 +71,16 @@ def as_table(df: DataFrame, label: str, partition_by: str | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joinable(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """A written table, marked for broadcasting if its row count allows it.
+
+    Counting a parquet table reads footers only. Without the mark Spark shuffles both sides and splits skewed partitions
+    at run time, so a join is whole for any size.
+    """
+    count = table.count() if rows is None else rows
+    return F.broadcast(table) if count <= BROADCAST_ROWS else table
+
+
 def as_tables(df: DataFrame, label: str, column: str, names: list[str]) -> dict[str, DataFrame]:
     """Like `as_table`, as one table per value of `column`, each with its own known size."""
     spark = df.sparkSession

@@ -57,6 +57,13 @@ def importances(spark, sf):
     return models.fit_fold_ensemble(rows, CONTINUOUS, RunConfig(max_depth=4), _validation()).importances(spark)
 
 
+@check("importance_sorted")
+def importance_sorted(spark, sf):
+    rows = _prepared(spark, sf).where(f"not {IS_TEST}")
+    model = models.fit_price_model(rows, CONTINUOUS, RunConfig(max_depth=4))
+    return model.importances(spark).orderBy(F.desc("importance"), "feature")
+
+
 @check("batch_score")
 def batch_score(spark, sf):
     rows = _prepared(spark, sf)

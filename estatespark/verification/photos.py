@@ -114,12 +114,13 @@ _STD = "case c when 0 then 0.229e0 when 1 then 0.224e0 else 0.225e0 end"
 
 @check(
     "pixel_normalize",
-    _RESIZED + f" select photo_no, cast(position as bigint) as position, round((value/255.0e0-{_MEAN})/{_STD},9) as value from resized",
+    _RESIZED + f" select photo_no, cast(position as bigint) as position, round(cast(cast((value/255.0e0-{_MEAN})/{_STD} as float) as double),5) as value from resized",
     views=(),
 )
 def pixel_normalize(spark, sf):
     images = drawn_photos(spark, sf).drop("listing_id", "split")
-    return rounded(exploded(pixels.resize_photos(images, TARGET, norm_image=True).drop("height", "width"), "pixels"))
+    flat = exploded(pixels.resize_photos(images, TARGET, norm_image=True).drop("height", "width"), "pixels")
+    return rounded(flat.withColumn("value", F.col("value").cast("double")), 5)
 
 
 @check(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from estatespark.operators import area_stats, metrics, projections, pseudo_labels, sequences, splits
 from estatespark.plans.enrichment import base_features, enrich
 from estatespark.schema import CATEGORICAL, CONTINUOUS, LISTING, enrichment_columns
-from estatespark.session import as_table, fresh_path
+from estatespark.session import as_table, fresh_path, joinable
 from estatespark.sources import sinks, tables
 from estatespark.verification.registry import check, exploded, rounded
 from estatespark.verification.views import view
@@ -285,8 +285,8 @@ d2 as (select department, count(*) as density_department from base group by 1)""
 )
 def density_ratio(spark, sf):
     df = projections.add_department(_listing(spark, sf))
-    postal = as_table(area_stats.postal_density(df), "density")
-    departments = as_table(area_stats.department_density(df), "density-department")
+    postal = joinable(as_table(area_stats.postal_density(df), "density"))
+    departments = joinable(as_table(area_stats.department_density(df), "density-department"))
     joined = area_stats.join_densities(df, postal, departments)
     return rounded(joined.select("listing_id", "density", "density_department", "density_ratio"))
 
@@ -307,7 +307,7 @@ def _price_rows(spark, sf):
     BASE + f"select level, area, property_type, count(*) as n, round(avg(price_m2),9) as mean from ({_GROUPED}) group by 1,2,3",
 )
 def price_m2_mean(spark, sf):
-    return rounded(area_stats.price_moments(_price_rows(spark, sf)).drop("std"))
+    return rounded(area_stats.price_moments(_price_rows(spark, sf)).drop("std", "listings"))
 
 
 @check(
@@ -315,7 +315,7 @@ def price_m2_mean(spark, sf):
     BASE + f"select level, area, property_type, round(stddev_samp(price_m2),9) as std from ({_GROUPED}) group by 1,2,3",
 )
 def price_m2_std(spark, sf):
-    return rounded(area_stats.price_moments(_price_rows(spark, sf)).drop("mean", "n"))
+    return rounded(area_stats.price_moments(_price_rows(spark, sf)).drop("mean", "n", "listings"))
 
 
 _QUARTILES = ", ".join(f"round(quantile_cont(price_m2,{p}),9) as p{int(100 * p)}" for p in area_stats.QUARTILES)
@@ -379,7 +379,7 @@ def size_backfill(spark, sf):
         .agg(F.avg("price_m2").alias("price_m2_type_zipcode")),
         "area-means",
     )
-    joined = base.join(means, ["postal_code", "property_type"], "left")
+    joined = base.join(joinable(means), ["postal_code", "property_type"], "left")
     return rounded(projections.backfill_size(joined, splits.is_fit()).select("listing_id", "size_clean"))
 
 

@@ -32,7 +32,7 @@ def main() -> int:
                 result = "same" if found is None else f"DIFFERENT {found}"
                 bad += found is not None
         except Exception as error:
-            result = f"FAILED {type(error).__name__}: {str(error)[:1500]}"
+            result = f"FAILED {type(error).__name__}: {str(error)[:300]}"
             bad += 1
         print(f"{name:28s} {time.time() - start:6.2f}s  {result}", flush=True)
     print(f"{len(names)} queries, {bad} not as expected")
