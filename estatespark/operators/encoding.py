@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,10 +78,19 @@ class OrdinalCodes:
     `unknown` is the code of missing and unseen values: "minus_one", or "count" for the number of known categories.
     """
 
+    table: DataFrame
     dictionaries: Mapping[str, DataFrame]
     sizes: Mapping[str, int]
     unknown: str
 
+    def only(self, columns: Sequence[str]) -> OrdinalCodes:
+        return replace(self, sizes={c: self.sizes[c] for c in columns})
+
+    def labels(self, columns: Sequence[str]) -> dict[str, list[str]]:
+        """Sorted categories on the driver, for columns known to have few."""
+        rows = self.table.where(F.col("column").isin(list(columns))).collect()
+        return {c: [r["value"] for r in sorted(rows, key=lambda r: r["code"]) if r["column"] == c] for c in columns}
+
     def transform(self, df: DataFrame, suffix: str = "") -> DataFrame:
         """Codes replace the categories, or go to columns with `suffix`."""
         for column, size in self.sizes.items():
@@ -100,6 +109,7 @@ class OrdinalCodes:
 
 def rank_values(values: DataFrame) -> DataFrame:
     """(column, value, code) with codes 0.. in the byte order of the values."""
+    # Written, because the two uses below would each scan the rows that the values come from.
     values = as_table(values.withColumn("head", F.substring("value", 1, HEAD_LENGTH)), "categories")
     heads = values.groupBy("column", "head").agg(F.count("*").alias("w"))
     before = Window.partitionBy("column").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,7 +135,7 @@ def read_codes(spark: SparkSession, path: str, columns: Sequence[str], unknown:
     written = spark.read.schema(f"column string, {schema}").parquet(path)
     sizes = {row["column"]: row["n"] for row in written.groupBy("column").agg(F.count("*").alias("n")).collect()}
     dictionaries = {c: joinable(spark.read.schema(schema).parquet(f"{path}/column={c}"), n) for c, n in sizes.items()}
-    return OrdinalCodes(dictionaries, {c: sizes.get(c, 0) for c in columns}, unknown)
+    return OrdinalCodes(written, dictionaries, {c: sizes.get(c, 0) for c in columns}, unknown)
 
 
 @dataclass(frozen=True)

@@ -55,13 +55,10 @@ def fit_encoder(
     codes = fit_ordinal(df, categorical)
     small = [c for c in categorical if codes.sizes[c] <= one_hot_max_size]
     middle = [c for c in categorical if one_hot_max_size < codes.sizes[c] < MAX_BINS]
-    large = OrdinalCodes(
-        codes.dictionaries, {c: codes.sizes[c] for c in categorical if codes.sizes[c] >= MAX_BINS}, codes.unknown
-    )
-    stages = []
-    for c in small + middle:
-        # At most MAX_BINS labels come to the driver.
-        stages.append(StringIndexerModel.from_labels(_labels(codes, c), c, f"{c}_index", handleInvalid="keep"))
+    large = codes.only([c for c in categorical if codes.sizes[c] >= MAX_BINS])
+    # At most MAX_BINS labels per column come to the driver.
+    labels = codes.labels(small + middle)
+    stages = [StringIndexerModel.from_labels(labels[c], c, f"{c}_index", handleInvalid="keep") for c in small + middle]
     if small:
         # The indexer's last index stands for values unseen in the fit, so every index has a slot.
         stages.append(
@@ -74,12 +71,6 @@ def fit_encoder(
     return Encoder(large, fitted, tuple(continuous), tuple(names))
 
 
-def _labels(codes: OrdinalCodes, column: str) -> list[str]:
-    if column not in codes.dictionaries:
-        return []
-    return [row["value"] for row in codes.dictionaries[column].orderBy("code").collect()]
-
-
 @dataclass(frozen=True)
 class PriceModel:
     encoder: Encoder
