@@ -40,17 +40,18 @@ def quantiles_by_group(
     present = df.select(*keys, F.col(value).cast("double").alias("v"), repeats.cast("bigint").alias("repeats")).dropna()
     large = group_rows.where(F.col("n") > direct_rows).select(*keys)
     if large.isEmpty():
-        return _direct(present, keys, probabilities)
+        return _direct(present, keys, probabilities, weight is not None)
     # At most (all rows / direct_rows) rows.
     large = joinable(as_table(large, "large-groups"))
-    small_part = _direct(present.join(large, list(keys), "left_anti"), keys, probabilities)
+    small_part = _direct(present.join(large, list(keys), "left_anti"), keys, probabilities, weight is not None)
     large_part = _narrowed(present.join(large, list(keys), "left_semi"), list(keys), probabilities)
     return small_part.unionByName(large_part)
 
 
-def _direct(rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+def _direct(rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float], weighted: bool) -> DataFrame:
     points = F.array(*[F.lit(float(p)) for p in probabilities])
-    return rows.groupBy(*keys).agg(F.percentile("v", points, F.col("repeats")).alias("quantiles"))
+    found = F.percentile("v", points, F.col("repeats")) if weighted else F.percentile("v", points)
+    return rows.groupBy(*keys).agg(found.alias("quantiles"))
 
 
 def _narrowed(rows: DataFrame, keys: list[str], probabilities: Sequence[float]) -> DataFrame:

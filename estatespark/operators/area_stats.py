@@ -98,9 +98,12 @@ def fit_area_statistics(df: DataFrame, fit_rows: Column, direct_rows: int = quan
     spread = price_quantiles(price_rows(df, fit_rows), moments.select(*GROUP, "n"), direct_rows)
     statistics = moments.where((F.col("n") > 0) & F.col("property_type").isNotNull()).join(spread, list(GROUP), "left")
     by_level = as_tables(statistics.drop("listings", "n"), "price-statistics", "level", list(AREA_LEVELS))
+    # Groups of one area differ in the property type only.
+    areas = moments.where(F.col("level") != "city").groupBy("level", "area").agg(F.sum("listings").alias("n"))
+    density = as_tables(areas, "density", "level", ["zipcode", "deptcode"])
     return AreaStatistics(
-        _density(moments, "zipcode", df, "density"),
-        _density(moments, "deptcode", df, "density_department"),
+        joinable(density["zipcode"].select(_area("zipcode", df), F.col("n").alias("density"))),
+        joinable(density["deptcode"].select(_area("deptcode", df), F.col("n").alias("density_department"))),
         {level: _named(table, level, df) for level, table in by_level.items()},
     )
 
@@ -110,12 +113,6 @@ def _area(level: str, df: DataFrame) -> Column:
     return F.col("area").cast(df.schema[column].dataType).alias(column)
 
 
-def _density(moments: DataFrame, level: str, df: DataFrame, name: str) -> DataFrame:
-    """Groups of one area differ in the property type only."""
-    counts = moments.where(F.col("level") == level).groupBy("area").agg(F.sum("listings").alias(name))
-    return joinable(as_table(counts.select(_area(level, df), name), "density"))
-
-
 def _named(table: DataFrame, level: str, df: DataFrame) -> DataFrame:
     statistics = [F.col(stat).alias(name.format(level)) for stat, name in PRICE_STATISTICS.items()]
     return joinable(table.select(_area(level, df), "property_type", *statistics))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +18,9 @@ from estatespark.sources import photos, sinks
 from estatespark.verification.registry import check, exploded, rounded
 from estatespark.verification.views import table, view
 
+# Tasks receive these functions by value, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TARGET = 8
 # Height, width and pixel of the drawn photos; the same rule as DRAWN.
 DRAWN = """drawn as (select p_partkey as photo_no, p_partkey%500 as listing_id, case when p_partkey%5=0 then 'test' else 'train' end as split,

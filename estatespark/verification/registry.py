@@ -36,8 +36,12 @@ def check(name: str, sql: str | None = None, views: tuple[str, ...] = ("listing"
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles rounded, so that the order of additions does not show."""
+    scale = F.lit(10.0**digits)
     return df.select(
-        *[F.round(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema.fields]
+        *[
+            (F.rint(F.col(f.name) * scale) / scale).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name)
+            for f in df.schema.fields
+        ]
     )
 
 
