@@ -70,28 +70,30 @@ def _rational(pair, x: Column) -> Column:
 def with_normal_quantile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Probabilities become standard normal quantiles, held within +-NORMAL_BOUND at and near 0 and 1.
 
-    The distance into the tail is a column of its own: written out at each use, the expression would grow too large to plan.
+    The arguments of the approximations are columns of their own: written out at each use, the expressions would grow too
+    large to plan and to compile.
     """
-    return (
-        df.withColumns({f"{c}_tail": _tail_distance(F.col(c)) for c in columns})
-        .withColumns({c: _normal_quantile(F.col(c), F.col(f"{c}_tail")) for c in columns})
-        .drop(*[f"{c}_tail" for c in columns])
-    )
-
-
-def _tail_distance(p: Column) -> Column:
-    # The floor keeps the logarithm's argument positive; values this far out are bounded anyway.
-    return F.sqrt(-F.log(F.greatest(F.when(p < 0.5, p).otherwise(F.lit(1.0) - p), F.lit(1e-300))))
-
-
-def _normal_quantile(p: Column, r: Column) -> Column:
-    q = p - F.lit(0.5)
-    outer = F.when(r <= 5.0, _rational(AS241_NEAR_TAIL, r - F.lit(1.6))).otherwise(
-        _rational(AS241_FAR_TAIL, r - F.lit(5.0))
-    )
-    value = F.when(F.abs(q) <= 0.425, q * _rational(AS241_CENTRE, F.lit(0.180625) - q * q)).otherwise(
-        F.when(q < 0, -outer).otherwise(outer)
-    )
-    return F.when(
-        p.isNotNull(), F.least(F.greatest(value, F.lit(-NORMAL_BOUND)), F.lit(NORMAL_BOUND))
+    helpers, values = {}, {}
+    for c in columns:
+        p = F.col(c)
+        helpers[f"{c}_side"] = p - F.lit(0.5)
+        # The floor keeps the logarithm's argument positive; values this far out are bounded anyway.
+        helpers[f"{c}_tail"] = F.sqrt(-F.log(F.greatest(F.when(p < 0.5, p).otherwise(F.lit(1.0) - p), F.lit(1e-300))))
+    for c in columns:
+        q, r, x = F.col(f"{c}_side"), F.col(f"{c}_tail"), F.col(f"{c}_x")
+        values[c] = F.when(
+            q.isNotNull(),
+            F.when(F.abs(q) <= 0.425, q * _rational(AS241_CENTRE, x)).otherwise(
+                F.signum(q) * F.when(r <= 5.0, _rational(AS241_NEAR_TAIL, x)).otherwise(_rational(AS241_FAR_TAIL, x))
+            ),
+        )
+    arguments = {
+        f"{c}_x": F.when(
+            F.abs(F.col(f"{c}_side")) <= 0.425, F.lit(0.180625) - F.col(f"{c}_side") * F.col(f"{c}_side")
+        ).otherwise(F.col(f"{c}_tail") - F.when(F.col(f"{c}_tail") <= 5.0, F.lit(1.6)).otherwise(F.lit(5.0)))
+        for c in columns
+    }
+    mapped = df.withColumns(helpers).withColumns(arguments).withColumns(values)
+    return mapped.withColumns({c: bounded(F.col(c), -NORMAL_BOUND, NORMAL_BOUND) for c in columns}).drop(
+        *[f"{c}_{part}" for c in columns for part in ("side", "tail", "x")]
     )

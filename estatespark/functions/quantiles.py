@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def quantiles_by_group(
 
 
 def _direct(rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float], weighted: bool) -> DataFrame:
-    points = F.array(*[F.lit(float(p)) for p in probabilities])
+    points = F.lit(np.asarray(probabilities, dtype=float))
     found = F.percentile("v", points, F.col("repeats")) if weighted else F.percentile("v", points)
     return rows.groupBy(*keys).agg(found.alias("quantiles"))
 
@@ -90,8 +91,8 @@ def _narrowed(rows: DataFrame, keys: list[str], probabilities: Sequence[float])
 
 def _ranks(cells: DataFrame, keys: list[str], probabilities: Sequence[float]) -> DataFrame:
     """Two rows per group and probability: the rank just below and the one just above the asked position."""
-    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probabilities)])
-    totals = cells.groupBy(*keys).agg(F.sum("w").alias("total")).select(*keys, "total", F.inline(asked))
+    asked = F.posexplode(F.lit(np.asarray(probabilities, dtype=float))).alias("i", "p")
+    totals = cells.groupBy(*keys).agg(F.sum("w").alias("total")).select(*keys, "total", asked)
     position = (F.col("total") - 1) * F.col("p")
     totals = totals.withColumns({"position": position, "side": F.explode(F.array(F.lit(0), F.lit(1)))})
     rank = F.when(F.col("side") == 0, F.floor("position")).otherwise(F.ceil("position"))

@@ -54,3 +54,8 @@ def union_splits(train: DataFrame, test: DataFrame, is_test: str = IS_TEST) -> D
 
 def cut_splits(df: DataFrame, is_test: str = IS_TEST) -> tuple[DataFrame, DataFrame]:
     return df.where(~F.col(is_test)).drop(is_test), df.where(F.col(is_test)).drop(is_test)
+
+
+def join_labels(listings: DataFrame, labels: DataFrame, key: str = KEY) -> DataFrame:
+    """Prices by key; listings without a label, such as test rows, get NULL."""
+    return listings.join(labels, key, "left")

@@ -12,8 +12,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     if path.rstrip("/").endswith(".csv"):
         if schema is None:
             raise ValueError("a CSV table needs a declared schema")
-        # Malformed numbers raise rather than turn into missing values.
-        return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+        # Malformed numbers raise rather than turn into missing values; a written NaN is a missing value.
+        rows = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+        decimals = [f.name for f in schema.fields if f.dataType.typeName() in ("double", "float")]
+        return rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in decimals})
     if schema is None:
         return spark.read.parquet(path)
     stored = spark.read.parquet(path)

@@ -407,7 +407,7 @@ def enrichment(spark, sf):
 def join_labels(spark, sf):
     rows = _listing(spark, sf)
     labels = rows.where("not is_test").select("listing_id", "price")
-    return rows.select("listing_id", "is_test").join(labels, "listing_id", "left")
+    return splits.join_labels(rows.select("listing_id", "is_test"), labels)
 
 
 @check(
