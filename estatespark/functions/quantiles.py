@@ -71,15 +71,15 @@ def _narrowed(rows: DataFrame, keys: list[str], probabilities: Sequence[float])
     width = F.col("high") - F.col("low")
     sub_cell = F.coalesce(F.floor(F.try_divide(v - F.col("low"), width) * SUB_CELLS), F.lit(0))
     rows = rows.join(joinable(as_table(wanted, "quantile-cells")), [*keys, "cell"])
-    # A small share of the rows: those that lie in a cell with a wanted rank.
-    rows = as_table(rows.select(*keys, "cell", "v", "repeats", sub_cell.alias("sub_cell")), "quantile-rows")
-    sub_cells = rows.groupBy(*keys, "cell", "sub_cell").agg(count)
+    # Written are the distinct values of the wanted cells, counted before the shuffle, so that ties cost nothing.
+    rows = rows.select(*keys, "cell", sub_cell.alias("sub_cell"), "v", "repeats")
+    spot = [*keys, "cell", "sub_cell"]
+    values = as_table(rows.groupBy(*spot, "v").agg(count), "quantile-values")
+    sub_cells = values.groupBy(*spot).agg(F.sum("w").alias("w"))
     ranks = as_table(_place(ranks, sub_cells, [*keys, "cell"], "sub_cell"), "quantile-ranks")
 
     # What is left of a group is the distinct values of a few narrow cells.
-    spot = [*keys, "cell", "sub_cell"]
-    values = rows.join(ranks.select(*spot).distinct(), spot).groupBy(*spot, "v").agg(count)
-    ranks = _place(ranks, values, spot, "v")
+    ranks = _place(ranks, values.join(ranks.select(*spot).distinct(), spot), spot, "v")
 
     lower, upper, share = F.max(F.when(F.col("side") == 0, v)), F.max(F.when(F.col("side") == 1, v)), F.max("share")
     quantile = F.when(lower == upper, lower).otherwise((F.lit(1.0) - share) * lower + share * upper)
