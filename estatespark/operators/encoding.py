@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from estatespark.schema import CATEGORICAL, CONTINUOUS
-from estatespark.session import as_table, fresh_path, joinable
+from estatespark.session import as_table, fresh_path, joinable, value_bytes
 
 # Values are ranked inside groups of equal beginnings, so that a large vocabulary is not sorted by one task.
 HEAD_LENGTH = 3
@@ -133,8 +133,12 @@ def read_codes(spark: SparkSession, path: str, columns: Sequence[str], unknown:
     """Dictionaries written as one folder per column."""
     schema = "value string, code bigint"
     written = spark.read.schema(f"column string, {schema}").parquet(path)
-    sizes = {row["column"]: row["n"] for row in written.groupBy("column").agg(F.count("*").alias("n")).collect()}
-    dictionaries = {c: joinable(spark.read.schema(schema).parquet(f"{path}/column={c}"), n) for c, n in sizes.items()}
+    measured = written.groupBy("column").agg(F.count("*").alias("n"), F.sum(value_bytes(written)).alias("size")).collect()
+    sizes = {row["column"]: row["n"] for row in measured}
+    dictionaries = {
+        row["column"]: joinable(spark.read.schema(schema).parquet(f"{path}/column={row['column']}"), row["size"])
+        for row in measured
+    }
     return OrdinalCodes(written, dictionaries, {c: sizes.get(c, 0) for c in columns}, unknown)
 
 

@@ -103,8 +103,7 @@ def tree_regressor(config: RunConfig) -> GBTRegressor:
         maxDepth=config.max_depth,
         maxBins=MAX_BINS,
         seed=config.random_seed,
-        # Node ids of all rows are written out during a long fit instead of being recomputed from the first tree on.
-        cacheNodeIds=True,
+        # Residuals are written to the checkpoint folder every ten trees, so a lost executor does not restart a long fit.
         checkpointInterval=10,
     )
 

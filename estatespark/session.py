@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Written tables of up to this many narrow rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+# Written tables of up to this many bytes of values are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def build_session(app: str = "estatespark", master: str | None = None, **settings) -> SparkSession:
@@ -71,14 +71,23 @@ def as_table(df: DataFrame, label: str, partition_by: str | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
-def joinable(table: DataFrame, rows: int | None = None) -> DataFrame:
-    """A written table, marked for broadcasting if its row count allows it.
+def value_bytes(table: DataFrame) -> Column:
+    """Bytes of a row of flat columns: the length of texts, 16 for everything else."""
+    total = F.lit(0).cast("bigint")
+    for field in table.schema.fields:
+        text = field.dataType.typeName() == "string"
+        total = total + (F.coalesce(F.octet_length(field.name), F.lit(0)) + 16 if text else F.lit(16))
+    return total
 
-    Counting a parquet table reads footers only. Without the mark Spark shuffles both sides and splits skewed partitions
-    at run time, so a join is whole for any size.
+
+def joinable(table: DataFrame, size: int | None = None) -> DataFrame:
+    """A written table, marked for broadcasting if its measured size allows it.
+
+    Without the mark Spark shuffles both sides and splits skewed partitions at run time, so a join is whole for any size.
     """
-    count = table.count() if rows is None else rows
-    return F.broadcast(table) if count <= BROADCAST_ROWS else table
+    if size is None:
+        size = table.agg(F.sum(value_bytes(table))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
 def as_tables(df: DataFrame, label: str, column: str, names: list[str]) -> dict[str, DataFrame]:

@@ -42,13 +42,18 @@ def test_large_tables_are_not_broadcast(spark, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert "BroadcastHashJoin" in plan(rows.join(joinable(big), "k", "left"))
-        monkeypatch.setattr(session, "BROADCAST_ROWS", 50)
+        monkeypatch.setattr(session, "BROADCAST_BYTES", 50)
         joined = rows.join(joinable(big), "k", "left")
         assert "SortMergeJoin" in plan(joined) and joined.count() == 1000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_size_counts_the_text(spark):
+    table = as_table(spark.createDataFrame([("abc", 1), ("é", 2), (None, 3)], "t string, n bigint"), "table")
+    assert table.agg(F.sum(session.value_bytes(table))).first()[0] == 3 * 32 + 3 + 2
+
+
 def test_codes_are_joined_not_looked_up_in_python(spark):
     df = projections.prepare(view(spark, SF_DIR, "listing"))
     text = plan(encoding.fit_ordinal(df).transform(df))

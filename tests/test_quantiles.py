@@ -98,7 +98,7 @@ def test_fill_value_for_missing(spark):
     assert values == pytest.approx([again.test_fills["x"], -0.5, 1.0])
 
 
-def test_normal_sentinel_of_the_tutorial_case(spark):
+def test_normal_fill_value_for_missing(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (None,), (None,)], "x double")
     fitted = quantile_map.fit_quantile_map(df, ["x"], n_quantiles=3, output="normal")
     bound = 5.1993375821928165
