@@ -9,14 +9,21 @@ from estatespark.functions.numeric import hash_bucket
 from estatespark.schema import IS_TEST, KEY
 
 PARTS = 1000
+# For shares that are no whole number of thousandths.
+FINE_PARTS = 1_000_000
 # Folds and samples must not follow the holdout, so they hash with other seeds.
 FOLD_SEED_SHIFT = 1
 SAMPLE_SEED_SHIFT = 2
 
 
+def _hashed_below(share: float, seed: int, key: str) -> Column:
+    parts = PARTS if abs(share * PARTS - round(share * PARTS)) < 1e-9 else FINE_PARTS
+    return hash_bucket(F.col(key), seed, parts) < F.lit(round(share * parts))
+
+
 def is_holdout(valid_size: float = 0.2, seed: int = 0, key: str = KEY) -> Column:
     """True for the validation share of rows."""
-    return hash_bucket(F.col(key), seed, PARTS) < F.lit(round(valid_size * PARTS))
+    return _hashed_below(valid_size, seed, key)
 
 
 def is_fit(valid_size: float = 0.2, seed: int = 0, key: str = KEY, is_test: str = IS_TEST) -> Column:
@@ -33,7 +40,7 @@ def fold(n_folds: int = 3, seed: int = 0, key: str = KEY) -> Column:
 
 
 def hash_sample(df: DataFrame, fraction: float = 0.01, seed: int = 0, key: str = KEY) -> DataFrame:
-    return df.where(hash_bucket(F.col(key), seed + SAMPLE_SEED_SHIFT, PARTS) < F.lit(round(fraction * PARTS)))
+    return df.where(_hashed_below(fraction, seed + SAMPLE_SEED_SHIFT, key))
 
 
 def aligned_sample(

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from estatespark import session
-from estatespark.operators import encoding, projections, splits
-from estatespark.plans.enrichment import enrich
+from estatespark.operators import area_stats, encoding, projections, splits
+from estatespark.plans.enrichment import base_features, enrich
 from estatespark.session import as_table, joinable
 from estatespark.verification.views import view
 
@@ -36,6 +36,13 @@ def test_only_the_needed_columns_are_read(spark):
     assert "ReadSchema: struct<postal_code:bigint>" in text
 
 
+def test_price_statistics_combine_before_one_shuffle(spark):
+    listings = as_table(view(spark, SF_DIR, "listing"), "listings")
+    text = plan(area_stats.price_moments(area_stats.price_rows(base_features(listings), splits.is_fit())))
+    assert text.count("hashpartitioning") == 1 and "partial_avg" in text
+    assert text.count("FileScan") == 1 and "nb_photos" not in text and "land_size" not in text
+
+
 def test_large_tables_are_not_broadcast(spark, monkeypatch):
     big = as_table(spark.range(100).withColumnRenamed("id", "k"), "table")
     rows = spark.range(1000).withColumnRenamed("id", "k")

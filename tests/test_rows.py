@@ -85,6 +85,11 @@ def test_splits_are_stable_and_sized(spark):
     assert df.where(splits.is_holdout()).agg(F.max(splits.split_name())).first()[0] == "valid"
 
 
+def test_small_shares_are_not_rounded_away(spark):
+    df = spark.range(200000).withColumnRenamed("id", "listing_id")
+    assert 40 < splits.hash_sample(df, 0.0004).count() < 130
+
+
 def test_union_and_cut_keep_duplicates(spark):
     train = spark.createDataFrame([(1, 2.0), (1, 2.0)], "listing_id bigint, price double")
     test = spark.createDataFrame([(1,), (3,)], "listing_id bigint")
