@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatespark.llm import bpe, chat_format, exact_dedup, jaccard_join, mixing, quality_model, quality_rules, toxicity, url_filter
+from estatespark.llm import bpe, chat_format, exact_dedup, jaccard_join, mixing, quality_model, quality_rules, surrogates, toxicity, url_filter
 from estatespark.llm.common import WORD, table
 from estatespark.llm.registry import QUERIES, SQL, query
 
@@ -92,6 +92,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, labels, F.col("quality") == 1, F.col("lang"))
 
 
+# A stand-in: a real run takes its key from where secrets are kept.
+SURROGATE_KEY = "corpus"
+
+
+@query("op4_surrogates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return replaced.select("doc_id", "n_entities", "text")
+
+
 MIX_TARGETS = {"source": 0.5, "lang": {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1}, "topic": 0.8}
 
 
