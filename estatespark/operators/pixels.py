@@ -42,8 +42,8 @@ def resize_geometry(width: Column, height: Column, target: int) -> dict[str, Col
 
 
 def with_geometry(df: DataFrame, target: int | None = 128, im_size: tuple[int, int] = (128, 128)) -> DataFrame:
-    """Adds the geometry columns. Without a target the photo is stretched to `im_size` (height, width)."""
-    if target:
+    """Adds the geometry columns. Without a positive target the photo is stretched to `im_size` (height, width)."""
+    if target is not None and target > 0:
         return df.withColumns(resize_geometry(F.col("width"), F.col("height"), target))
     fixed = {"new_width": im_size[1], "new_height": im_size[0]}
     fixed.update(dict.fromkeys(("pad_left", "pad_top", "pad_right", "pad_bottom"), 0))

@@ -17,6 +17,8 @@ SAMPLE_SEED_SHIFT = 2
 
 
 def _hashed_below(share: float, seed: int, key: str) -> Column:
+    if share > 0 and round(share * FINE_PARTS) == 0:
+        raise ValueError(f"a share of {share} is below the finest split of 1/{FINE_PARTS}")
     parts = PARTS if abs(share * PARTS - round(share * PARTS)) < 1e-9 else FINE_PARTS
     return hash_bucket(F.col(key), seed, parts) < F.lit(round(share * parts))
 

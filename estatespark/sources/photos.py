@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from estatespark.schema import KEY
@@ -33,14 +33,14 @@ def read_photos(spark: SparkSession, root: str, content: bool = False) -> DataFr
     return parse_photo_paths(files.select("path", "content") if content else files.select("path"))
 
 
-def decode_photos(spark: SparkSession, root: str) -> DataFrame:
+def decode_photos(spark: SparkSession, root: str, counted: Observation | None = None) -> DataFrame:
     """Decoded photos: key, split, name, height, width, n_channels and rows of pixels (`data`, blue-green-red).
 
-    Decoding runs on the JVM; files that are not images are dropped.
+    Decoding runs on the JVM. Files that are not images are left out; `counted` learns how many of each kind there were
+    (`n_photos`, `n_undecoded`) when the photos are used.
     """
     images = (
         spark.read.format("image")
-        .option("dropInvalid", True)
         .option("pathGlobFilter", f"*{SUFFIX}")
         .option("recursiveFileLookup", True)
         .load(root)
@@ -52,7 +52,11 @@ def decode_photos(spark: SparkSession, root: str) -> DataFrame:
         F.col("image.nChannels").alias("n_channels"),
         F.col("image.data").alias("data"),
     )
-    return parse_photo_paths(flat)
+    photos = parse_photo_paths(flat)
+    broken = F.col("height") < 0
+    if counted is not None:
+        photos = photos.observe(counted, F.count("*").alias("n_photos"), F.count(F.when(broken, 1)).alias("n_undecoded"))
+    return photos.where(~broken)
 
 
 def photo_dims(images: DataFrame) -> DataFrame:

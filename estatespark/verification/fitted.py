@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from estatespark.functions import numeric
@@ -223,30 +224,43 @@ def vector_mean(spark, sf):
     return rounded(exploded(_means(spark, sf).withColumn("label", F.col("label").cast("bigint")), "embedding"), 5)
 
 
-_OWNED = "select listing_id, postal_code%97 as vec_id from listing"
+# Every listing owns a vector, and every vector of the table is owned.
+_OWNED = "select listing_id, listing_id%(select max(vec_id)+1 from embeddings) as vec_id, coalesce(size,0) as size, nb_bathrooms from listing"
+
+
+def _owners(spark, sf):
+    last = table(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0]
+    owned = (F.col("listing_id") % (last + 1)).alias("vec_id")
+    return view(spark, sf, "listing").select("listing_id", owned, "size", "nb_bathrooms")
+
+
+def _weighed(entries: Column) -> Column:
+    """One number that all entries of an array go into, each with its place."""
+    placed = F.transform(entries, lambda x, i: x.cast("double") * (i + 1))
+    return F.aggregate(placed, F.lit(0.0), lambda s, x: s + x)
+
 
 
 @check(
     "join_image_features",
-    f"with o as ({_OWNED}) select o.listing_id, round(cast(e.embedding[1] as double),5) as first, round(cast(e.embedding[64] as double),5) as last from o left join embeddings e on e.vec_id=o.vec_id and e.vec_id%10<>3",
+    f"with {_FLAT}, o as ({_OWNED}), w as (select vec_id, sum(value*(position+1)) as weighed from flat group by 1) select listing_id, round(weighed,5) as weighed from o left join w using (vec_id)",
 )
 def join_image_features(spark, sf):
-    owners = view(spark, sf, "listing").select("listing_id", (F.col("postal_code") % 97).alias("vec_id"))
-    stored = table(spark, sf, "embeddings").where("vec_id % 10 <> 3").select("vec_id", "embedding")
-    joined = vectors.join_image_features(owners, stored, "vec_id")
-    ends = [F.col("embedding")[i].cast("double").alias(name) for i, name in ((0, "first"), (63, "last"))]
-    return rounded(joined.select("listing_id", *ends), 5)
+    stored = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    joined = vectors.join_image_features(_owners(spark, sf), stored, "vec_id")
+    return rounded(joined.select("listing_id", _weighed(F.col("embedding")).alias("weighed")), 5)
 
 
 @check(
     "union_vectors",
-    "select vec_id, round(cast(embedding[1] as double),5) as first from embeddings",
+    f"with {_FLAT} select vec_id, cast(position as bigint) as position, round(value,5) as value from flat",
     views=(),
 )
 def union_vectors(spark, sf):
     stored = table(spark, sf, "embeddings")
     both = vectors.union_vectors(stored.where("vec_id % 5 <> 0"), stored.where("vec_id % 5 = 0"))
-    return rounded(both.select("vec_id", F.col("embedding")[0].cast("double").alias("first")), 5)
+    flat = exploded(both.select("vec_id", "embedding"), "embedding")
+    return rounded(flat.withColumn("value", F.col("value").cast("double")), 5)
 
 
 @check(
@@ -264,18 +278,16 @@ def widen_vector(spark, sf):
 
 @check(
     "assemble_input",
-    f"""with {_FLAT}, o as (select listing_id, coalesce(size,0) as size, nb_bathrooms, postal_code%97 as vec_id from listing),
- parts as (select listing_id, cast(0 as bigint) as position, size as value from o union all select listing_id, 1, nb_bathrooms from o
- union all select o.listing_id, 2+flat.position, flat.value from o join flat using (vec_id) where flat.position<4)
- select listing_id, position, round(value,5) as value from parts where listing_id in (select listing_id from o join embeddings using (vec_id))""",
+    f"""with {_FLAT}, o as ({_OWNED}), w as (select vec_id, sum(value*(position+3)) as weighed from flat group by 1)
+ select listing_id, cast(66 as bigint) as entries, round(size+2*nb_bathrooms+weighed,5) as weighed from o join w using (vec_id)""",
 )
 def assemble_input(spark, sf):
     """Tabular columns and a photo vector as one model input."""
-    owners = view(spark, sf, "listing").select("listing_id", "size", "nb_bathrooms", (F.col("postal_code") % 97).alias("vec_id"))
-    head = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
-    stored = table(spark, sf, "embeddings").select("vec_id", vectors.array_to_vector(head).alias("image"))
-    rows = vectors.assemble(owners.join(stored, "vec_id"), ["size", "nb_bathrooms", "image"], {"image": 4})
-    return rounded(exploded(rows.select("listing_id", vector_to_array("features").alias("features")), "features"), 5)
+    doubles = F.transform("embedding", lambda x: x.cast("double"))
+    stored = table(spark, sf, "embeddings").select("vec_id", vectors.array_to_vector(doubles).alias("image"))
+    rows = vectors.assemble(_owners(spark, sf).join(stored, "vec_id"), ["size", "nb_bathrooms", "image"], {"image": 64})
+    entries = vector_to_array("features")
+    return rounded(rows.select("listing_id", F.size(entries).cast("bigint").alias("entries"), _weighed(entries).alias("weighed")), 5)
 
 
 _SPLIT = "case when vec_id%5=0 then 'test' else 'train' end"
@@ -283,8 +295,8 @@ _SPLIT = "case when vec_id%5=0 then 'test' else 'train' end"
 
 @check(
     "sink_features",
-    f"""with {_FLAT} select {_SPLIT} as split, count(distinct vec_id) as n_rows, cast(64 as bigint) as n_features,
- round(avg(case when position=0 then value end),5) as first_mean, round(avg(case when position=63 then value end),5) as last_mean from flat group by 1""",
+    f"""with {_FLAT} select {_SPLIT} as split, cast(position as bigint) as position, count(*) as n_rows, cast(64 as bigint) as n_features,
+ round(avg(value),5) as mean from flat group by 1,2""",
     views=(),
 )
 def sink_features(spark, sf):
@@ -293,24 +305,24 @@ def sink_features(spark, sf):
     wide = vectors.widen(stored.select("vec_id", "split", "embedding"), "embedding", 64)
     count = sinks.write_features(wide, path, key="vec_id")
     back = spark.read.parquet(path)
-    return rounded(
-        back.groupBy("split").agg(
-            F.count("*").alias("n_rows"),
-            F.lit(count).cast("bigint").alias("n_features"),
-            F.avg(F.col("image_feature_0").cast("double")).alias("first_mean"),
-            F.avg(F.col("image_feature_63").cast("double")).alias("last_mean"),
-        ),
-        5,
-    )
+    packed = vectors.pack(back, [f"image_feature_{i}" for i in range(64)], "v")
+    flat = exploded(packed.select("split", "v"), "v").withColumn("value", F.col("value").cast("double"))
+    means = flat.groupBy("split", "position").agg(F.count("*").alias("n_rows"), F.avg("value").alias("mean"))
+    return rounded(means.withColumn("n_features", F.lit(count).cast("bigint")), 5)
 
 
-@check("pca")
+@check(
+    "pca",
+    f"""with {_FLAT}, centre as (select position, avg(value) as m from flat group by 1)
+ select vec_id, cast(64 as bigint) as components, round(sum((value-m)*(value-m)),5) as squared from flat join centre using (position) group by 1""",
+    views=(),
+)
 def pca(spark, sf):
-    """Four components of all vectors; every seventh listing has none."""
-    stored = table(spark, sf, "embeddings")
-    stored = stored.withColumn("embedding", F.when(F.col("vec_id") % 7 != 0, F.col("embedding")))
-    fitted = vectors.fit_components(stored, "embedding", 4)
-    return rounded(vectors.widen(fitted.transform(stored, "embedding").select("vec_id", "pca"), "pca", 4, "pca_feature_"), 6)
+    """All components of all vectors: together they keep each vector's distance to the mean, whatever their signs."""
+    stored = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    projected = vectors.fit_components(stored, "embedding", 64).transform(stored, "embedding")
+    squared = F.aggregate("pca", F.lit(0.0), lambda s, x: s + x * x)
+    return rounded(projected.select("vec_id", F.size("pca").cast("bigint").alias("components"), squared.alias("squared")), 5)
 
 
 # ---- network inputs ----------------------------------------------------------------------------------------------

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from estatespark.operators import area_stats, metrics, projections, pseudo_labels, sequences, splits
+from estatespark.operators import area_stats, metrics, projections, pseudo_labels, sequences, splits, vectors
 from estatespark.plans.enrichment import base_features, enrich
-from estatespark.schema import CATEGORICAL, CONTINUOUS, LISTING, enrichment_columns
+from estatespark.schema import CATEGORICAL, CONTINUOUS, KEY, LISTING, enrichment_columns, image_feature_columns
 from estatespark.session import as_table, fresh_path, joinable
 from estatespark.sources import sinks, tables
 from estatespark.verification.registry import check, exploded, rounded
@@ -56,19 +56,25 @@ def src_listings(spark, sf):
     views=(),
 )
 def src_keyed_features(spark, sf):
+    """Vectors written wide as CSV, read under the schema that the header asks for, and packed again."""
     stored = tables.read_keyed(spark, f"{sf}/embeddings.parquet", None, "vec_id")
-    flat = exploded(stored.select("vec_id", F.col("label").cast("bigint").alias("label"), "embedding"), "embedding")
-    return flat.withColumn("value", F.round(F.col("value").cast("double"), 5))
+    path = fresh_path(spark, "features") + ".csv"
+    wide = vectors.widen(stored.select(F.col("vec_id").alias(KEY), "embedding"), "embedding", 64)
+    wide.write.option("header", True).csv(path)
+    back = vectors.pack(tables.read_image_features(spark, path), image_feature_columns(64), "embedding")
+    labels = stored.select(F.col("vec_id").alias(KEY), F.col("label").cast("bigint").alias("label"))
+    flat = exploded(back.join(labels, KEY).select(F.col(KEY).alias("vec_id"), "label", "embedding"), "embedding")
+    return rounded(flat.withColumn("value", F.col("value").cast("double")), 5)
 
 
 _TEMPLATE = """select t.listing_id, round(p.price,9) as price from (select listing_id from prediction where is_test) t
- left join (select listing_id, pred_a as price from prediction where is_test and listing_id%10<>0) p using (listing_id)"""
+ left join (select listing_id, pred_a as price from prediction where is_test) p using (listing_id)"""
 
 
 def _filled_template(spark, sf):
     predictions = view(spark, sf, "prediction").where("is_test")
     template = predictions.select("listing_id", F.lit(0.0).alias("price"))
-    return sinks.fill_template(template, predictions.where("listing_id % 10 <> 0"), "pred_a")
+    return sinks.fill_template(template, predictions, "pred_a")
 
 
 @check("sink_submission", _TEMPLATE, views=("prediction",))

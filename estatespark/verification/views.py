@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from estatespark.sources.tables import read_table, spread
+from estatespark.sources.tables import read_table
 
 LISTING = """
 select (((l_orderkey*10+l_linenumber)*100000+l_partkey)*10000+l_suppkey)*100+cast(l_quantity as bigint) as listing_id,
@@ -49,7 +49,7 @@ select listing_id, postal_code, price, coalesce(size,100)*40+1000 as pred_a, coa
 
 PHOTO = """
 select user_id*20+(event_id*event_id)%20 as listing_id, event_id as photo_no, value as brightness,
- case when ts<timestamp '2024-01-16 00:00:00' then 'train' else 'test' end as split from events where event_type<>'error'
+ case when ts<timestamp '2024-01-16 00:00:00' then 'train' else 'test' end as split from events
 """
 
 PHOTO_DIMS = """
@@ -64,13 +64,8 @@ NEEDS = {
     "photo_dims": ("part",),
 }
 
-# Tables with one row per fact, which arrive as one unsplittable file.
-SPREAD = ("lineitem", "events", "part", "embeddings")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = read_table(spark, os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df) if name in SPREAD else df
+    return read_table(spark, os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
