@@ -18,9 +18,11 @@ from estatespark.session import as_table, joinable
 
 # Groups of up to this many rows are handed to `percentile`.
 DIRECT_ROWS = 1_000_000
-# Cells per e-fold of the value in the first step, and cells per first-step cell in the second.
-LOG_CELLS = 64
+# Cells per factor of two of the value in the first step, parts of a cell in each further step, and the most distinct values of a
+# cell that one task sorts.
+OCTAVE_CELLS = 64
 SUB_CELLS = 4096
+CELL_VALUES = 100_000
 
 
 def quantiles_by_group(
@@ -59,27 +61,34 @@ def _narrowed(rows: DataFrame, keys: list[str], probabilities: Sequence[float])
     """The counting way, for groups of any size. `rows` (keys, v, repeats) is read twice."""
     v, count = F.col("v"), F.sum("repeats").alias("w")
 
-    # A group has at most 2 * 710 * LOG_CELLS cells whatever its row count, so the windows over cells are bounded.
-    rows = rows.withColumn("cell", F.signum(v).cast("bigint") * F.floor(F.log1p(F.abs(v)) * LOG_CELLS))
-    cells = as_table(
-        rows.groupBy(*keys, "cell").agg(count, F.min(v).alias("low"), F.max(v).alias("high")),
-        "quantile-cells",
-    )
+    # OCTAVE_CELLS per factor of two on either side of zero: at most 2 * 2100 * OCTAVE_CELLS cells for any rows.
+    steps = F.floor((F.log2(F.abs(v)) + 1075) * OCTAVE_CELLS) + 1
+    cell = F.when(v == 0, 0).when(v > 0, steps).otherwise(-steps).cast("bigint")
+    rows = rows.withColumn("cell", cell)
+    cells = as_table(rows.groupBy(*keys, "cell").agg(count), "quantile-cells")
     ranks = as_table(_place(_ranks(cells, keys, probabilities), cells, keys, "cell"), "quantile-ranks")
-
-    wanted = cells.drop("w").join(ranks.select(*keys, "cell").distinct(), [*keys, "cell"])
-    width = F.col("high") - F.col("low")
-    sub_cell = F.coalesce(F.floor(F.try_divide(v - F.col("low"), width) * SUB_CELLS), F.lit(0))
-    rows = rows.join(joinable(as_table(wanted, "quantile-cells")), [*keys, "cell"])
+    wanted = joinable(as_table(ranks.select(*keys, "cell").distinct(), "quantile-cells"))
     # Written are the distinct values of the wanted cells, counted before the shuffle, so that ties cost nothing.
-    rows = rows.select(*keys, "cell", sub_cell.alias("sub_cell"), "v", "repeats")
-    spot = [*keys, "cell", "sub_cell"]
-    values = as_table(rows.groupBy(*spot, "v").agg(count), "quantile-values")
-    sub_cells = values.groupBy(*spot).agg(F.sum("w").alias("w"))
-    ranks = as_table(_place(ranks, sub_cells, [*keys, "cell"], "sub_cell"), "quantile-ranks")
-
-    # What is left of a group is the distinct values of a few narrow cells.
-    ranks = _place(ranks, values.join(ranks.select(*spot).distinct(), spot), spot, "v")
+    values = rows.join(wanted, [*keys, "cell"]).groupBy(*keys, "cell", "v").agg(count)
+    values = as_table(values, "quantile-values")
+    spot = [*keys, "cell"]
+    while True:
+        # Cells are cut between their own smallest and largest value until each holds few distinct values.
+        bounds = values.groupBy(*spot).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("size"))
+        bounds = as_table(bounds, "quantile-cells")
+        if bounds.where(F.col("size") > CELL_VALUES).isEmpty():
+            break
+        share = F.try_divide(v - F.col("low"), F.col("high") - F.col("low"))
+        cut = values.join(joinable(bounds), spot).withColumn("sub_cell", F.coalesce(F.floor(share * SUB_CELLS), F.lit(0)))
+        sub_cells = cut.groupBy(*spot, "sub_cell").agg(F.sum("w").alias("w"))
+        ranks = as_table(_place(ranks, sub_cells, spot, "sub_cell"), "quantile-ranks")
+        kept = cut.join(ranks.select(*spot, "sub_cell").distinct(), [*spot, "sub_cell"])
+        # A kept part of a cell is a cell of its own, named by its old cell and its place.
+        name = F.xxhash64("cell", "sub_cell")
+        values = as_table(kept.select(*keys, name.alias("cell"), "v", "w"), "quantile-values")
+        ranks = as_table(ranks.withColumn("cell", name).drop("sub_cell"), "quantile-ranks")
+
+    ranks = _place(ranks, values, spot, "v")
 
     lower, upper, share = F.max(F.when(F.col("side") == 0, v)), F.max(F.when(F.col("side") == 1, v)), F.max("share")
     quantile = F.when(lower == upper, lower).otherwise((F.lit(1.0) - share) * lower + share * upper)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from estatespark.functions import quantiles
 from estatespark.functions.numeric import safe_ratio
 from estatespark.schema import AREA_LEVELS, PRICE_STATISTICS
-from estatespark.session import as_table, as_tables, joinable
+from estatespark.session import BroadcastBudget, as_table, as_tables
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -91,19 +91,21 @@ class AreaStatistics:
 def fit_area_statistics(df: DataFrame, fit_rows: Column, direct_rows: int = quantiles.DIRECT_ROWS) -> AreaStatistics:
     """`df` needs department and price_m2. Densities count all rows, price statistics only `fit_rows`.
 
-    One scan gives densities, means and deviations, one more the quartiles.
+    The few columns that the statistics need are written once; both aggregations read that table, never `df` again.
     """
-    masked = df.withColumn("price_m2", F.when(fit_rows, F.col("price_m2")))
-    moments = as_table(price_moments(stack_levels(masked, "property_type", "price_m2")), "price-moments")
-    spread = price_quantiles(price_rows(df, fit_rows), moments.select(*GROUP, "n"), direct_rows)
+    price = F.when(fit_rows, F.col("price_m2")).alias("price_m2")
+    narrow = as_table(df.select(*AREA_LEVELS.values(), "property_type", price), "area-prices")
+    moments = as_table(price_moments(stack_levels(narrow, "property_type", "price_m2")), "price-moments")
+    spread = price_quantiles(price_rows(narrow, F.lit(True)), moments.select(*GROUP, "n"), direct_rows)
     statistics = moments.where((F.col("n") > 0) & F.col("property_type").isNotNull()).join(spread, list(GROUP), "left")
-    by_level = as_tables(statistics.drop("listings", "n"), "price-statistics", "level", list(AREA_LEVELS))
+    budget = BroadcastBudget()
+    by_level = as_tables(statistics.drop("listings", "n"), "price-statistics", "level", list(AREA_LEVELS), budget)
     # Groups of one area differ in the property type only.
     areas = moments.where(F.col("level") != "city").groupBy("level", "area").agg(F.sum("listings").alias("n"))
-    density = as_tables(areas, "density", "level", ["zipcode", "deptcode"])
+    density = as_tables(areas, "density", "level", ["zipcode", "deptcode"], budget)
     return AreaStatistics(
-        joinable(density["zipcode"].select(_area("zipcode", df), F.col("n").alias("density"))),
-        joinable(density["deptcode"].select(_area("deptcode", df), F.col("n").alias("density_department"))),
+        density["zipcode"].select(_area("zipcode", df), F.col("n").alias("density")),
+        density["deptcode"].select(_area("deptcode", df), F.col("n").alias("density_department")),
         {level: _named(table, level, df) for level, table in by_level.items()},
     )
 
@@ -115,4 +117,4 @@ def _area(level: str, df: DataFrame) -> Column:
 
 def _named(table: DataFrame, level: str, df: DataFrame) -> DataFrame:
     statistics = [F.col(stat).alias(name.format(level)) for stat, name in PRICE_STATISTICS.items()]
-    return joinable(table.select(_area(level, df), "property_type", *statistics))
+    return table.select(_area(level, df), "property_type", *statistics)

@@ -9,10 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from estatespark.schema import CATEGORICAL, CONTINUOUS
-from estatespark.session import as_table, fresh_path, joinable, value_bytes
-
-# Values are ranked inside groups of equal beginnings, so that a large vocabulary is not sorted by one task.
-HEAD_LENGTH = 3
+from estatespark.session import BroadcastBudget, as_table, fresh_path, joinable, value_bytes
 
 
 @dataclass(frozen=True)
@@ -108,14 +105,20 @@ class OrdinalCodes:
 
 
 def rank_values(values: DataFrame) -> DataFrame:
-    """(column, value, code) with codes 0.. in the byte order of the values."""
-    # Written, because the two uses below would each scan the rows that the values come from.
-    values = as_table(values.withColumn("head", F.substring("value", 1, HEAD_LENGTH)), "categories")
-    heads = values.groupBy("column", "head").agg(F.count("*").alias("w"))
-    before = Window.partitionBy("column").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("column", "head", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("column", "head").orderBy("value")) - 1
-    ranked = values.withColumn("inside", inside).join(heads, ["column", "head"])
+    """(column, value, code) with codes 0.. in the byte order of the values.
+
+    Values are dealt to ranges of (column, value) by their quantiles, whatever they begin with. A code is the value's rank in its
+    range plus the number of the column's values in the ranges before.
+    """
+    # Written, so that the ranges are the same in both uses below.
+    ranged = values.repartitionByRange("column", "value").withColumn("part", F.spark_partition_id())
+    ranged = as_table(ranged, "categories")
+    parts = ranged.groupBy("column", "part").agg(F.count("*").alias("w"))
+    # One row per column and range.
+    before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("column", "part", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("column", "part").orderBy("value")) - 1
+    ranked = ranged.withColumn("inside", inside).join(parts, ["column", "part"])
     return ranked.select("column", "value", (F.col("start") + F.col("inside")).cast("bigint").alias("code"))
 
 
@@ -135,8 +138,9 @@ def read_codes(spark: SparkSession, path: str, columns: Sequence[str], unknown:
     written = spark.read.schema(f"column string, {schema}").parquet(path)
     measured = written.groupBy("column").agg(F.count("*").alias("n"), F.sum(value_bytes(written)).alias("size")).collect()
     sizes = {row["column"]: row["n"] for row in measured}
+    budget = BroadcastBudget()
     dictionaries = {
-        row["column"]: joinable(spark.read.schema(schema).parquet(f"{path}/column={row['column']}"), row["size"])
+        row["column"]: joinable(spark.read.schema(schema).parquet(f"{path}/column={row['column']}"), row["size"], budget)
         for row in measured
     }
     return OrdinalCodes(written, dictionaries, {c: sizes.get(c, 0) for c in columns}, unknown)

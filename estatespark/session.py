@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Written tables of up to this many bytes of values are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# What the broadcasts of one plan may add up to.
+PLAN_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def build_session(app: str = "estatespark", master: str | None = None, **settings) -> SparkSession:
@@ -54,9 +59,39 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+# Folders of the open runs, the innermost last. Threads of a run write to the same one.
+_RUNS: list[str] = []
+_RUNS_LOCK = threading.Lock()
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Tables written inside lie in one folder below the shared one, which goes when the run ends, failed or not.
+
+    What the run is to leave behind must be written elsewhere before the end.
+    """
+    folder = fresh_path(spark, "run")
+    with _RUNS_LOCK:
+        _RUNS.append(folder)
+    try:
+        yield folder
+    finally:
+        with _RUNS_LOCK:
+            _RUNS.remove(folder)
+        remove_path(spark, folder)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder, or in the open run's, that nothing else uses."""
+    with _RUNS_LOCK:
+        root = _RUNS[-1] if _RUNS else shared_dir(spark)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def as_table(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
@@ -80,20 +115,45 @@ def value_bytes(table: DataFrame) -> Column:
     return total
 
 
-def joinable(table: DataFrame, size: int | None = None) -> DataFrame:
-    """A written table, marked for broadcasting if its measured size allows it.
+class BroadcastBudget:
+    """Bytes that the broadcasts of one plan may still take together."""
+
+    def __init__(self, limit: int = PLAN_BROADCAST_BYTES):
+        self.left = limit
+
+    def take(self, size: int) -> bool:
+        if size > min(self.left, BROADCAST_BYTES):
+            return False
+        self.left -= size
+        return True
+
+
+def joinable(table: DataFrame, size: int | None = None, budget: BroadcastBudget | None = None) -> DataFrame:
+    """A written table, marked for broadcasting if its measured size and the plan's budget allow it.
 
     Without the mark Spark shuffles both sides and splits skewed partitions at run time, so a join is whole for any size.
     """
     if size is None:
         size = table.agg(F.sum(value_bytes(table))).first()[0] or 0
-    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+    return F.broadcast(table) if (budget or BroadcastBudget()).take(size) else table
 
 
-def as_tables(df: DataFrame, label: str, column: str, names: list[str]) -> dict[str, DataFrame]:
-    """Like `as_table`, as one table per value of `column`, each with its own known size."""
+def as_tables(
+    df: DataFrame, label: str, column: str, names: list[str], budget: BroadcastBudget | None = None
+) -> dict[str, DataFrame]:
+    """Like `as_table`, as one table per value of `column`, each joinable by its own size. All sizes are measured at once."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.partitionBy(column).parquet(path)
     schema = df.drop(column).schema
-    return {name: spark.read.schema(schema).parquet(f"{path}/{column}={name}") for name in names}
+    written = spark.read.schema(df.schema).parquet(path)
+    size = F.sum(value_bytes(written)).alias("size")
+    sizes = {r[column]: r["size"] for r in written.groupBy(column).agg(size).collect()}
+    tables = {}
+    for name in names:
+        # A value without rows has no folder.
+        if name in sizes:
+            tables[name] = joinable(spark.read.schema(schema).parquet(f"{path}/{column}={name}"), sizes[name], budget)
+        else:
+            tables[name] = F.broadcast(spark.createDataFrame([], schema))
+    return tables

@@ -24,6 +24,37 @@ def test_enrichment_keeps_the_wide_rows_in_place(spark):
     assert "Python" not in text and "Pandas" not in text
 
 
+def source_scans(spark, name, run) -> list[bool]:
+    """For each job that reads the source: whether it is one of the fits. Read off the plans of all executions."""
+    shared = spark._jsparkSession.sharedState().statusStore()
+    before = shared.executionsCount()
+    run()
+    plans = [shared.execution(i).get().physicalPlanDescription() for i in range(before, shared.executionsCount())]
+    return [text.count(name) for text in plans if name in text]
+
+
+def test_enrichment_reads_the_source_once_to_fit_and_once_to_join(spark, tmp_path):
+    path = str(tmp_path / "source-listings")
+    view(spark, SF_DIR, "listing").write.parquet(path)
+    listings = spark.read.parquet(path)
+    made = []
+    fitted = source_scans(spark, "source-listings", lambda: made.append(enrich(listings)))
+    joined = source_scans(spark, "source-listings", lambda: made[0].write.format("noop").mode("overwrite").save())
+    assert len(fitted) == 1 and len(joined) == 1
+
+
+def test_rows_do_not_depend_on_the_broadcast_limit(spark, monkeypatch):
+    """The same codes when the dictionaries are just small enough to be broadcast, and when they are not."""
+    df = spark.range(3000).select(F.col("id").alias("listing_id"), F.when(F.col("id") % 3 > 0, (F.col("id") % 500).cast("string")).alias("c"))
+    size = as_table(df.select("c").distinct().where("c is not null"), "values").agg(F.sum(F.octet_length("c") + 32)).first()[0]
+    found = []
+    for limit in (size, size - 1):
+        monkeypatch.setattr(session, "BROADCAST_BYTES", limit)
+        coded = encoding.fit_ordinal(df, ["c"]).transform(df)
+        found.append((plan(coded).count("BroadcastHashJoin") > 0, sorted(map(tuple, coded.collect()))))
+    assert found[0][0] and found[0][1] == found[1][1]
+
+
 def test_cleaning_and_splits_do_not_shuffle(spark):
     listings = as_table(view(spark, SF_DIR, "listing"), "listings")
     text = plan(projections.prepare(listings).where(splits.is_fit()))

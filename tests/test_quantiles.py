@@ -49,6 +49,27 @@ def test_weights_stand_for_repeated_values(spark, skewed, direct_rows):
         np.testing.assert_allclose(row["quantiles"], _expected(skewed, row["k"]), rtol=1e-12, atol=1e-12)
 
 
+def test_values_near_zero_and_in_one_cell(spark, monkeypatch):
+    """Many values of 1e-9 beside one of 0.015, and many next to each other: cells are cut until they are small."""
+    monkeypatch.setattr(quantiles, "CELL_VALUES", 50)
+    rows = [("zero", i * 1e-13) for i in range(4000)] + [("zero", 0.015), ("zero", -3.0)]
+    rows += [("close", 1.0 + i * 1e-12) for i in range(4000)] + [("signs", (i - 2000) * 1e-300) for i in range(4001)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    sizes = as_table(df.groupBy("k").agg(F.count("*").alias("n")), "sizes")
+    for row in quantiles.quantiles_by_group(df, ["k"], "v", PROBABILITIES, sizes, 0).collect():
+        np.testing.assert_allclose(row["quantiles"], _expected(rows, row["k"]), rtol=1e-12, atol=1e-312)
+
+
+def test_limit_between_the_two_ways(spark):
+    """The same quantiles just below, at and above the number of rows that changes the way."""
+    rows = [("g", float(v)) for v in np.random.default_rng(1).normal(size=500)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    sizes = as_table(df.groupBy("k").agg(F.count("*").alias("n")), "sizes")
+    found = [quantiles.quantiles_by_group(df, ["k"], "v", PROBABILITIES, sizes, n).first()["quantiles"] for n in (499, 500, 501)]
+    for values in found[1:]:
+        np.testing.assert_allclose(values, found[0], rtol=1e-12)
+
+
 def test_normal_quantile(spark):
     points = [1e-7, 1e-5, 0.001, 0.0749, 0.0751, 0.3, 0.5, 0.7, 0.9249, 0.9251, 0.999, 1 - 1e-7]
     df = spark.createDataFrame([(p, p) for p in points] + [(-1.0, 0.0), (-2.0, 1.0), (-3.0, None)], "k double, p double")

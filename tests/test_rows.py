@@ -249,3 +249,19 @@ def test_area_columns_survive_a_join(spark):
     rows = [listing(listing_id=i, size=1.0, price=1.0) for i in range(3)]
     base = base_features(spark.createDataFrame(rows, LISTING))
     assert base.select(numeric.department(F.col("postal_code"))).first()[0] == "01"
+
+
+def test_codes_of_values_that_begin_alike(spark):
+    """Ranks come from ranges of the values, so a beginning that all share does no harm."""
+    values = [("c", f"https://example.org/{i:05d}") for i in range(3000)] + [("d", f"{i % 7}") for i in range(50)] + [("c", None)]
+    df = spark.createDataFrame(values, "name string, value string")
+    wide = df.select(F.when(F.col("name") == "c", F.col("value")).alias("c"), F.when(F.col("name") == "d", F.col("value")).alias("d"))
+    codes = encoding.fit_ordinal(wide.repartition(5), ["c", "d"])
+    assert dict(codes.sizes) == {"c": 3000, "d": 7}
+    found = {r["value"]: r["code"] for r in codes.table.where(F.col("column") == "c").collect()}
+    assert found == {f"https://example.org/{i:05d}": i for i in range(3000)}
+
+
+def test_shares_too_small_to_split(spark):
+    with pytest.raises(ValueError):
+        splits.hash_sample(spark.range(1).withColumnRenamed("id", "listing_id"), 1e-9)
