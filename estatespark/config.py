@@ -20,7 +20,9 @@ class RunConfig:
     clip_rooms: tuple[float | None, float | None] | None = None
     quantile_transform: str | None = None
     n_quantiles: int = 100
-    pseudo_labels: str | None = None
+    # Where pseudo labels are, or a flag beside `pseudo_labels_path`.
+    pseudo_labels: str | bool | None = None
+    pseudo_labels_path: str | None = None
     uncertainty_level: float = 0.5
     size_backfill: bool = True
     seed: int = 0
@@ -31,6 +33,11 @@ class RunConfig:
     one_hot_max_size: int = 8
     random_seed: int = 0
     early_stopping: bool = True
+    early_stopping_rounds: int | None = None
+    border_count: int = 64
+    subsample: float = 1.0
+    # The model's columns, where not all of them are wanted.
+    features: tuple[str, ...] | None = None
     # network inputs
     embed_scale: float = -1.0
     embed_dims: dict[str, int] = field(default_factory=dict)
@@ -44,6 +51,14 @@ class RunConfig:
             raise ValueError(f"quantile_transform must be 'uniform', 'normal' or null, not {self.quantile_transform!r}")
         if not 0.0 < self.valid_size < 1.0:
             raise ValueError("valid_size must lie between 0 and 1")
+        if self.n_folds < 2:
+            raise ValueError("each model leaves one fold out, so n_folds is 2 at least")
+        if self.pseudo_labels is True and not self.pseudo_labels_path:
+            raise ValueError("pseudo_labels: true needs pseudo_labels_path")
+
+    @property
+    def pseudo_label_source(self) -> str | None:
+        return self.pseudo_labels_path if self.pseudo_labels is True else (self.pseudo_labels or None)
 
 
 def config_from_mapping(values: dict) -> RunConfig:
@@ -54,7 +69,7 @@ def config_from_mapping(values: dict) -> RunConfig:
     chosen = {k: v for k, v in flat.items() if k in known and v is not None}
     if "columns_to_add" in flat and flat["columns_to_add"] is None:
         chosen["columns_to_add"] = ()
-    for name in ("columns_to_add", "im_size", "clip_rooms"):
+    for name in ("columns_to_add", "im_size", "clip_rooms", "features"):
         if isinstance(chosen.get(name), list):
             chosen[name] = tuple(chosen[name])
     if "clip_rooms" in chosen and not isinstance(chosen["clip_rooms"], tuple):

@@ -7,81 +7,139 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from estatespark.config import RunConfig
+from estatespark.functions.numeric import hash_bucket
 from estatespark.operators import splits
-from estatespark.operators.encoding import OrdinalCodes, fit_ordinal
 from estatespark.operators.projections import exp_prediction, log_target
+from estatespark.operators.target_statistics import TargetStatistics, count_categories, count_rows, fit_target_statistics
 from estatespark.schema import CATEGORICAL, IS_TEST, KEY, TARGET
 from estatespark.session import as_table
 
 LABEL = "label"
 FEATURES = "features"
 VALIDATION = "is_validation"
-# Nominal columns need one histogram bin per category in every tree node; above this many categories the sorted
-# category code is used as a number.
-MAX_BINS = 64
+FOLD = "fold"
+# Parts of each fold for target statistics, dealt by a hash of its own.
+FOLD_PARTS = 4
+PART_SEED_SHIFT = 3
 
 
 @dataclass(frozen=True)
 class Encoder:
-    """Category and number columns as one vector, fitted on the fit rows."""
+    """Category and number columns as one vector per ensemble member, fitted on the fit rows.
 
-    codes: OrdinalCodes
-    stages: PipelineModel
+    A category of a column with up to `one_hot_max_size` of them is a slot of its own, beside one slot for any other
+    value. The categories of larger columns are target statistics, which differ by member as each leaves its fold out.
+    """
+
+    one_hot: tuple[tuple[str, tuple[str, ...]], ...]
+    statistics: TargetStatistics
     continuous: tuple[str, ...]
-    names: tuple[str, ...]
+    left_out: tuple[tuple[int, ...], ...]
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        """The source column of every slot."""
+        slots = [column for column, labels in self.one_hot for _ in range(len(labels) + 1)]
+        return (*slots, *self.continuous, *self.statistics.tables)
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        """`df` with what `features` needs; the dictionaries are joined here, once for all members."""
+        return self.statistics.attach(df)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.stages.transform(_numbers(df, self.codes, self.continuous)).select(*df.columns, FEATURES)
+    def features(self, member: int, own: Column | None = None) -> Column:
+        """The vector of a member. Fit rows have `own`, their part of the statistics."""
+        slots = []
+        for column, labels in self.one_hot:
+            value = F.col(column).cast("string")
+            slots += [F.coalesce((value == label).cast("double"), F.lit(0.0)) for label in labels]
+            slots.append(F.coalesce((~value.isin(*labels)).cast("double"), F.lit(1.0)))
+        slots += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.continuous]
+        slots += [self.statistics.mean(c, self.left_out[member], own) for c in self.statistics.tables]
+        return array_to_vector(F.array(*slots))
 
 
-def _numbers(df: DataFrame, codes: OrdinalCodes, continuous: Sequence[str]) -> DataFrame:
-    """Missing numbers filled with 0, codes of the large categories added."""
-    filled = codes.transform(df.fillna(0.0, list(continuous)), suffix="_code")
-    return filled.withColumns({f"{c}_code": F.col(f"{c}_code").cast("double") for c in codes.sizes})
+def part_of(n_folds: int, seed: int) -> Column:
+    """Part of a fit row: its fold, and a finer hash inside it."""
+    return splits.fold(n_folds, seed) * FOLD_PARTS + hash_bucket(F.col(KEY), seed + PART_SEED_SHIFT, FOLD_PARTS)
 
 
 def fit_encoder(
-    df: DataFrame, continuous: Sequence[str], categorical: Sequence[str] = CATEGORICAL, one_hot_max_size: int = 8
+    fit_rows: DataFrame,
+    continuous: Sequence[str],
+    categorical: Sequence[str] = CATEGORICAL,
+    one_hot_max_size: int = 8,
+    n_folds: int = 2,
+    seed: int = 0,
+    by_fold: bool = False,
 ) -> Encoder:
-    """One-hot up to `one_hot_max_size` categories, nominal codes up to MAX_BINS, sorted codes as numbers above.
+    """`fit_rows` carry LABEL. With `by_fold` there is a member per fold, else one member that leaves nothing out.
 
-    One scan of `df`, for the category dictionaries.
+    The categories are counted in one scan; at most `one_hot_max_size` labels per column come to the driver.
     """
-    codes = fit_ordinal(df, categorical)
-    small = [c for c in categorical if codes.sizes[c] <= one_hot_max_size]
-    middle = [c for c in categorical if one_hot_max_size < codes.sizes[c] < MAX_BINS]
-    large = codes.only([c for c in categorical if codes.sizes[c] >= MAX_BINS])
-    # At most MAX_BINS labels per column come to the driver.
-    labels = codes.labels(small + middle)
-    stages = [StringIndexerModel.from_labels(labels[c], c, f"{c}_index", handleInvalid="keep") for c in small + middle]
-    if small:
-        # The indexer's last index stands for values unseen in the fit, so every index has a slot.
-        stages.append(
-            OneHotEncoder(inputCols=[f"{c}_index" for c in small], outputCols=[f"{c}_hot" for c in small], dropLast=False)
-        )
-    blocks = [f"{c}_hot" for c in small] + [f"{c}_index" for c in middle] + [f"{c}_code" for c in large.sizes]
-    stages.append(VectorAssembler(inputCols=blocks + list(continuous), outputCol=FEATURES, handleInvalid="error"))
-    fitted = Pipeline(stages=stages).fit(_numbers(df, large, continuous))
-    names = [c for c in small for _ in range(codes.sizes[c] + 1)] + middle + list(large.sizes) + list(continuous)
-    return Encoder(large, fitted, tuple(continuous), tuple(names))
+    part, parts = part_of(n_folds, seed), n_folds * FOLD_PARTS
+    counts = as_table(count_categories(fit_rows, categorical, LABEL, part), "category-counts")
+    values = counts.groupBy("column", "value").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    # The limit is pushed below the shuffle: a column brings no more than one label too many.
+    head = values.withColumn("place", place).where(F.col("place") <= one_hot_max_size + 1).collect()
+    labels: dict[str, list[str]] = {c: [] for c in categorical}
+    for row in sorted(head, key=lambda r: (r["column"], r["value"])):
+        labels[row["column"]].append(row["value"])
+    small = [c for c in categorical if len(labels[c]) <= one_hot_max_size]
+    large = [c for c in categorical if c not in small]
+    statistics = fit_target_statistics(counts, large, *count_rows(fit_rows, LABEL, part, parts))
+    folds = [tuple(range(i * FOLD_PARTS, (i + 1) * FOLD_PARTS)) for i in range(n_folds)] if by_fold else [()]
+    return Encoder(tuple((c, tuple(labels[c])) for c in small), statistics, tuple(continuous), tuple(folds))
+
+
+def first_trees(model: GBTRegressionModel, count: int) -> GBTRegressionModel:
+    """The model of the first `count` trees."""
+    if count >= model.getNumTrees:
+        return model
+    java, gateway = model._java_obj, SparkSession.active().sparkContext._gateway
+    package = gateway.jvm.org.apache.spark.ml.regression
+    trees = gateway.new_array(package.DecisionTreeRegressionModel, count)
+    weights = gateway.new_array(gateway.jvm.double, count)
+    for i in range(count):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    shorter = GBTRegressionModel(package.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures()))
+    return shorter.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
+
+
+def best_prefix(errors: Sequence[float], patience: int | None = None) -> int:
+    """How many iterations to keep: up to the lowest error, the first of equal ones.
+
+    With `patience` the search ends after that many iterations in a row without a new lowest error.
+    """
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        if patience is not None and i - best >= patience:
+            break
+    return best + 1
 
 
 @dataclass(frozen=True)
 class PriceModel:
     encoder: Encoder
     trees: GBTRegressionModel
+    member: int = 0
+
+    def score(self, attached: DataFrame, output: str) -> DataFrame:
+        """Adds the predicted price to rows that the encoder has attached its counts to."""
+        rows = attached.withColumn(FEATURES, self.encoder.features(self.member))
+        return exp_prediction(self.trees.transform(rows), "log_prediction", output).drop(FEATURES, "log_prediction")
 
     def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         """Adds the predicted price."""
-        scored = self.trees.transform(self.encoder.transform(df))
-        return exp_prediction(scored, "log_prediction", output).drop(FEATURES, "log_prediction")
+        return self.score(self.encoder.attach(df), output).select(*[c for c in df.columns if c != output], output)
 
     def importances(self, spark) -> DataFrame:
         """(feature, importance), slots of one source column added up."""
@@ -101,13 +159,56 @@ def tree_regressor(config: RunConfig) -> GBTRegressor:
         maxIter=config.iterations,
         stepSize=config.learning_rate,
         maxDepth=config.max_depth,
-        maxBins=MAX_BINS,
+        maxBins=config.border_count,
+        subsamplingRate=config.subsample,
         seed=config.random_seed,
         # Residuals are written to the checkpoint folder every ten trees, so a lost executor does not restart a long fit.
         checkpointInterval=10,
     )
 
 
+def fit_trees(rows: DataFrame, validation: DataFrame | None, config: RunConfig) -> GBTRegressionModel:
+    """All iterations on `rows` (FEATURES, LABEL); with validation rows, the prefix of lowest error there."""
+    model = tree_regressor(config).fit(rows)
+    if not config.early_stopping or validation is None or validation.isEmpty():
+        return model
+    errors = model.evaluateEachIteration(validation, "absolute")
+    return first_trees(model, best_prefix(list(errors), config.early_stopping_rounds))
+
+
+def _labelled(df: DataFrame, is_validation: Column | None, config: RunConfig) -> DataFrame:
+    known = log_target(df, TARGET, LABEL).where(F.col(LABEL).isNotNull())
+    flag = F.lit(False) if is_validation is None else is_validation
+    return known.withColumns({VALIDATION: F.coalesce(flag, F.lit(False)), FOLD: splits.fold(config.n_folds, config.seed)})
+
+
+def _members(
+    df: DataFrame, continuous: Sequence[str], config: RunConfig, is_validation: Column | None, categorical: Sequence[str],
+    by_fold: bool, parallelism: int,
+) -> tuple[PriceModel, ...]:
+    """Encodes the labelled rows once, writes them once, and fits each member on its partitions."""
+    known = _labelled(df, is_validation, config)
+    fit_rows = known.where(~F.col(VALIDATION))
+    encoder = fit_encoder(fit_rows, continuous, categorical, config.one_hot_max_size, config.n_folds, config.seed, by_fold)
+    own = F.when(~F.col(VALIDATION), part_of(config.n_folds, config.seed)).otherwise(-1)
+    count = len(encoder.left_out)
+    vectors = [encoder.features(i, own).alias(f"{FEATURES}_{i}") for i in range(count)]
+    encoded = encoder.attach(known).select(LABEL, VALIDATION, FOLD, *vectors)
+    encoded = as_table(encoded, "model-input", partition_by=FOLD)
+
+    def fit(i: int) -> PriceModel:
+        rows = encoded.select(F.col(f"{FEATURES}_{i}").alias(FEATURES), LABEL, VALIDATION, FOLD)
+        used = rows.where(~F.col(VALIDATION) & ((F.col(FOLD) != i) if by_fold else F.lit(True)))
+        held = rows.where(F.col(VALIDATION)) if is_validation is not None else None
+        return PriceModel(encoder, fit_trees(used, held, config), i)
+
+    if count == 1:
+        return (fit(0),)
+    # The members' jobs run side by side, as tree fits leave many executors idle between their short stages.
+    with ThreadPool(min(parallelism, count)) as pool:
+        return tuple(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(count)))
+
+
 def fit_price_model(
     df: DataFrame,
     continuous: Sequence[str],
@@ -116,39 +217,29 @@ def fit_price_model(
     categorical: Sequence[str] = CATEGORICAL,
 ) -> PriceModel:
     """Rows with a price: fit rows and, where `is_validation` says so, rows that only decide when to stop."""
-    known = log_target(df, TARGET, LABEL).where(F.col(LABEL).isNotNull())
-    flag = F.lit(False) if is_validation is None else is_validation
-    known = known.withColumn(VALIDATION, F.coalesce(flag, F.lit(False)))
-    fit_rows = known.where(~F.col(VALIDATION))
-    encoder = fit_encoder(fit_rows, continuous, categorical, config.one_hot_max_size)
-    # The learner passes over its input once per tree level, so the encoded rows are written once.
-    encoded = as_table(encoder.transform(known).select(FEATURES, LABEL, VALIDATION), "model-input")
-    learner = tree_regressor(config)
-    if config.early_stopping and is_validation is not None:
-        # Spark keeps the trees up to the lowest validation error.
-        model = learner.setValidationIndicatorCol(VALIDATION).fit(encoded)
-    else:
-        model = learner.fit(encoded.where(~F.col(VALIDATION)))
-    return PriceModel(encoder, model)
+    return _members(df, continuous, config, is_validation, categorical, by_fold=False, parallelism=1)[0]
 
 
 def validation_curve(model: PriceModel, df: DataFrame) -> list[float]:
     """Mean absolute error of the log price after each tree."""
-    encoded = model.encoder.transform(log_target(df, TARGET, LABEL).where(F.col(LABEL).isNotNull()))
-    return list(model.trees.evaluateEachIteration(encoded, "absolute"))
+    known = model.encoder.attach(log_target(df, TARGET, LABEL).where(F.col(LABEL).isNotNull()))
+    rows = known.select(model.encoder.features(model.member).alias(FEATURES), LABEL)
+    return list(model.trees.evaluateEachIteration(rows, "absolute"))
 
 
 @dataclass(frozen=True)
 class FoldEnsemble:
-    """One encoder and model per fold; the prediction is the mean price over the folds."""
+    """One encoder for all folds and a model per fold; the prediction is the mean price over the folds."""
 
     members: tuple[PriceModel, ...]
 
     def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         names = [f"fold_{i}" for i in range(len(self.members))]
+        rows = self.members[0].encoder.attach(df)
         for name, member in zip(names, self.members):
-            df = member.transform(df, name)
-        return average_predictions(df, names, output).drop(*names)
+            rows = member.score(rows, name)
+        scored = average_predictions(rows, names, output)
+        return scored.select(*[c for c in df.columns if c != output], output)
 
     def importances(self, spark) -> DataFrame:
         """Mean importance over the folds, highest first."""
@@ -176,19 +267,8 @@ def fit_fold_ensemble(
     categorical: Sequence[str] = CATEGORICAL,
     parallelism: int = 3,
 ) -> FoldEnsemble:
-    """Each member is fitted on the rows outside one fold; validation rows decide when to stop.
-
-    The folds' jobs run side by side, as tree fits leave many executors idle between their short stages.
-    """
-    flag = F.lit(False) if is_validation is None else is_validation
-    fold = splits.fold(config.n_folds, config.seed)
-
-    def fit(i: int) -> PriceModel:
-        return fit_price_model(df.where(flag | (fold != i)), continuous, config, is_validation, categorical)
-
-    with ThreadPool(min(parallelism, config.n_folds)) as pool:
-        members = pool.map(inheritable_thread_target(df.sparkSession)(fit), range(config.n_folds))
-    return FoldEnsemble(tuple(members))
+    """Each member is fitted on the rows outside one fold; validation rows decide when to stop."""
+    return FoldEnsemble(_members(df, continuous, config, is_validation, categorical, by_fold=True, parallelism=parallelism))
 
 
 def score_splits(model, df: DataFrame, config: RunConfig = RunConfig(), output: str = "prediction") -> DataFrame:

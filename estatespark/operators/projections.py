@@ -89,8 +89,12 @@ def model_columns(
     n_image_features: int = 0,
     n_pca_features: int | None = None,
     network: bool = False,
+    only: Sequence[str] | None = None,
 ) -> tuple[list[str], list[str]]:
-    """(continuous, categorical) columns of a model. Principal components replace the raw image columns."""
+    """(continuous, categorical) columns of a model. Principal components replace the raw image columns.
+
+    With `only` the model has those columns; each must be one that it could have.
+    """
     continuous = list(CONTINUOUS)
     if n_pca_features:
         continuous += [f"pca_feature_{i}" for i in range(n_pca_features)]
@@ -101,6 +105,11 @@ def model_columns(
     continuous += list(columns_to_add)
     if dont_use_size:
         continuous.remove("size")
+    if only is not None:
+        unknown = sorted(set(only) - {*continuous, *CATEGORICAL})
+        if unknown:
+            raise ValueError(f"columns that the model can't have: {unknown}")
+        return [c for c in continuous if c in only], [c for c in CATEGORICAL if c in only]
     return continuous, list(CATEGORICAL)
 
 

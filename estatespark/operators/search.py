@@ -1,28 +1,16 @@
-"""Random search over model settings."""
+"""Settings drawn for a random search, and the best of its runs."""
 
 from __future__ import annotations
 
 import math
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import fields, replace
 
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 
 from estatespark.config import RunConfig
 from estatespark.operators.metrics import best_run
-from estatespark.operators.models import FEATURES, LABEL, tree_regressor
-
-# Settings of the search that the tree learner takes, and their names there.
-LEARNER_PARAMS = {
-    "iterations": "maxIter",
-    "learning_rate": "stepSize",
-    "max_depth": "maxDepth",
-    "subsample": "subsamplingRate",
-    "border_count": "maxBins",
-}
 
 
 def sample_settings(space: Mapping[str, Mapping], n: int, seed: int = 0) -> list[dict]:
@@ -60,35 +48,6 @@ def apply_settings(config: RunConfig, settings: Mapping) -> RunConfig:
     return replace(config, **{k: v for k, v in settings.items()})
 
 
-def random_search(
-    encoded: DataFrame,
-    settings: Sequence[Mapping],
-    config: RunConfig = RunConfig(),
-    parallelism: int = 2,
-    train_share: float = 0.8,
-) -> DataFrame:
-    """(run, metric, value) of one fit per setting, on rows with FEATURES and LABEL; the metric is the mean absolute error
-    of log prices on held-out rows."""
-    learner = tree_regressor(config)
-    grid = []
-    for chosen in settings:
-        unknown = sorted(set(chosen) - set(LEARNER_PARAMS))
-        if unknown:
-            raise ValueError(f"settings that the learner does not take: {unknown}")
-        grid.append({learner.getParam(LEARNER_PARAMS[k]): v for k, v in chosen.items()})
-    evaluator = RegressionEvaluator(labelCol=LABEL, predictionCol="log_prediction", metricName="mae")
-    search = TrainValidationSplit(
-        estimator=learner,
-        estimatorParamMaps=grid or ParamGridBuilder().build(),
-        evaluator=evaluator,
-        trainRatio=train_share,
-        parallelism=parallelism,
-        seed=config.random_seed,
-    )
-    errors = search.fit(encoded.select(FEATURES, LABEL)).validationMetrics
-    rows = [(f"trial_{i:04d}", "mae_log", float(e)) for i, e in enumerate(errors)]
-    return encoded.sparkSession.createDataFrame(rows, "run string, metric string, value double")
-
-
-def best_trial(trials: DataFrame) -> DataFrame:
-    return best_run(trials, "value")
+def best_trial(trials: DataFrame, metric: str = "MAPE_valid") -> DataFrame:
+    """The trial with the lowest metric; ties go to the smaller name."""
+    return best_run(trials.where(trials["metric"] == metric), "value")

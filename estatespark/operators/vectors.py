@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 from estatespark.schema import KEY
 
+# The covariance matrix of this width takes 128 MB.
+MAX_WIDTH = 4096
+
 
 def vector_mean(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Element-wise mean per key. Sums of fixed width combine before the shuffle, so a key may hold any share of rows."""
@@ -76,8 +79,13 @@ class Components:
 
 
 def fit_components(df: DataFrame, vector: str, n_components: int) -> Components:
-    """Sums of products are aggregated on the executors; the driver sees one matrix of the vector's width."""
+    """Sums of products are aggregated on the executors; the driver sees one square matrix of the vector's width, which is why
+    widths above MAX_WIDTH are refused.
+    """
     present = df.where(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector)).alias("pca_in"))
+    width = present.select(F.size(vector_to_array("pca_in")).alias("width")).agg(F.max("width")).first()[0] or 0
+    if width > MAX_WIDTH:
+        raise ValueError(f"components of vectors wider than {MAX_WIDTH} are not fitted: {width}")
     centre = StandardScaler(withMean=True, withStd=False, inputCol="pca_in", outputCol="pca_centred").fit(present)
     model = PCA(k=n_components, inputCol="pca_centred", outputCol="pca_raw").fit(centre.transform(present))
     loadings = model.pc.toArray()

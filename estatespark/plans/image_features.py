@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from estatespark.operators import pixels, vectors
@@ -25,8 +25,12 @@ def listing_vectors(
 
 def extract_features(
     spark: SparkSession, root: str, path: str, loader: Callable[[], Callable[[np.ndarray], np.ndarray]] = pixels.colour_summary
-) -> int:
-    """Reads the photo tree under `root`, writes wide feature tables per split, returns the feature count."""
-    packed = as_table(listing_vectors(photos.decode_photos(spark, root), loader), "photo-vectors")
+) -> dict[str, int]:
+    """Reads the photo tree under `root`, writes wide feature tables per split.
+
+    Returns the numbers of features, of photos, and of photos that could not be decoded.
+    """
+    counted = Observation("photos")
+    packed = as_table(listing_vectors(photos.decode_photos(spark, root, counted), loader), "photo-vectors")
     size = packed.agg(F.max(F.size("vector"))).first()[0] or 0
-    return sinks.write_features(vectors.widen(packed, "vector", size), path)
+    return {"n_features": sinks.write_features(vectors.widen(packed, "vector", size), path), **counted.get}

@@ -12,6 +12,7 @@ from estatespark.config import RunConfig
 from estatespark.operators import pixels, splits, vectors
 from estatespark.plans import image_features, training
 from estatespark.schema import FEATURES, IS_TEST, KEY, LABELS, PSEUDO_LABELS, SUBMISSION
+from estatespark.session import run_folder
 from estatespark.sources import sinks, tables
 
 
@@ -26,7 +27,7 @@ def load_listings(spark: SparkSession, train: str, test: str, labels: str, confi
 
 def load_image_features(spark: SparkSession, *paths: str) -> DataFrame:
     """Wide feature tables of the splits, packed as (key, vector)."""
-    wide = [tables.read_keyed(spark, path, None, KEY) for path in paths]
+    wide = [tables.read_image_features(spark, path) for path in paths]
     stacked = wide[0]
     for other in wide[1:]:
         stacked = vectors.union_vectors(stacked, other)
@@ -47,17 +48,26 @@ def tree_job(
     image_feature_paths: tuple[str, ...] = (),
     run: str = "run",
 ) -> training.TreeRun:
-    """Writes `submission.csv`, `metrics` and `importances` under `output`."""
+    """Writes `submission.csv`, `metrics` and `importances` under `output`; what was written on the way is gone at the end.
+
+    Returns the tables as they lie under `output`. The model goes with the run; `training.run_trees` keeps it.
+    """
     listings = load_listings(spark, train, test, labels, config)
     images = load_image_features(spark, *image_feature_paths) if config.use_image_features and image_feature_paths else None
-    pseudo = tables.read_keyed(spark, config.pseudo_labels, PSEUDO_LABELS, KEY) if config.pseudo_labels else None
-    result = training.run_trees(listings, config, images, pseudo, run)
-    rows = tables.read_table(spark, template, SUBMISSION)
-    predicted = result.scored.where(F.col(IS_TEST))
-    sinks.write_submission(sinks.fill_template(rows, predicted, "prediction"), f"{output}/submission.csv")
-    sinks.append_metrics(result.metrics, f"{output}/metrics")
-    result.importances.write.parquet(f"{output}/importances")
-    return result
+    source = config.pseudo_label_source
+    pseudo = tables.read_keyed(spark, source, PSEUDO_LABELS, KEY) if source else None
+    with run_folder(spark):
+        result = training.run_trees(listings, config, images, pseudo, run)
+        rows = tables.read_table(spark, template, SUBMISSION)
+        result.scored.select(KEY, IS_TEST, "split", "prediction").write.parquet(f"{output}/scored")
+        scored = spark.read.parquet(f"{output}/scored")
+        predicted = scored.where(F.col(IS_TEST))
+        sinks.write_submission(sinks.fill_template(rows, predicted, "prediction"), f"{output}/submission.csv")
+        sinks.append_metrics(result.metrics, f"{output}/metrics")
+        result.importances.write.parquet(f"{output}/importances")
+    return training.TreeRun(
+        None, scored, spark.read.parquet(f"{output}/metrics").where(F.col("run") == run), spark.read.parquet(f"{output}/importances")
+    )
 
 
 def image_feature_job(
@@ -66,9 +76,10 @@ def image_feature_job(
     output: str,
     loader: Callable[[], Callable[[np.ndarray], np.ndarray]] = pixels.colour_summary,
     run: str = "run",
-) -> int:
-    """Photo tree to wide feature tables per split; the feature count goes to `metrics`."""
-    count = image_features.extract_features(spark, photos, f"{output}/image_features", loader)
-    metric = spark.createDataFrame([(run, "n_features", float(count))], "run string, metric string, value double")
-    sinks.append_metrics(metric, f"{output}/metrics")
-    return count
+) -> dict[str, int]:
+    """Photo tree to wide feature tables per split; the numbers of features, photos and undecoded photos go to `metrics`."""
+    with run_folder(spark):
+        counts = image_features.extract_features(spark, photos, f"{output}/image_features", loader)
+    rows = [(run, name, float(count)) for name, count in counts.items()]
+    sinks.append_metrics(spark.createDataFrame(rows, "run string, metric string, value double"), f"{output}/metrics")
+    return counts

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatespark.config import RunConfig
-from estatespark.operators import encoding, projections, quantile_map, sequences, splits
+from estatespark.operators import encoding, pixels, projections, pseudo_labels, quantile_map, sequences, splits
 from estatespark.schema import IS_TEST, KEY, TARGET
 from estatespark.session import as_table
 
@@ -20,8 +20,11 @@ class NetworkInputs:
     preprocessor: encoding.Preprocessor
 
 
-def network_inputs(listings: DataFrame, config: RunConfig = RunConfig()) -> NetworkInputs:
-    """Rows of all splits: key, split, log price, codes (unknown = number of categories), scaled numbers."""
+def network_inputs(listings: DataFrame, config: RunConfig = RunConfig(), labels: DataFrame | None = None) -> NetworkInputs:
+    """Rows of all splits: key, split, log price, codes (unknown = number of categories), scaled numbers.
+
+    Test rows with an accepted pseudo label (`labels`: key, price, uncertainty) are fit rows as well, as rows of `train`.
+    """
     if config.debug:
         listings = splits.hash_sample(listings, seed=config.seed)
     fitted = None
@@ -30,11 +33,15 @@ def network_inputs(listings: DataFrame, config: RunConfig = RunConfig()) -> Netw
             listings.where(~F.col(IS_TEST)), n_quantiles=config.n_quantiles, output=config.quantile_transform
         )
     prepared = as_table(projections.prepare(listings, fitted, config.clip_rooms), "prepared")
-    fit_rows = prepared.where(splits.is_fit(config.valid_size, config.seed))
+    prepared = prepared.withColumn("split", splits.split_name(config.valid_size, config.seed))
+    if labels is not None:
+        test = prepared.where(F.col(IS_TEST))
+        more = pseudo_labels.append_pseudo_labels(prepared.limit(0), test, labels, config.uncertainty_level)
+        prepared = prepared.unionByName(more.withColumn("split", F.lit("train")))
+    fit_rows = prepared.where(F.col("split") == "train")
     continuous, categorical = projections.model_columns(network=True)
     preprocessor = encoding.fit_preprocessor(fit_rows, continuous, categorical, unknown="count")
     coded = projections.log_target(preprocessor.transform(prepared), TARGET, "log_price")
-    coded = coded.withColumn("split", splits.split_name(config.valid_size, config.seed))
     rows = projections.select_features(coded, [KEY, "split", "log_price"], continuous, categorical)
     sizes = prepared.sparkSession.createDataFrame(
         [(c, n + 1) for c, n in preprocessor.codes.sizes.items()], "column string, cardinality bigint"
@@ -48,3 +55,20 @@ def photo_inputs(photos: DataFrame, split: str, order: str, value: str, zero: Co
     """Padded photo sequences of one split's listings."""
     chosen = sequences.photo_fallback(photos, split)
     return sequences.pad_sequences(sequences.first_photos(chosen, order), value, zero)
+
+
+def photo_pixel_inputs(images: DataFrame, split: str, config: RunConfig = RunConfig(), order: str = "name") -> DataFrame:
+    """(key, sequence, mask): the first photos of one split's listings, at one size, as padded pixel arrays.
+
+    `images` are decoded photos (key, split, `order`, height, width, n_channels, data). The photos are chosen from keys and names
+    alone, and only chosen ones are resized. `target_size` above 0 cuts a square of that side, else photos are stretched
+    to `im_size`; with `norm_image` pixels are normalised, and padding photos are zero either way.
+    """
+    names = images.select(KEY, "split", order)
+    chosen = sequences.first_photos(sequences.photo_fallback(names, split), order)
+    kept = images.join(chosen, [KEY, "split", order])
+    resized = pixels.resize_photos(kept, config.target_size, config.im_size, config.norm_image)
+    height, width = (config.target_size,) * 2 if config.target_size > 0 else config.im_size
+    entry = "float" if config.norm_image else "smallint"
+    zero = F.array_repeat(F.lit(0).cast(entry), height * width * 3)
+    return sequences.pad_sequences(resized, "pixels", zero)

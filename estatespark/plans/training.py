@@ -16,34 +16,38 @@ from estatespark.session import as_table
 
 def model_table(
     listings: DataFrame, config: RunConfig = RunConfig(), image_features: DataFrame | None = None, vector: str = "vector"
-) -> tuple[DataFrame, list[str]]:
-    """(rows ready for the model, continuous columns). `image_features` is (key, array `vector`)."""
+) -> tuple[DataFrame, list[str], list[str]]:
+    """(rows ready for the model, continuous columns, categorical ones). `image_features` is (key, array `vector`)."""
     enriched = enrich(listings, config.size_cutoff, config.valid_size, config.seed, config.size_backfill)
     fitted = None
     if config.quantile_transform is not None:
-        known = enriched.where(~F.col(IS_TEST))
+        # Enrichment leaves these columns as they are, so the map needs none of its joins.
+        known = listings.where(~F.col(IS_TEST))
         fitted = quantile_map.fit_quantile_map(known, n_quantiles=config.n_quantiles, output=config.quantile_transform)
     table = projections.prepare(enriched, fitted, config.clip_rooms)
     n_images = 0
     if config.use_image_features and image_features is not None:
-        table = vectors.join_image_features(table, image_features)
-        n_images = image_features.select(F.size(vector)).first()[0]
+        # Listings without photos have no vector, and so may the first row.
+        n_images = image_features.agg(F.max(F.size(vector))).first()[0] or 0
         if config.n_pca_features:
-            components = vectors.fit_components(table, vector, config.n_pca_features)
-            projected = components.transform(table, vector)
+            joined = listings.select(KEY).join(image_features, KEY)
+            owned = as_table(joined.select(vector), "photo-vectors")
+            components = vectors.fit_components(owned, vector, config.n_pca_features)
+            projected = components.transform(vectors.join_image_features(table, image_features), vector)
             table = vectors.widen(projected, "pca", config.n_pca_features, "pca_feature_").drop(vector)
         else:
-            table = vectors.widen(table, vector, n_images)
+            table = vectors.widen(vectors.join_image_features(table, image_features), vector, n_images)
     continuous, categorical = projections.model_columns(
-        config.columns_to_add, config.dont_use_size, n_images, config.n_pca_features if n_images else None
+        config.columns_to_add, config.dont_use_size, n_images, config.n_pca_features if n_images else None, only=config.features
     )
-    ready = projections.select_features(table, [KEY, IS_TEST, TARGET], continuous, categorical)
-    return ready, continuous
+    # The area of the pseudo labels is kept, whether it is a feature or not.
+    area = [] if "postal_code" in categorical else ["postal_code"]
+    return projections.select_features(table, [KEY, IS_TEST, TARGET, *area], continuous, categorical), continuous, categorical
 
 
 @dataclass(frozen=True)
 class TreeRun:
-    model: models.FoldEnsemble
+    model: models.FoldEnsemble | None
     scored: DataFrame
     metrics: DataFrame
     importances: DataFrame
@@ -57,19 +61,19 @@ def run_trees(
     run: str = "run",
 ) -> TreeRun:
     """`labels` are pseudo labels (key, price, uncertainty) of test rows."""
-    table, continuous = model_table(listings, config, image_features)
+    table, continuous, categorical = model_table(listings, config, image_features)
     # Every fold fit and the scoring read the prepared rows.
-    return fit_and_score(as_table(table, "prepared"), continuous, config, labels, run)
+    return fit_and_score(as_table(table, "prepared"), continuous, categorical, config, labels, run)
 
 
 def fit_and_score(
-    table: DataFrame, continuous: list[str], config: RunConfig, labels: DataFrame | None = None, run: str = "run"
+    table: DataFrame, continuous: list[str], categorical: list[str], config: RunConfig, labels: DataFrame | None = None, run: str = "run"
 ) -> TreeRun:
     known = table.where(~F.col(IS_TEST))
     validation = splits.is_holdout(config.valid_size, config.seed) & ~F.col(IS_TEST)
     if labels is not None:
         known = pseudo_labels.append_pseudo_labels(known, table.where(F.col(IS_TEST)), labels, config.uncertainty_level)
-    model = models.fit_fold_ensemble(known, continuous, config, validation)
+    model = models.fit_fold_ensemble(known, continuous, config, validation, categorical)
     scored = models.score_splits(model, table, config)
     errors = metrics.metrics_by_split(scored.where(~F.col(IS_TEST)), "split", TARGET, "prediction")
     return TreeRun(model, scored, metrics.metric_rows(errors, run), model.importances(table.sparkSession))
@@ -79,11 +83,11 @@ def pseudo_label_rounds(
     listings: DataFrame, config: RunConfig = RunConfig(), rounds: int = 1, image_features: DataFrame | None = None
 ) -> TreeRun:
     """A run without pseudo labels, then runs on the labels of the run before. The rows are prepared once."""
-    table, continuous = model_table(listings, config, image_features)
+    table, continuous, categorical = model_table(listings, config, image_features)
     table = as_table(table, "prepared")
-    result = fit_and_score(table, continuous, config, run="round_0")
+    result = fit_and_score(table, continuous, categorical, config, run="round_0")
     for i in range(rounds):
         scored = result.scored.select(KEY, "postal_code", TARGET, "prediction", IS_TEST)
         labels = as_table(pseudo_labels.pseudo_labels(as_table(scored, "scored")), "pseudo-labels")
-        result = fit_and_score(table, continuous, config, labels, f"round_{i + 1}")
+        result = fit_and_score(table, continuous, categorical, config, labels, f"round_{i + 1}")
     return result

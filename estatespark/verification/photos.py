@@ -11,8 +11,9 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from estatespark.config import RunConfig
 from estatespark.operators import pixels
-from estatespark.plans import image_features
+from estatespark.plans import image_features, network_inputs
 from estatespark.session import fresh_path
 from estatespark.sources import photos, sinks
 from estatespark.verification.registry import check, exploded, rounded
@@ -69,8 +70,9 @@ def src_photos(spark, sf):
     return photos.parse_photo_paths(rows.select(path.alias("path"))).select("listing_id", "split", "name")
 
 
-@check("src_photo_dims", f"with {DRAWN} select photo_no, width, height, cast(3 as bigint) as n_channels from drawn", views=())
-def src_photo_dims(spark, sf):
+@check("photo_dims_projection", f"with {DRAWN} select photo_no, width, height, cast(3 as bigint) as n_channels from drawn", views=())
+def photo_dims_projection(spark, sf):
+    """Width, height and channels of decoded photos. Decoding itself is tested on files."""
     dims = photos.photo_dims(drawn_photos(spark, sf)).select("photo_no", "width", "height", "n_channels")
     return dims.select(*[F.col(c).cast("bigint").alias(c) for c in dims.columns])
 
@@ -113,6 +115,31 @@ def resize_pixels(spark, sf):
     return exploded(rows, "pixels").withColumn("value", F.col("value").cast("bigint"))
 
 
+@check(
+    "photo_pixel_inputs",
+    _RESIZED
+    + """, c as (select * from drawn where split='train' or (split='test' and listing_id not in (select listing_id from drawn where split='train'))),
+ n as (select photo_no, listing_id, row_number() over (partition by listing_id order by photo_no)-1 as place from c),
+ w as (select photo_no, sum((position+1)*value) as weighed from resized group by 1)
+ select k.listing_id, cast(p as bigint) as place, cast(coalesce(w.weighed,0) as bigint) as weighed, cast(case when n.photo_no is null then 0 else 1 end as bigint) as mask
+ from (select distinct listing_id from c) k cross join (select unnest(range(6)) as p) left join n on n.listing_id=k.listing_id and n.place=p
+ left join w on w.photo_no=n.photo_no""",
+    views=(),
+)
+def photo_pixel_inputs(spark, sf):
+    """The first six photos of each listing, resized and padded; all pixels of a photo go into one number."""
+    config = RunConfig(target_size=TARGET, norm_image=False)
+    rows = network_inputs.photo_pixel_inputs(drawn_photos(spark, sf), "train", config, "photo_no")
+    both = rows.select("listing_id", F.posexplode(F.arrays_zip("sequence", "mask")).alias("place", "entry"))
+    placed = F.transform("entry.sequence", lambda v, i: v.cast("bigint") * (i + 1))
+    return both.select(
+        "listing_id",
+        F.col("place").cast("bigint").alias("place"),
+        F.aggregate(placed, F.lit(0).cast("bigint"), lambda s, v: s + v).alias("weighed"),
+        F.col("entry.mask").cast("bigint").alias("mask"),
+    )
+
+
 _MEAN = "case c when 0 then 0.485e0 when 1 then 0.456e0 else 0.406e0 end"
 _STD = "case c when 0 then 0.229e0 when 1 then 0.224e0 else 0.225e0 end"
 

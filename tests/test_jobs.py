@@ -1,5 +1,7 @@
 """A run from CSV files to CSV files."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from estatespark.config import RunConfig
 from estatespark.plans import jobs
 from estatespark.schema import FEATURES, LABELS, LISTING, PSEUDO_LABELS
+from estatespark.session import BroadcastBudget, as_table, joinable, run_folder, shared_dir
 from estatespark.sources import sinks, tables
 
 
@@ -83,6 +86,48 @@ def test_written_nan_is_missing(spark, tmp_path):
     assert [r["price"] for r in rows] == [None, 3.5, None]
 
 
+def test_nan_in_parquet_is_missing(spark, tmp_path):
+    path = str(tmp_path / "labels.parquet")
+    spark.createDataFrame([(1, float("nan")), (2, 3.5), (3, None)], LABELS).write.parquet(path)
+    for schema in (LABELS, None):
+        rows = tables.read_table(spark, path, schema).orderBy("listing_id").collect()
+        assert [r["price"] for r in rows] == [None, 3.5, None]
+
+
+def test_photo_features_from_csv(spark, files, tmp_path):
+    _, paths, _ = files
+    wide = spark.read.parquet(paths["images"])
+    path = str(tmp_path / "images.csv")
+    # Columns in an order of their own.
+    wide.select("image_feature_1", "listing_id", "image_feature_0").write.option("header", True).csv(path)
+    packed = {r["listing_id"]: r["vector"] for r in jobs.load_image_features(spark, path).collect()}
+    assert packed == {r["listing_id"]: r["vector"] for r in jobs.load_image_features(spark, paths["images"]).collect()}
+    odd = str(tmp_path / "odd.csv")
+    wide.withColumnRenamed("image_feature_1", "feature").write.option("header", True).csv(odd)
+    with pytest.raises(ValueError):
+        jobs.load_image_features(spark, odd)
+
+
+def test_a_run_leaves_nothing_behind(spark, files, tmp_path):
+    shared = shared_dir(spark)
+    before = set(os.listdir(shared.removeprefix("file:")))
+    with pytest.raises(ZeroDivisionError):
+        with run_folder(spark) as folder:
+            table = as_table(spark.range(5), "numbers")
+            assert table.count() == 5 and folder in table.inputFiles()[0]
+            1 / 0
+    with run_folder(spark):
+        as_table(spark.range(5), "numbers")
+    assert set(os.listdir(shared.removeprefix("file:"))) == before
+
+
+def test_broadcasts_share_a_budget(spark):
+    table = as_table(spark.range(100), "numbers")
+    budget = BroadcastBudget(2000)
+    hinted = ["broadcast" in joinable(table, size, budget)._jdf.queryExecution().logical().toString().lower() for size in (1500, 600, 500, 1)]
+    assert hinted == [True, False, True, False]
+
+
 def test_template_rows_without_prediction_stay(spark):
     template = spark.createDataFrame([(1, 0.0), (2, 0.0)], LABELS)
     predictions = spark.createDataFrame([(2, 7.0)], "listing_id bigint, prediction double")

@@ -2,12 +2,15 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from estatespark.config import RunConfig
 from estatespark.operators import metrics, models, search, splits, vectors
 from estatespark.plans import training
 from estatespark.plans.network_inputs import network_inputs
+from estatespark.plans.search import search_runs
 from estatespark.schema import CATEGORICAL, CONTINUOUS, LISTING
 
 
@@ -96,15 +99,58 @@ def test_unseen_categories_and_missing_numbers_are_scored(market, run):
     assert len(model.encoder.names) == model.trees.numFeatures
 
 
-def test_stopping_keeps_the_best_trees(market):
-    from estatespark.operators.projections import prepare
-
-    rows = prepare(market.where("not is_test"))
-    validation = splits.is_holdout()
-    config = RunConfig(iterations=12, learning_rate=1.0, max_depth=2)
-    model = models.fit_price_model(rows, CONTINUOUS, config, validation)
-    errors = models.validation_curve(model, rows.where(validation))
-    assert len(errors) <= 12 and errors[-1] == min(errors)
+@pytest.mark.parametrize("rate", [0.01, 0.04, 0.4, 1.0])
+def test_stopping_keeps_the_best_prefix(spark, rate):
+    """The learner's own validation would stop at the first small gain, or go on past the best tree."""
+    rng = np.random.default_rng(0)
+    data = rng.normal(size=(1500, 3))
+    label = data[:, 0] * 2 + np.sin(3 * data[:, 1]) + rng.normal(size=1500) * 0.3
+    rows = [(Vectors.dense(x), float(y), i % 4 == 0) for i, (x, y) in enumerate(zip(data, label))]
+    df = spark.createDataFrame(rows, ["features", "label", "held"]).persist()
+    fit, held = df.where("not held"), df.where("held")
+    config = RunConfig(iterations=14, learning_rate=rate, max_depth=3)
+    errors = list(models.tree_regressor(config).fit(fit).evaluateEachIteration(held, "absolute"))
+    kept = models.fit_trees(fit, held, config)
+    assert kept.getNumTrees == int(np.argmin(errors)) + 1
+    error = kept.transform(held).agg(F.avg(F.abs(F.col("label") - F.col("log_prediction")))).first()[0]
+    assert error == pytest.approx(min(errors), abs=1e-9)
+    assert models.fit_trees(fit, None, config).getNumTrees == 14
+
+
+def test_patience():
+    errors = [5.0, 4.0, 4.5, 4.6, 3.0, 3.0, 3.1, 3.2, 1.0]
+    assert models.best_prefix(errors) == 9
+    assert models.best_prefix(errors, 2) == 2 and models.best_prefix(errors, 3) == 5 and models.best_prefix(errors, 4) == 9
+    assert models.best_prefix([2.0, 2.0]) == 1
+
+
+@pytest.mark.parametrize("categories", [8, 9, 63, 64, 65, 10_000])
+def test_one_rule_for_any_number_of_categories(spark, categories):
+    """Slots up to the run's limit, smoothed means above it, whatever the number."""
+    df = spark.range(20_000).select(
+        F.col("id").alias("listing_id"), (F.col("id") % categories).cast("string").alias("c"), (F.col("id") % categories % 5).cast("double").alias("label")
+    )
+    encoder = models.fit_encoder(df, [], ["c"], one_hot_max_size=8)
+    rows = encoder.attach(df).select("label", "c", vector_to_array(encoder.features(0)).alias("v")).limit(200).collect()
+    if categories <= 8:
+        assert len(encoder.names) == categories + 1 and all(sum(r.v) == 1.0 for r in rows)
+    else:
+        n, mean = 20_000 / categories, df.agg(F.avg("label")).first()[0]
+        assert encoder.names == ("c",)
+        assert all(abs(r.v[0] - (r.label * n + 10 * mean) / (n + 10)) < 0.05 for r in rows)
+
+
+def test_no_row_sees_its_own_label(spark):
+    """Each category has one row: without its own part only the overall mean is left."""
+    df = spark.range(400).select(F.col("id").alias("listing_id"), F.col("id").cast("string").alias("c"), F.col("id").cast("double").alias("label"))
+    encoder = models.fit_encoder(df, [], ["c"], n_folds=3, by_fold=True)
+    part = models.part_of(3, 0)
+    for member in range(3):
+        rows = encoder.attach(df).select("label", splits.fold(3, 0).alias("fold"), part.alias("part"), vector_to_array(encoder.features(member, part)).alias("v")).collect()
+        for r in rows:
+            seen = [o.label for o in rows if o.part != r.part and o.fold != member]
+            assert r.v[0] == pytest.approx(np.mean(seen))
+    assert encoder.attach(df.withColumn("c", F.lit(None).cast("string"))).select(encoder.features(0)).distinct().count() == 1
 
 
 def test_pseudo_labels_add_rows(market):
@@ -118,11 +164,14 @@ def test_image_features_join_the_run(spark, market):
         "listing_id", F.array(F.col("size") / 100, F.lit(1.0), F.col("nb_photos")).alias("vector")
     )
     config = RunConfig(use_image_features=True, n_pca_features=2, quantile_transform="normal", n_quantiles=20)
-    table, continuous = training.model_table(market, config, images)
+    table, continuous, _ = training.model_table(market, config, images)
     assert continuous[14:16] == ["pca_feature_0", "pca_feature_1"]
     assert table.where("pca_feature_0 is null").count() == market.where("listing_id % 3 = 0").count()
-    plain, names = training.model_table(market, RunConfig(use_image_features=True, columns_to_add=()), images)
+    missing_first = spark.createDataFrame([(1, None)], "listing_id bigint, vector array<double>").union(images.where("listing_id <> 1"))
+    _, names, _ = training.model_table(market, RunConfig(use_image_features=True, columns_to_add=()), missing_first)
     assert names[14:] == ["image_feature_0", "image_feature_1", "image_feature_2"]
+    with pytest.raises(ValueError):
+        training.model_table(market, RunConfig(features=("no_such_column",)))
 
 
 def test_network_inputs_hold_codes_and_sizes(market):
@@ -152,10 +201,28 @@ def test_random_search(spark, market):
     with pytest.raises(ValueError):
         search.apply_settings(RunConfig(), {"l2_leaf_reg": 1.0})
     assert search.apply_settings(RunConfig(), {"max_depth": 8}).max_depth == 8
-    rows = market.where("not is_test").select(F.log("price").alias("label"), "size", "nb_rooms")
-    encoded = vectors.assemble(rows, ["size", "nb_rooms"])
-    trials = search.random_search(encoded, [{"max_depth": 1, "iterations": 1}, {"max_depth": 5, "iterations": 3}])
-    assert trials.count() == 2
+    config = RunConfig(n_folds=2, learning_rate=0.5, features=("size", "city"), columns_to_add=())
+    weak, strong = {"max_depth": 1, "iterations": 1}, {"max_depth": 5, "iterations": 4, "border_count": 10, "one_hot_max_size": 20, "subsample": 0.9}
+    trials = search_runs(market, [weak, strong], config)
+    assert {(r["run"], r["metric"]) for r in trials.collect()} == {(t, m) for t in ("trial_0000", "trial_0001") for m in ("MAPE_train", "MAPE_valid")}
     assert search.best_trial(trials).first()["run"] == "trial_0001"
     with pytest.raises(ValueError):
-        search.random_search(encoded, [{"lr": 0.1}])
+        search_runs(market, [{"lr": 0.1}])
+
+
+def test_network_inputs_take_pseudo_labels(spark, market):
+    labels = market.where("is_test").select("listing_id", F.lit(5000.0).alias("price"), (F.col("listing_id") % 2).cast("double").alias("uncertainty"))
+    plain, more = network_inputs(market).rows, network_inputs(market, labels=labels).rows
+    accepted = labels.where("uncertainty < 0.5").count()
+    assert more.count() == plain.count() + accepted
+    added = more.join(labels, "listing_id").where("split = 'train'")
+    assert added.count() == accepted and added.where("abs(log_price - ln(5000)) > 1e-9").count() == 0
+
+
+def test_settings_that_are_refused():
+    with pytest.raises(ValueError):
+        RunConfig(n_folds=1)
+    with pytest.raises(ValueError):
+        RunConfig(pseudo_labels=True)
+    assert RunConfig(pseudo_labels=True, pseudo_labels_path="p").pseudo_label_source == "p"
+    assert RunConfig(pseudo_labels="q").pseudo_label_source == "q" and RunConfig(pseudo_labels=False).pseudo_label_source is None

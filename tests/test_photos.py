@@ -5,10 +5,13 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from estatespark.config import RunConfig
 from estatespark.operators import pixels, projections, sequences
 from estatespark.plans import image_features
+from estatespark.plans.network_inputs import photo_pixel_inputs
 from estatespark.sources import photos, sinks
 
 
@@ -105,12 +108,39 @@ def test_resize_and_normalise(spark, tree, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(made)
 
 
-def test_stretch_without_target(spark, tree):
+@pytest.mark.parametrize("target", [None, 0, -1])
+def test_stretch_without_target(spark, tree, target):
     root, _ = tree
-    rows = pixels.resize_photos(photos.decode_photos(spark, root), None, (4, 6)).collect()
+    rows = pixels.resize_photos(photos.decode_photos(spark, root), target, (4, 6)).collect()
     assert {(r["height"], r["width"], len(r["pixels"])) for r in rows} == {(4, 6, 72)}
 
 
+def test_pixel_inputs_from_files(spark, tree):
+    root, made = tree
+    images = photos.decode_photos(spark, root).select("listing_id", "split", "name", "height", "width", "n_channels", "data")
+    rows = {r["listing_id"]: r for r in photo_pixel_inputs(images, "train", RunConfig(target_size=8)).collect()}
+    train, test = ({i for s, i, _ in made if s == split} for split in ("train", "test"))
+    assert set(rows) == train | test
+    for listing, row in rows.items():
+        split = "train" if listing in train else "test"
+        count = min(6, sum(1 for s, i, _ in made if (s, i) == (split, listing)))
+        assert row["mask"] == [1] * count + [0] * (6 - count)
+        assert len(row["sequence"]) == 6 and all(len(p) == 8 * 8 * 3 for p in row["sequence"])
+        assert all(set(p) == {0.0} for p in row["sequence"][count:]) and all(len(set(p)) > 1 for p in row["sequence"][:count])
+    stretched = photo_pixel_inputs(images, "train", RunConfig(target_size=0, im_size=(4, 6), norm_image=False)).first()
+    assert {len(p) for p in stretched["sequence"]} == {72}
+
+
+def test_broken_photos_are_counted(spark, tree, tmp_path):
+    root, made = tree
+    broken = tmp_path / "photos" / "train" / "ann_99"
+    broken.mkdir(parents=True)
+    (broken / "x.jpg").write_bytes(b"no image")
+    counted = Observation("broken")
+    assert photos.decode_photos(spark, str(tmp_path / "photos"), counted).count() == 0
+    assert counted.get == {"n_photos": 1, "n_undecoded": 1}
+
+
 def test_geometry_of_odd_margins(spark):
     df = spark.createDataFrame([(300, 100), (100, 300), (171, 128), (50, 50)], "width int, height int")
     rows = pixels.with_geometry(df, 128).collect()
@@ -127,7 +157,8 @@ def test_features_per_listing(spark, tree, tmp_path):
     def loader():
         return lambda p: [p[:, :, 0].mean(), p[:, :, 2].max()]
 
-    assert image_features.extract_features(spark, root, path, loader) == 2
+    counts = image_features.extract_features(spark, root, path, loader)
+    assert counts == {"n_features": 2, "n_photos": len(made), "n_undecoded": 0}
     rows = {(r["split"], r["listing_id"]): r for r in spark.read.parquet(path).collect()}
     assert set(rows) == {(s, i) for s, i, _ in made}
     mine = [a for (s, i, _), a in made.items() if (s, i) == ("train", 7)]
