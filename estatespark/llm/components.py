@@ -15,11 +15,12 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u")
-    to_least = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return to_least.union(least.select("u", F.col("m").alias("v"))).distinct()
+    # Each neighbour goes to the least one, and so does the node itself.
+    ends = F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))
+    moved = down.join(least, "u").select(F.inline(ends).alias("u", "v"))
+    return moved.where("u <> v").distinct()
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:

@@ -2,13 +2,14 @@
 
 A document is the set of its word shingles. All sets are put in one global order, rare shingles first. Two sets that reach the
 similarity share at least `l` shingles of their prefixes, when a prefix holds n - ceil(t n) + l of n shingles. Every document
-chooses its own `l`: a longer prefix costs more postings but asks for more shared shingles before a pair is verified, and
+chooses its own `l`: a longer prefix costs more to read but asks for more shared shingles before a pair is verified, and
 a pair must share the smaller of its two numbers. The order only affects cost, so it comes from a sketch of fixed size.
 
-Equal sets are one class. Links between classes are verified on whole sets. Postings of a shingle are ranked, and a posting is paired
-with those at growing distances in rank, but only while the two lie in different components: a large group of near copies is tied
-together by its close ranks, and the pairs left over are never made. Each pair of ranks is visited or known to be connected, so
-components are exact. No pair is dropped for any group's size.
+Equal sets are one class. Links between classes are verified on whole sets. Candidates come from the prefixes for l = 1: a linked pair's
+first common shingle lies there on both sides, at places that leave enough shingles behind. Postings of a shingle are ranked, and a
+posting is paired with those at growing distances in rank, but only while the two lie in different components: a group of near
+copies is tied together by its close ranks, and pairs inside its component are never made. Each pair of ranks is visited
+or known to be connected, so components are exact. No pair is dropped for any group's size.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatespark.llm.common import Scratch, as_bytes
@@ -29,10 +30,13 @@ SKETCH_BITS = 21
 BLOCK = 1 << 16
 BITMAP_BITS = 26
 WORD_CACHE = 400_000
-MOST_MATCHES = 8
+MOST_MATCHES = 12
 # What verifying one candidate costs, counted in postings read.
 VERIFY_COST = 32.0
-FIRST_WINDOW = 4
+# Ranks that are paired in the first round, and how much farther each round looks.
+FIRST_WINDOW, WINDOW_GROWTH = 4, 16
+LEAST_BLOCK = 4096
+PAIR_CHUNK = 200_000
 
 
 class WordCodes(dict):
@@ -96,7 +100,8 @@ def _counts(width: int) -> Callable:
             found = [shingles(text, width, codes) for text in as_bytes(batch.column(0))]
             if found:
                 total += np.bincount(_slots(np.concatenate(found)), minlength=1 << SKETCH_BITS)
-        blocks = total.astype(np.uint32).reshape(-1, BLOCK)
+        # A task's counts above 16 bits are rare enough to be cut: the levels only order shingles.
+        blocks = np.minimum(total, 65535).astype(np.uint16).reshape(-1, BLOCK)
         yield pa.RecordBatch.from_pydict({"block": list(range(len(blocks))), "counters": [b.tobytes() for b in blocks]})
 
     return run
@@ -107,7 +112,7 @@ def _levels(batches: Iterator[pa.RecordBatch]):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counters in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sums[block] = sums.get(block, 0) + np.frombuffer(counters, np.uint32).astype(np.int64)
+            sums[block] = sums.get(block, 0) + np.frombuffer(counters, np.uint16).astype(np.int64)
     level = [np.minimum(255, np.round(6 * np.log2(1.0 + s))).astype(np.uint8).tobytes() for s in sums.values()]
     yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int64()), "levels": pa.array(level, pa.binary())})
 
@@ -170,33 +175,32 @@ def _prefixes(width: int, percent: int, levels) -> Callable:
 
 def _ranked(batches: Iterator[pa.RecordBatch]):
     """Rank of each posting among those of its shingle; rows come sorted by shingle. Shingles of one class only fall away."""
-    held: list[tuple] = []
+    held: list[int] | None = None
     last, rank = None, 0
-    names = ["token", "class", "n", "rank"]
+    names = ["token", "class", "n", "place", "rank"]
 
     def give(columns):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     for batch in batches:
-        token, key, size = (batch.column(i).to_numpy() for i in range(3))
+        columns = [batch.column(i).to_numpy() for i in range(4)]
+        token = columns[0]
         if not len(token):
             continue
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         lengths = np.diff(np.r_[starts, len(token)])
         order = np.arange(len(token)) - np.repeat(starts, lengths)
+        shared = np.repeat(lengths > 1, lengths)
         if token[0] == last:
             order[: lengths[0]] += rank
-        shared = np.repeat(lengths > 1, lengths)
-        # A run may go on in the next batch: its last row waits, and the first batch after decides.
-        shared[: lengths[0]] |= token[0] == last
-        if held and token[0] == last:
-            yield give([[h] for h in held[0]])
-        held = []
+            shared[: lengths[0]] = True
+            # The row that ended the batch before was not alone.
+            if held:
+                yield give([[h] for h in held])
         tail = len(token) - 1
-        if not shared[tail]:
-            held = [(int(token[tail]), int(key[tail]), int(size[tail]), int(order[tail]))]
+        held = None if shared[tail] else [int(c[tail]) for c in (*columns, order)]
         last, rank = token[tail], int(order[tail]) + 1
-        yield give([token[shared], key[shared], size[shared], order[shared]])
+        yield give([c[shared] for c in (*columns, order)])
 
 
 def _sets(width: int, wanted) -> Callable:
@@ -245,27 +249,124 @@ def _whole_sets(docs: DataFrame, id_column: str, text_column: str, width: int, c
     return scratch.write(found.join(classes.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
 
 
+def _needed(u_size: Column, v_size: Column, percent: int) -> Column:
+    """Shingles that two sets of these sizes must share to link."""
+    total = (u_size + v_size) * percent
+    return F.floor((total + (99 + percent)) / (100 + percent)).cast("int")
+
+
 def _linked(pairs: DataFrame, classes: DataFrame, sets: Callable, percent: int, scratch: Scratch) -> DataFrame:
-    """(u, v) of the pairs that share enough of their prefixes and then of their whole sets."""
+    """(u, v) of the pairs that share enough of their prefixes and then of their whole sets.
+
+    The joins are by sort: arrays are larger in memory than files let one expect.
+    """
 
-    def side(df: DataFrame, name: str, value: str, *more: str) -> DataFrame:
-        return df.select(F.col("class").alias(name), F.col(value).alias(f"{name}_{value}"), *[F.col(c).alias(f"{name}_{c}") for c in more])
+    def side(df: DataFrame, name: str, *values: str) -> DataFrame:
+        return df.select(F.col("class").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in values])
 
-    close = pairs.join(side(classes, "u", "prefix", "matches"), "u").join(side(classes, "v", "prefix", "matches"), "v")
-    matched = F.size(F.array_intersect("u_prefix", "v_prefix")) >= F.least("u_matches", "v_matches")
-    close = scratch.write(close.where(matched).select("u", "v"), "close")
+    def both(pairs: DataFrame, df: DataFrame, *values: str) -> DataFrame:
+        return pairs.join(side(df, "u", *values).hint("merge"), "u").join(side(df, "v", *values).hint("merge"), "v")
+
+    close = both(pairs, classes, "prefix", "matches", "n")
+    matches, needed = F.least("u_matches", "v_matches"), _needed(F.col("u_n"), F.col("v_n"), percent)
+    ends = [F.slice(f"{side}_prefix", 1, (F.col(f"{side}_n") - needed + matches).cast("int")) for side in "uv"]
+    close = scratch.write(close.where(F.size(F.array_intersect(*ends)) >= matches).select("u", "v"), "close")
     if close.isEmpty():
         return close
-    ends = close.select(F.col("u").alias("class")).union(close.select(F.col("v").alias("class"))).distinct()
-    whole = sets(ends)
-    both = close.join(side(whole, "u", "codes"), "u").join(side(whole, "v", "codes"), "v")
+    whole = sets(close.select(F.col("u").alias("class")).union(close.select(F.col("v").alias("class"))).distinct())
+    verified = both(close, whole, "codes")
     shared = F.size(F.array_intersect("u_codes", "v_codes"))
     union = F.size("u_codes") + F.size("v_codes") - shared
-    links = scratch.write(both.where(shared * 100 >= union * percent).select("u", "v"), "links")
+    links = scratch.write(verified.where(shared * 100 >= union * percent).select("u", "v"), "links")
     scratch.drop(close)
     return links
 
 
+def _paired(low: int, high: int, percent: int) -> Callable:
+    """(u, v) of rows of one (token, block) whose ranks are `low` to `high` apart. Rows come sorted by token, block and rank.
+
+    A block holds all ranks from its first to its last row, so distance in rank is distance in place. What is held is one block.
+    """
+
+    def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, block, key, size, place, before, root, own = columns
+        starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])])
+        lengths = np.diff(np.r_[starts, len(token)])
+        behind = np.repeat(starts + lengths, lengths) - np.arange(len(token)) - 1
+        held, count = [], 0
+        for step in range(low, min(high, int(lengths.max()) - 1) + 1):
+            a = np.flatnonzero(behind >= step)
+            b = a + step
+            total = size[a] + size[b]
+            needed = (total * percent + (99 + percent)) // (100 + percent)
+            # Where both have the same shingle before this one, the pair has met there.
+            good = own[b] & (root[a] != root[b]) & ((before[a] != before[b]) | (before[a] == 0))
+            good &= (size[a] - place[a] >= needed) & (size[b] - place[b] >= needed)
+            u, v = key[a[good]], key[b[good]]
+            held.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
+            count += len(u)
+            if count > PAIR_CHUNK:
+                yield give(held)
+                held, count = [], 0
+        if count:
+            yield give(held)
+
+    def give(held: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.unique(np.concatenate(held, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        open_block: list[list[np.ndarray]] = []
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(columns[0]):
+                continue
+            # The last block may go on in the next batch.
+            token, block = columns[0], columns[1]
+            ended = np.flatnonzero((token != token[-1]) | (block != block[-1]))
+            cut = int(ended[-1]) + 1 if len(ended) else 0
+            same = bool(open_block) and open_block[0][0][0] == token[0] and open_block[0][1][0] == block[0]
+            if open_block and (cut or not same):
+                whole = [np.concatenate(c) for c in zip(*open_block)]
+                open_block = []
+                columns = [np.concatenate([o, c]) for o, c in zip(whole, columns)]
+                cut += len(whole[0])
+            if cut:
+                yield from pairs([c[:cut] for c in columns])
+            open_block.append([c[cut:] for c in columns])
+        if open_block:
+            yield from pairs([np.concatenate(c) for c in zip(*open_block)])
+
+    return run
+
+
+def _candidates(postings: DataFrame, stars: DataFrame | None, low: int, high: int, percent: int, scratch: Scratch) -> DataFrame | None:
+    """(u, v) of classes in different components whose postings of some shingle lie `low` to `high` ranks apart; None when no
+    shingle reaches as far with postings of different components.
+    """
+    active = postings.withColumn("root", F.col("class"))
+    if stars is not None:
+        roots = stars.select(F.col("u").alias("class"), F.col("v").alias("reached"))
+        active = postings.join(roots.hint("merge"), "class", "left").withColumn("root", F.coalesce("reached", "class")).drop("reached")
+    tokens = active.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("rank").alias("last"))
+    tokens = tokens.where((F.col("least") != F.col("most")) & (F.col("last") >= low)).select("token", "last")
+    active = scratch.write(active.join(tokens.hint("merge"), "token"), "active")
+    if active.isEmpty():
+        return None
+    # A shingle's postings are dealt to blocks of ranks, each with as many ranks of the block before as the window reaches back.
+    # A block is bounded, so no shingle is hot.
+    width = max(4 * high, LEAST_BLOCK)
+    block = F.floor(F.col("rank") / width)
+    reaches = (F.col("rank") % width >= width - high) & ((block + 1) * width <= F.col("last"))
+    dealt = active.withColumn("own", F.explode(F.when(reaches, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    dealt = dealt.withColumn("block", F.when(F.col("own"), block).otherwise(block + 1))
+    dealt = dealt.repartition("token", "block").sortWithinPartitions("token", "block", "rank")
+    met = dealt.select("token", "block", "class", "n", "place", "before", "root", "own")
+    pairs = scratch.write(met.mapInArrow(_paired(low, high, percent), "u bigint, v bigint").distinct(), "pairs")
+    scratch.drop(active)
+    return pairs
+
+
 def jaccard_components(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -285,10 +386,19 @@ def jaccard_components(
     named = members.where("class is not null").groupBy("class").agg(F.min("id").alias("id"))
     once = members.where("prefix is not null").select("class", "n", "matches", "prefix").dropDuplicates(["class"])
     classes = scratch.write(once.join(named, "class"), "classes")
-    postings = classes.select(F.explode("prefix").alias("token"), "class", "n").repartition("token")
-    postings = postings.sortWithinPartitions("token", "n", "class")
-    postings = scratch.write(postings.mapInArrow(_ranked, "token bigint, class bigint, n bigint, rank bigint"), "postings")
-
+    # From here on the rows need no prefixes.
+    wide, members = members, scratch.write(members.select("id", "n", "class"), "members")
+    scratch.drop(wide)
+    named = classes.select("class", "id")
+    first = (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("int")
+    postings = classes.select(F.posexplode(F.slice("prefix", 1, first)).alias("place", "token"), "class", "n")
+    postings = postings.select("token", "class", "n", F.col("place").cast("bigint").alias("place"))
+    postings = postings.repartition("token").sortWithinPartitions("token", "n", "class")
+    schema = "token bigint, class bigint, n bigint, place bigint, rank bigint"
+    postings = postings.mapInArrow(_ranked, schema)
+    # The shared shingle that comes before in the class's own order.
+    own_order = Window.partitionBy("class").orderBy("place")
+    postings = scratch.write(postings.withColumn("before", F.coalesce(F.lag("token").over(own_order), F.lit(0))), "postings")
     fetched: list[DataFrame] = []
 
     def sets(ends: DataFrame) -> DataFrame:
@@ -304,40 +414,14 @@ def jaccard_components(
             whole = whole.union(part)
         return whole
 
-    links, stars = None, None
+    stars = None
     low, high = 1, FIRST_WINDOW
-    while True:
-        active = postings.withColumn("root", F.col("class"))
-        if stars is not None:
-            roots = stars.select(F.col("u").alias("class"), F.col("v").alias("reached"))
-            active = postings.join(roots, "class", "left").withColumn("root", F.coalesce("reached", "class")).drop("reached")
-            # Only shingles whose postings lie in several components, and reach far enough, can still give a new link.
-            open_tokens = (
-                active.groupBy("token")
-                .agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("rank").alias("last"))
-                .where((F.col("least") != F.col("most")) & (F.col("last") >= low))
-                .select("token")
-            )
-            active = scratch.write(active.join(open_tokens, "token", "left_semi"), "active")
-            if active.isEmpty():
-                break
-        near = active.select("token", F.col("class").alias("u"), F.col("n").alias("u_n"), F.col("root").alias("u_root"), "rank")
-        far = active.select("token", F.col("class").alias("v"), F.col("n").alias("v_n"), F.col("root").alias("v_root"), "rank")
-        near = near.withColumn("step", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("rank", F.col("rank") + F.col("step"))
-        # Ranks follow the size, so the larger set is the one further on. The key (token, rank) is never hot.
-        met = near.join(far, ["token", "rank"]).where((F.col("u_root") != F.col("v_root")) & (F.col("v_n") * percent <= F.col("u_n") * 100))
-        pairs = scratch.write(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-        if not pairs.isEmpty():
-            fresh = _linked(pairs, classes, sets, percent, scratch)
-            if not fresh.isEmpty():
-                links = fresh if stars is None else stars.union(fresh)
-                stars = components(links, scratch)
-        elif stars is None and postings.isEmpty():
-            break
-        scratch.drop(pairs, active)
-        low, high = high + 1, high * FIRST_WINDOW
-        if stars is None and postings.where(F.col("rank") >= low).isEmpty():
-            break
+    while (pairs := _candidates(postings, stars, low, high, percent, scratch)) is not None:
+        fresh = _linked(pairs, classes, sets, percent, scratch)
+        if not fresh.isEmpty():
+            stars = components(fresh if stars is None else stars.union(fresh), scratch)
+        scratch.drop(pairs)
+        low, high = high + 1, high * WINDOW_GROWTH
 
     result = members.select("id", "n", "class")
     if stars is None:
