@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables; queries without SQL must give rows."""
+"""Every registered query against its SQL on the smallest tables."""
 
 import pytest
 
@@ -19,9 +19,8 @@ def test_same_rows_as_sql(spark, database, name):
     assert differences(CHECKS[name].run(spark, SF_DIR), database, CHECKS[name].sql) is None
 
 
-@pytest.mark.parametrize("name", [n for n, c in CHECKS.items() if not c.sql])
-def test_gives_rows(spark, name):
-    assert CHECKS[name].run(spark, SF_DIR).count() > 0
+def test_every_query_has_sql():
+    assert [n for n, c in CHECKS.items() if not c.sql] == []
 
 
 def test_contract(spark):
