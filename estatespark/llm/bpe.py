@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,9 +29,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WHITE_SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
+# Entries of a worker's caches, about 200 MB together when full.
 CHUNK_CACHE = 250_000
-PIECE_CACHE = 250_000
-PAIR_CACHE = 400_000
+PIECE_CACHE = 100_000
+PAIR_CACHE = 300_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -40,16 +42,19 @@ def byte_symbols() -> dict[str, int]:
 
 
 class Bounded(dict):
-    """A dictionary that fills itself by `make` and is emptied when full."""
+    """A dictionary that fills itself by `make` and holds up to `limit` entries in use and as many of the time before."""
 
     def __init__(self, make: Callable, limit: int, longest: int = 64):
         super().__init__()
-        self.make, self.limit, self.longest = make, limit, longest
+        self.make, self.limit, self.longest, self.older = make, limit, longest, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -73,8 +78,9 @@ class Vocabulary:
             if token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"]:
                 raise ValueError("only plain added tokens are known")
             self.added[token["content"]] = token["id"]
-        self.bytes: dict[int, bytes] = {i: b for b, i in self.ids.items()}
-        self.bytes |= {i: content.encode() for content, i in self.added.items()}
+        by_id = {i: b for b, i in self.ids.items()} | {i: content.encode() for content, i in self.added.items()}
+        #: Bytes of each id.
+        self.spelling = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         #: For each pair that merges: its rank. For each token made by a merge: that rank and its two parts.
         self.rank: dict[tuple[int, int], int] = {}
         self.made: dict[int, tuple[int, int, int]] = {}
@@ -96,12 +102,10 @@ class Vocabulary:
         Merges are undone, the last one first, on whichever side it happened. They come back if at some moment
         the two tokens at the seam merge before the merge that was undone last.
         """
-        known = self._pairs.get((left, right))
-        if known is None:
-            known = self._test(left, right)
-            if len(self._pairs) >= PAIR_CACHE:
-                self._pairs.clear()
-            self._pairs[(left, right)] = known
+        known = self._test(left, right)
+        if len(self._pairs) >= PAIR_CACHE:
+            self._pairs.clear()
+        self._pairs[(left, right)] = known
         return known
 
     def _test(self, left: int, right: int) -> bool:
@@ -123,26 +127,32 @@ class Vocabulary:
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece of the pattern."""
         whole = self.ids.get(piece)
-        if whole is not None and self._is_whole(piece, whole):
+        if whole is not None and (whole in self.made or len(piece) == 1):
             return [whole]
         size = len(piece)
-        last, start = [-1] * (size + 1), [0] * (size + 1)
-        compatible = self.compatible
+        last, start = [-1] * size, [0] * size
+        known, compatible, done = self._pairs, self.compatible, -1
+        # For each end the longest token comes first; ends are counted from 0.
         for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
-            at, end = end + 1 - length, end + 1
-            if last[end] < 0 and (at == 0 or (last[at] >= 0 and compatible(last[at], token))):
-                if at or length == 1 or self._is_whole(piece[:end], token):
-                    last[end], start[end] = token, at
-        ids = []
-        while size:
-            ids.append(last[size])
-            size = start[size]
+            if end == done:
+                continue
+            at = end - length
+            if at >= 0:
+                # Every byte is a token, so each shorter prefix has its last token by now.
+                before = last[at]
+                fits = known.get((before, token))
+                if fits is None:
+                    fits = compatible(before, token)
+            else:
+                fits = length == 1 or token in self.made
+            if fits:
+                last[end], start[end], done = token, at, end
+        ids, end = [], size - 1
+        while end >= 0:
+            ids.append(last[end])
+            end = start[end]
         return ids[::-1]
 
-    def _is_whole(self, piece: bytes, token: int) -> bool:
-        """Whether a token's own bytes encode to it: true for every token that merges make."""
-        return token in self.made or len(piece) == 1
-
 
 # Fixed value: how a byte-level file describes the cutting of texts.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
@@ -154,30 +164,44 @@ class Encoder:
     def __init__(self, content: str):
         self.vocabulary = Vocabulary(content)
         self.pattern = regex.compile(PATTERN)
+        self.decimals = [str(i) for i in range(len(self.vocabulary.spelling))]
         marks = sorted(self.vocabulary.added, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
+        self.spaced_white = regex.compile(f" (?:[{WHITE_SPACE}]|$)")
         self.pieces = Bounded(self._piece, PIECE_CACHE)
-        self.chunks = Bounded(self._chunk, CHUNK_CACHE)
+        #: Chunks by what follows their leading space.
+        self.spaced = Bounded(self._spaced, CHUNK_CACHE)
 
     def _piece(self, piece: str) -> bytes:
-        return np.array(self.vocabulary.encode_piece(piece.encode()), np.int32).tobytes()
+        return array("i", self.vocabulary.encode_piece(piece.encode())).tobytes()
+
+    def _spaced(self, part: str) -> bytes:
+        # Letters behind a space are one piece of the pattern.
+        return self._piece(" " + part) if part.isalpha() else self._chunk(" " + part)
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk)))
+        out = []
+        for piece in self.pattern.findall(chunk):
+            word = piece[1:]
+            out.append(self.spaced[word] if piece[0] == " " and word.isalpha() else self.pieces[piece])
+        return b"".join(out)
 
     def _plain(self, text: str) -> bytes:
-        parts = text.split(" ")
         # A space starts a new chunk when other text follows it, else it stays with the white space around it.
-        if all(parts) and not any(map(STARTS_WHITE, parts)):
-            chunks = [parts[0], *[" " + p for p in parts[1:]]]
-        else:
-            chunks = [parts[0]]
-            for part in parts[1:]:
-                if part and part[0] not in WHITE_SPACE:
-                    chunks.append(" " + part)
+        if self.spaced_white.search(text):
+            out, chunk = [], ""
+            for i, part in enumerate(text.split(" ")):
+                if not i:
+                    chunk = part
+                elif part and part[0] not in WHITE_SPACE:
+                    out.append(self._chunk(chunk))
+                    chunk = " " + part
                 else:
-                    chunks[-1] += " " + part
-        return b"".join(map(self.chunks.__getitem__, chunks))
+                    chunk += " " + part
+            out.append(self._chunk(chunk))
+            return b"".join(out)
+        first, *rest = text.split(" ")
+        return self._chunk(first) + b"".join(map(self.spaced.__getitem__, rest))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; strings of added tokens become those tokens."""
@@ -190,10 +214,12 @@ class Encoder:
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids; bytes that are no UTF-8 become replacement characters."""
-        return b"".join(map(self.vocabulary.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(map(self.vocabulary.spelling.__getitem__, ids)).decode("utf-8", "replace")
 
+    def digits(self, ids: list[int]) -> str:
+        """Decimal ids joined by commas."""
+        return ",".join(map(self.decimals.__getitem__, ids))
 
-STARTS_WHITE = regex.compile(f"[{WHITE_SPACE}]").match
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -281,7 +307,7 @@ def token_digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
             for text in batch.column(1).to_pylist():
                 ids = encoder.encode(text or "").tolist()
                 sizes.append(len(ids))
-                spelled.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                spelled.append(hashlib.sha256(encoder.digits(ids).encode()).hexdigest())
                 decoded.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spelled), pa.array(decoded)]
             yield pa.RecordBatch.from_arrays(columns, names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
