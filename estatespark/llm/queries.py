@@ -125,10 +125,43 @@ def mixed(docs: DataFrame, targets: dict, budget: float) -> DataFrame:
     return mixing.sample_documents(docs, keys, n_tokens(), targets, budget)
 
 
-@query("op5_mixing")
+MIX_BUDGET = 0.5
+
+
+def _mixing_sql(sweeps: int = 30) -> str:
+    """Raking written out sweep by sweep, and the factor of the probabilities from running sums over the cells."""
+    named = ", ".join(f"('={c}', {share})" for c, share in MIX_TARGETS["lang"].items())
+    goals = [
+        f"(select k0 as k, pow(s, {MIX_TARGETS['source']}) / sum(pow(s, {MIX_TARGETS['source']})) over () * sum(s) over () as goal from (select k0, sum(tokens) as s from cells group by 1))",
+        f"(select k, coalesce(wish / sum(wish) over () * (sum(s) over () - coalesce(sum(case when wish is null then s end) over (), 0)), s) as goal"
+        f" from (select k1 as k, sum(tokens) as s from cells group by 1) left join (values {named}) v(name, wish) on name = k)",
+        f"(select k2 as k, pow(s, {MIX_TARGETS['topic']}) / sum(pow(s, {MIX_TARGETS['topic']})) over () * sum(s) over () as goal from (select k2, sum(tokens) as s from cells group by 1))",
+    ]
+    steps, last = [], "raked"
+    for i in range(sweeps):
+        for k in range(3):
+            total = f"sum(w) over (partition by k{k})"
+            steps.append(f"w{i}_{k} as (select * replace (case when {total} > 0 then w * a{k} / {total} else w end as w) from {last})")
+            last = f"w{i}_{k}"
+    return rf"""with texts as (select doc_id, source, lang, case when contains(text, ' | ') then 'table' when regexp_matches(text, '[0-9]{{4}}') then 'record'
+  when regexp_matches(text, '[#$%&*]{{3}}|!!') then 'noise' else 'prose' end as topic, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as n_tokens from documents),
+keyed as (select *, coalesce('=' || source, '-') as k0, coalesce('=' || lang, '-') as k1, coalesce('=' || topic, '-') as k2 from texts),
+cells as (select k0, k1, k2, sum(n_tokens)::bigint as tokens from keyed group by all),
+raked as (select c.*, tokens::double as w, g0.goal as a0, g1.goal as a1, g2.goal as a2 from cells c join {goals[0]} g0 on g0.k = k0 join {goals[1]} g1 on g1.k = k1 join {goals[2]} g2 on g2.k = k2),
+{", ".join(steps)},
+ratios as (select *, case when tokens > 0 then w / tokens else 0 end as ratio from {last}),
+sums as (select ratio, (sum(tokens) over () * {MIX_BUDGET} - coalesce(sum(tokens) over (order by ratio desc, k0, k1, k2 rows between unbounded preceding and 1 preceding), 0))
+  / sum(w) over (order by ratio desc, k0, k1, k2 rows between current row and unbounded following) as factor from ratios where tokens > 0),
+chosen as (select max(ratio) as at, max_by(factor, ratio) as factor from sums where factor * ratio <= 1)
+select doc_id, source, lang, topic, n_tokens, rint(p * 1e6) / 1e6 as probability, ('0x' || substr(md5('0:' || doc_id), 1, 13))::bigint / 4503599627370496.0 < p as sampled
+from (select keyed.*, case when tokens > 0 then least(1.0, ratio * (select factor from chosen)) else 1.0 end as p from keyed join ratios using (k0, k1, k2))""".replace("rint(p * 1e6)", "round(p * 1e6)")
+
+
+@query("op5_mixing", _mixing_sql())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = mixed(table(spark, sf_dir, "documents"), MIX_TARGETS, 0.5)
-    return drawn.select("doc_id", "source", "lang", topic().alias("topic"), n_tokens().alias("n_tokens"), "probability", "sampled")
+    drawn = mixed(table(spark, sf_dir, "documents"), MIX_TARGETS, MIX_BUDGET)
+    rounded = F.round(F.col("probability") * 1e6) / 1e6
+    return drawn.select("doc_id", "source", "lang", topic().alias("topic"), n_tokens().alias("n_tokens"), rounded.alias("probability"), "sampled")
 
 
 TOXIC_FROM = 0.7
