@@ -23,8 +23,10 @@ GRAMS = (3, 4, 5)
 BITS = 18
 SLICE = 1 << 20
 # Bound of the sample that the model is fitted on: this many labelled rows of each class.
-ROWS_PER_CLASS = 3000
+ROWS_PER_CLASS = 2000
 PENALTY, RATE, STEPS = 1e-3, 0.01, 60
+# Codes that the fit takes up at once.
+BLOCK = 1 << 20
 
 
 class Grams:
@@ -96,23 +98,39 @@ def fit_toxicity(
     # Sorted, so that the sums of the fit do not depend on which task came first.
     found = sample.mapInArrow(_sampled, schema).toArrow().sort_by("key")
     label = found.column("label").to_numpy().astype(np.float64)
-    grams = [np.frombuffer(b, np.int32) for b in found.column("grams").to_pylist()]
     if not (label == 1).any() or not (label == 0).any():
         return ToxicityModel(np.zeros(1 << BITS), prior)
-    lengths = np.array([len(g) for g in grams])
-    codes, row = np.concatenate(grams), np.repeat(np.arange(len(grams), dtype=np.int32), lengths)
+    # Texts are taken up in blocks, so that what the fit needs beside the codes stays small.
+    blocks: list[tuple[np.ndarray, np.ndarray, slice]] = []
+    held, first = [], 0
+    for i, grams in enumerate(found.column("grams").to_pylist()):
+        held.append(np.frombuffer(grams, np.int32))
+        if i + 1 == len(label) or sum(map(len, held)) > BLOCK:
+            blocks.append((np.concatenate(held), np.array([len(h) for h in held]), slice(first, i + 1)))
+            held, first = [], i + 1
+    del found
     size = 1 << BITS
-    toxic = np.bincount(codes, weights=label[row], minlength=size)
-    clean = np.bincount(codes, minlength=size) - toxic
+
+    def spread(values: np.ndarray) -> np.ndarray:
+        """For each code the sum of the values of the texts that hold it."""
+        total = np.zeros(size)
+        for codes, lengths, texts in blocks:
+            total += np.bincount(codes, weights=np.repeat(values[texts], lengths), minlength=size)
+        return total
+
+    def gathered(weights: np.ndarray) -> np.ndarray:
+        """For each text the sum of the weights of its codes."""
+        sums = [np.bincount(np.repeat(np.arange(len(n)), n), weights=weights[codes], minlength=len(n)) for codes, n, _ in blocks]
+        return np.concatenate(sums)
+
+    toxic, clean = spread(label), spread(1 - label)
     ratio = np.log((toxic + 1) / (label.sum() + 2)) - np.log((clean + 1) / ((1 - label).sum() + 2))
     # Both classes weigh the same in the fit; their real share comes back through the intercept.
     weight = np.where(label == 1, 0.5 / label.sum(), 0.5 / (1 - label).sum())
 
     def gradient(at: np.ndarray) -> np.ndarray:
-        scores = np.bincount(row, weights=(ratio * at[:-1])[codes], minlength=len(label)) + at[-1]
-        error = (sigmoid(scores) - label) * weight
-        slope = np.bincount(codes, weights=error[row], minlength=size) * ratio + PENALTY * at[:-1]
-        return np.append(slope, error.sum())
+        error = (sigmoid(gathered(ratio * at[:-1]) + at[-1]) - label) * weight
+        return np.append(spread(error) * ratio + PENALTY * at[:-1], error.sum())
 
     fitted = adam(gradient, np.zeros(size + 1), STEPS, RATE)
     return ToxicityModel(ratio * fitted[:-1], float(fitted[-1]) + prior)
