@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from estatespark.llm import bpe, exact_dedup, jaccard_join, queries
 from estatespark.llm.common import Scratch, table
+from estatespark.session import run_folder
 
 # Half a bigint's range: rows without an id get numbers above all ids.
 NO_ID = 1 << 62
@@ -66,7 +67,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        following = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # What a stage writes on its way goes with the stage.
+        with run_folder(spark):
+            following = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         scratch.drop(docs)
         docs = following
     return docs
