@@ -370,7 +370,7 @@ def _candidates(postings: DataFrame, stars: DataFrame | None, low: int, high: in
 def jaccard_components(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
-    """One row per document: id, n_shingles, class (of equal sets), component_id.
+    """One row per document: id, n_shingles, set_class (the same for equal sets), component_id.
 
     Documents link when 100 * shared >= percent * union of their shingles. component_id is the smallest id that links reach. Missing,
     empty and white-space texts have no shingles, link with nothing and are their own component. Rows without an id take part

@@ -137,8 +137,11 @@ def choose_cutoffs(
     tested = [(r, i, c) for r in rules for i, c in enumerate(candidates[r])]
     sums = [F.sum((F.col(r) >= c).cast("long")).alias(f"k_{r}_{i}") for r, i, c in tested]
     counts = good.groupBy("stratum").agg(F.count("*").alias("n"), *sums)
-    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("place"), F.lit(c).alias("cutoff"), F.col(f"k_{r}_{i}").alias("k")) for r, i, c in tested])
-    table = counts.select("stratum", "n", F.inline(rows))
+
+    def row(r: str, i: int, c: float) -> Column:
+        return F.struct(F.lit(r).alias("rule"), F.lit(i).alias("place"), F.lit(c).alias("cutoff"), F.col(f"k_{r}_{i}").alias("k"))
+
+    table = counts.select("stratum", "n", F.inline(F.array(*[row(*t) for t in tested])))
     table = table.withColumn("tail", binomial_tail(F.col("k"), F.col("n"), risk / len(rules)))
     passed = F.col("tail") <= error / max(1, strata.count() * len(rules))
     order = Window.partitionBy("stratum", "rule").orderBy("place")
@@ -158,7 +161,8 @@ def apply_rules(
     repeated labels count as often as they match.
     """
     scratch = Scratch(docs.sparkSession, "rules")
-    narrow = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.concat(F.lit("="), stratum.cast("string")), F.lit("-")).alias("stratum"), F.col(f"`{text_column}`").alias("text"))
+    named = F.coalesce(F.concat(F.lit("="), stratum.cast("string")), F.lit("-"))
+    narrow = docs.select(F.col(f"`{id_column}`").alias("id"), named.alias("stratum"), F.col(f"`{text_column}`").alias("text"))
     measured = scratch.write(measures(narrow), "measures")
     holdout = labels.where(good).select(F.col(f"`{id_column}`").alias("id")).join(measured, "id").where(~F.col("base_failed"))
     cutoffs = scratch.write(choose_cutoffs(holdout, measured.select("stratum").distinct(), CANDIDATES, risk, error), "cutoffs")

@@ -20,15 +20,21 @@ from estatespark.llm.common import Scratch
 
 # First names by script and gender, titles, and syllables of made-up family names by script.
 FIRST_NAMES = {
-    ("latin", "f"): ("Anna", "Maria", "Sophie", "Laura", "Julia", "Emma", "Clara", "Elena", "Lucia", "Martha", "Helen", "Alice", "Sarah", "Carmen", "Ingrid", "Claire"),
-    ("latin", "m"): ("James", "John", "Robert", "Michael", "David", "Thomas", "Peter", "Paul", "Carlos", "Pablo", "Hans", "Karl", "Pierre", "Jean", "Martin", "Simon"),
+    ("latin", "f"): (
+        "Anna", "Maria", "Sophie", "Laura", "Julia", "Emma", "Clara", "Elena", "Lucia", "Martha", "Helen", "Alice", "Sarah", "Carmen",
+        "Ingrid", "Claire",
+    ),
+    ("latin", "m"): (
+        "James", "John", "Robert", "Michael", "David", "Thomas", "Peter", "Paul", "Carlos", "Pablo", "Hans", "Karl", "Pierre", "Jean",
+        "Martin", "Simon",
+    ),
     ("cyrillic", "f"): ("Анна", "Мария", "Елена", "Ольга", "Ирина", "Татьяна", "Наталья", "Светлана"),
     ("cyrillic", "m"): ("Иван", "Алексей", "Сергей", "Дмитрий", "Николай", "Павел", "Андрей", "Михаил"),
-}
+}
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
 SYLLABLES = {
-    "latin": ("ba", "be", "do", "fi", "ga", "ha", "ka", "ke", "la", "lo", "ma", "me", "na", "no", "ra", "ro", "sa", "se", "ta", "to", "va", "ve", "wi", "za"),
-    "cyrillic": ("ба", "бе", "ва", "во", "га", "да", "до", "за", "ка", "ко", "ла", "ле", "ма", "ми", "на", "но", "ра", "ро", "са", "со", "та", "то"),
+    "latin": tuple("ba be do fi ga ha ka ke la lo ma me na no ra ro sa se ta to va ve wi za".split()),
+    "cyrillic": tuple("ба бе ва во га да до за ка ко ла ле ма ми на но ра ро са со та то".split()),
 }
 HASHES = 4  # each gives 64 hexadecimal digits
 
@@ -40,7 +46,14 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 CARD = r"(?<!\d)\d{4}(?:[ \-]?\d{4}){3}(?!\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?!\d)|(?<![\d+\-.])\d{3}[.\-]\d{3}[.\-]\d{4}(?!\d)|(?<![\d+])\+\d{8,15}(?!\d)"
+PHONE = "|".join(
+    (
+        r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)",
+        r"(?<![\d+])\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?!\d)",
+        r"(?<![\d+\-.])\d{3}[.\-]\d{3}[.\-]\d{4}(?!\d)",
+        r"(?<![\d+])\+\d{8,15}(?!\d)",
+    )
+)
 ALL_FIRST = "|".join(name for names in FIRST_NAMES.values() for name in names)
 CAPITAL = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 FIRST = rf"(?<!\p{{L}})(?:{ALL_FIRST})(?= \p{{Lu}}\p{{Ll}})"
@@ -105,7 +118,8 @@ def _poured(digest: Column, form: Column, letters: str = LOWER) -> Column:
 
     def replaced(i: Column) -> Column:
         c, byte = F.substring(form, i, F.lit(1)), _byte(digest, i - 1)
-        return F.when(c.rlike("[0-9]"), _pick(DIGITS, byte)).when(c.rlike("[a-z]"), _pick(letters, byte)).when(c.rlike("[A-Z]"), _pick(UPPER, byte)).otherwise(c)
+        lower, upper = F.when(c.rlike("[a-z]"), _pick(letters, byte)), F.when(c.rlike("[A-Z]"), _pick(UPPER, byte))
+        return F.coalesce(F.when(c.rlike("[0-9]"), _pick(DIGITS, byte)), lower, upper, c)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), replaced), "")
 
@@ -125,7 +139,8 @@ def _ip(digest: Column, form: Column) -> Column:
     def octet(part: Column, i: Column) -> Column:
         value = _byte(digest, i * 2) * 256 + _byte(digest, i * 2 + 1)
         wide = F.pmod(value, F.lit(155)) + 100
-        return F.when(F.length(part) == 3, wide).when(F.length(part) == 2, F.pmod(value, F.lit(90)) + 10).otherwise(F.pmod(value, F.lit(9)) + 1).cast("string")
+        middle, single = F.pmod(value, F.lit(90)) + 10, F.pmod(value, F.lit(9)) + 1
+        return F.when(F.length(part) == 3, wide).when(F.length(part) == 2, middle).otherwise(single).cast("string")
 
     return F.array_join(F.transform(F.split(form, r"\."), octet), ".")
 
@@ -170,8 +185,11 @@ def _last(digest: Column, attempt: Column, script: str) -> Column:
     """Syllables, three of them and one more for each failed attempt."""
     syllables = F.array(*[F.lit(s) for s in SYLLABLES[script]])
     count = F.least(attempt + 3, F.lit(40))
-    joined = F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.get(syllables, F.pmod(_byte(digest, i), F.lit(len(SYLLABLES[script]))))), "")
-    return F.initcap(joined)
+
+    def syllable(i: Column) -> Column:
+        return F.get(syllables, F.pmod(_byte(digest, i), F.lit(len(SYLLABLES[script]))))
+
+    return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), count - 1), syllable), ""))
 
 
 def _surrogate(entities: DataFrame, key: str) -> DataFrame:
@@ -243,13 +261,16 @@ def replace_entities(docs: DataFrame, key: str, id_column: str = "doc_id", text_
     replaced = mentions.join(surrogates, ["kind", "canonical"])
     written = _in_format(F.col("kind"), F.col("entity"), F.col("surrogate"))
     lists = replaced.groupBy("id", "hash").agg(F.sort_array(F.collect_list(F.struct("place", written.alias("written")))).alias("placed"))
-    lists = scratch.write(lists.select("id", "hash", F.transform("placed", lambda p: p["written"]).alias("written")), "lists")
-    joined = candidates.join(lists.withColumnsRenamed({"id": "own_id", "hash": "own_hash"}).hint("merge"), F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash")), "left")
+    stored = lists = scratch.write(lists.select("id", "hash", F.transform("placed", lambda p: p["written"]).alias("written")), "lists")
+    lists = lists.withColumnsRenamed({"id": "own_id", "hash": "own_hash"})
+    same_row = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash"))
+    joined = candidates.join(lists.hint("merge"), same_row, "left")
     between = F.split("text", ENTITY)
     joined = joined.withColumn("between", F.when(F.col("written").isNotNull(), between))
     rebuilt = F.array_join(F.transform("between", lambda part, i: F.concat(part, F.coalesce(F.get("written", i), F.lit("")))), "")
-    changed = joined.select("row", F.coalesce(rebuilt, F.col("text")).alias("text"), F.when(F.col("written").isNull(), 0).otherwise(F.size("written")).cast("long").alias("n"))
+    count = F.when(F.col("written").isNull(), 0).otherwise(F.size("written")).cast("long")
+    changed = joined.select("row", F.coalesce(rebuilt, F.col("text")).alias("text"), count.alias("n"))
     whole = changed.union(packed.where(~hinted).select("row", "text", F.lit(0).cast("long")))
-    scratch.keep_only(lists)
+    scratch.keep_only(stored)
     source: Callable[[str], Column] = lambda c: F.col("text") if c == text_column else F.col("row").getField(c)
     return whole.select(*[source(c).alias(c) for c in kept], F.col("n").alias("n_entities"))

@@ -77,7 +77,7 @@ def segment_names(names: DataFrame, counts: DataFrame, scratch: Scratch) -> Data
     spans = spans.withColumn("word", F.expr("substring(name, start, length)"))
     # A span per letter and length at most, so a name's spans are bounded by its own length.
     found = spans.join(counts, "word").groupBy("name").agg(
-        F.collect_list(F.struct(F.col("start") - 1, F.col("length"), F.col("n"))).alias("spans")
+        F.collect_list(F.struct((F.col("start") - 1).alias("start"), "length", "n")).alias("spans")
     )
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -88,8 +88,7 @@ def segment_names(names: DataFrame, counts: DataFrame, scratch: Scratch) -> Data
                 split.append([name[start : start + length] for start, length in best_split(len(name), known, total)])
             yield pa.RecordBatch.from_arrays([pa.array(given, pa.string()), pa.array(split, pa.list_(pa.string()))], names=["name", "words"])
 
-    spanned = names.join(found.select("name", F.expr("transform(spans, s -> named_struct('start', s.col1, 'length', s.length, 'n', s.n))").alias("spans")), "name", "left")
-    return scratch.write(spanned.mapInArrow(run, "name string, words array<string>"), "segments")
+    return scratch.write(names.join(found, "name", "left").mapInArrow(run, "name string, words array<string>"), "segments")
 
 
 def host_words(hosts: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -171,7 +170,8 @@ def judge_urls(
     joined = located.join(words, "host", "left")
     listed = F.array(*[F.lit(w) for w in blocked_words])
     marked = F.arrays_overlap(F.concat(F.coalesce("words", F.array().cast("array<string>")), _path_tokens(F.col("path"))), listed)
-    featured = scratch.write(joined.select("id", "host", "path", _slots(F.col("words"), F.col("path")).alias("slots"), marked.alias("marked")), "featured")
+    slots = _slots(F.col("words"), F.col("path"))
+    featured = scratch.write(joined.select("id", "host", "path", slots.alias("slots"), marked.alias("marked")), "featured")
     weights, prior = fit_weights(featured, F.col("marked"))
     shared = spark.sparkContext.broadcast(weights)
 
