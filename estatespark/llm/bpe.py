@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from array import array
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -221,16 +223,14 @@ class Encoder:
         return ",".join(map(self.decimals.__getitem__, ids))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_for(content: str) -> Encoder:
     """The worker's encoder for a file's content; tasks of one worker share its caches."""
+    # Tasks get this module by value, so what outlives a task is held by a module of the worker's own.
+    held = sys.modules.setdefault("estatespark_worker", ModuleType("estatespark_worker")).__dict__
     key = hashlib.sha256(content.encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(content)
-    return _ENCODERS[key]
+    if held.get("encoder_key") != key:
+        held["encoder"], held["encoder_key"] = Encoder(content), key
+    return held["encoder"]
 
 
 def _slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
