@@ -39,9 +39,9 @@ SYLLABLES = {
 HASHES = 4  # each gives 64 hexadecimal digits
 
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
-SECRET = r"(?<=(?:password|passwd|secret|token|api_key|apikey)=)[^\s\"']{4,128}"
+SECRET = r"(?<=(?:password|passwd|secret|token|api_key|apikey)=)[^\s\"']{4,}+"
 ACCESS_KEY = r"(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])"
-HEX = r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])"
+HEX = r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 CARD = r"(?<!\d)\d{4}(?:[ \-]?\d{4}){3}(?!\d)"

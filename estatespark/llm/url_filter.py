@@ -1,7 +1,7 @@
 """URL filter: listed rules first, then naive Bayes over the words of the host and the tokens of the path.
 
 Host names are runs of letters that often hold several words. A unigram model of word counts splits each distinct name by Viterbi's
-algorithm into its most probable words; a run that is no known word costs more the longer it is. The counts come from page
+algorithm into its most probable words of at most LONGEST_WORD letters; a run that is no known word costs more the longer it is. The counts come from page
 texts, where words stand apart, and from the hyphenated parts of hosts and paths. Substrings of the distinct names are joined with
 the counts, so the dictionary is never broadcast and may grow with the corpus.
 
