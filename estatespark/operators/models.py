@@ -24,6 +24,7 @@ LABEL = "label"
 FEATURES = "features"
 VALIDATION = "is_validation"
 FOLD = "fold"
+SHARED_SLOTS = "shared_slots"
 # Parts of each fold for target statistics, dealt by a hash of its own.
 FOLD_PARTS = 4
 PART_SEED_SHIFT = 3
@@ -40,7 +41,6 @@ class Encoder:
     one_hot: tuple[tuple[str, tuple[str, ...]], ...]
     statistics: TargetStatistics
     continuous: tuple[str, ...]
-    left_out: tuple[tuple[int, ...], ...]
 
     @property
     def names(self) -> tuple[str, ...]:
@@ -50,18 +50,19 @@ class Encoder:
 
     def attach(self, df: DataFrame) -> DataFrame:
         """`df` with what `features` needs; the dictionaries are joined here, once for all members."""
-        return self.statistics.attach(df)
-
-    def features(self, member: int, own: Column | None = None) -> Column:
-        """The vector of a member. Fit rows have `own`, their part of the statistics."""
         slots = []
         for column, labels in self.one_hot:
             value = F.col(column).cast("string")
             slots += [F.coalesce((value == label).cast("double"), F.lit(0.0)) for label in labels]
             slots.append(F.coalesce((~value.isin(*labels)).cast("double"), F.lit(1.0)))
         slots += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.continuous]
-        slots += [self.statistics.mean(c, self.left_out[member], own) for c in self.statistics.tables]
-        return array_to_vector(F.array(*slots))
+        # The slots that all members share are a column of their own, so that they are computed once.
+        return self.statistics.attach(df).withColumn(SHARED_SLOTS, F.array(*slots).cast("array<double>"))
+
+    def features(self, member: int, own: Column | None = None) -> Column:
+        """The vector of a member, on rows that `attach` has prepared. Fit rows have `own`, their part of the statistics."""
+        means = [self.statistics.mean(c, member, own) for c in self.statistics.tables]
+        return array_to_vector(F.concat(F.col(SHARED_SLOTS), F.array(*means).cast("array<double>")))
 
 
 def part_of(n_folds: int, seed: int) -> Column:
@@ -93,9 +94,9 @@ def fit_encoder(
         labels[row["column"]].append(row["value"])
     small = [c for c in categorical if len(labels[c]) <= one_hot_max_size]
     large = [c for c in categorical if c not in small]
-    statistics = fit_target_statistics(counts, large, *count_rows(fit_rows, LABEL, part, parts))
-    folds = [tuple(range(i * FOLD_PARTS, (i + 1) * FOLD_PARTS)) for i in range(n_folds)] if by_fold else [()]
-    return Encoder(tuple((c, tuple(labels[c])) for c in small), statistics, tuple(continuous), tuple(folds))
+    left_out = [tuple(range(i * FOLD_PARTS, (i + 1) * FOLD_PARTS)) for i in range(n_folds)] if by_fold else [()]
+    statistics = fit_target_statistics(counts, large, *count_rows(fit_rows, LABEL, part, parts), left_out)
+    return Encoder(tuple((c, tuple(labels[c])) for c in small), statistics, tuple(continuous))
 
 
 def first_trees(model: GBTRegressionModel, count: int) -> GBTRegressionModel:
@@ -191,7 +192,7 @@ def _members(
     fit_rows = known.where(~F.col(VALIDATION))
     encoder = fit_encoder(fit_rows, continuous, categorical, config.one_hot_max_size, config.n_folds, config.seed, by_fold)
     own = F.when(~F.col(VALIDATION), part_of(config.n_folds, config.seed)).otherwise(-1)
-    count = len(encoder.left_out)
+    count = len(encoder.statistics.members)
     vectors = [encoder.features(i, own).alias(f"{FEATURES}_{i}") for i in range(count)]
     encoded = encoder.attach(known).select(LABEL, VALIDATION, FOLD, *vectors)
     encoded = as_table(encoded, "model-input", partition_by=FOLD)

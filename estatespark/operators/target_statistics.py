@@ -35,11 +35,15 @@ def count_rows(rows: DataFrame, label: str, part: Column, parts: int) -> tuple[l
 
 @dataclass(frozen=True)
 class TargetStatistics:
-    """Per column a table (value, n, total) of arrays with one entry per part, and the same over all rows."""
+    """Per column a table (value, n, total) of arrays: an entry per part, then one per member, of all parts that it uses.
+
+    `n` and `total` are the same over all rows, per part; `members` are the parts that each member leaves out.
+    """
 
     tables: Mapping[str, DataFrame]
     n: Sequence[int]
     total: Sequence[float]
+    members: Sequence[Sequence[int]] = ((),)
     prior_rows: float = PRIOR_ROWS
 
     @property
@@ -55,47 +59,60 @@ class TargetStatistics:
             df = df.join(counts, F.col(column).cast("string") == F.col("statistics_value"), "left").drop("statistics_value")
         return df
 
-    def mean(self, column: str, left_out: Sequence[int] = (), own: Column | None = None) -> Column:
-        """Smoothed mean over all parts but `left_out` and the row's `own` part, of a frame that `attach` has given its counts."""
-        used = [p for p in range(self.parts) if p not in set(left_out)]
-
-        def over_parts(entry) -> Column:
-            terms = [F.when(own == p, 0.0).otherwise(entry(p)) if own is not None else entry(p) for p in used]
-            total = F.lit(0.0)
-            for term in terms:
-                total = total + term
-            return total
+    def _prior(self, left_out: set[int]) -> float:
+        used = [p for p in range(self.parts) if p not in left_out]
+        rows = sum(self.n[p] for p in used)
+        return sum(self.total[p] for p in used) / rows if rows else 0.0
+
+    def mean(self, column: str, member: int = 0, own: Column | None = None) -> Column:
+        """Smoothed mean over the member's parts but the row's `own` one (-1 for none), of a frame that `attach` has given its counts."""
+        left_out = set(self.members[member])
+        own = F.lit(-1) if own is None else own
+        inside = (own >= 0) & ~own.isin(*left_out) if left_out else own >= 0
+        # The overall mean without each part, the one without any first.
+        priors = [self._prior(left_out)] + [self._prior(left_out | {p}) for p in range(self.parts)]
+        prior = F.get(F.array(*[F.lit(float(p)) for p in priors]), F.when(inside, own + 1).otherwise(0).cast("int"))
+
+        def counted(name: str) -> Column:
+            entries = F.col(f"{column}_{name}")
+            part = F.when(inside, F.get(entries, own.cast("int"))).otherwise(0)
+            return F.coalesce((F.get(entries, F.lit(self.parts + member)) - part).cast("double"), F.lit(0.0))
 
-        def counted(name: str):
-            return over_parts(lambda p: F.coalesce(F.get(F.col(f"{column}_{name}"), F.lit(p)).cast("double"), F.lit(0.0)))
-
-        all_rows, all_total = over_parts(lambda p: F.lit(float(self.n[p]))), over_parts(lambda p: F.lit(float(self.total[p])))
-        prior = F.when(all_rows > 0, all_total / all_rows).otherwise(0.0)
         return (counted("total") + prior * self.prior_rows) / (counted("n") + self.prior_rows)
 
 
 def fit_target_statistics(
-    counts: DataFrame, columns: Sequence[str], n: Sequence[int], total: Sequence[float], prior_rows: float = PRIOR_ROWS
+    counts: DataFrame,
+    columns: Sequence[str],
+    n: Sequence[int],
+    total: Sequence[float],
+    members: Sequence[Sequence[int]] = ((),),
+    prior_rows: float = PRIOR_ROWS,
 ) -> TargetStatistics:
     """From the written result of `count_categories` and `count_rows`. Each table is joined by its own measured size."""
     parts = len(n)
     by_part = F.map_from_entries(F.collect_list(F.struct("part", F.struct("n", "total"))))
     packed = counts.where(F.col("column").isin(list(columns))).groupBy("column", "value").agg(by_part.alias("by_part"))
     places = F.sequence(F.lit(0), F.lit(parts - 1))
-    packed = packed.select(
-        "column",
-        "value",
-        F.transform(places, lambda p: F.coalesce(F.col("by_part")[p]["n"], F.lit(0).cast("bigint"))).alias("n"),
-        F.transform(places, lambda p: F.coalesce(F.col("by_part")[p]["total"], F.lit(0.0))).alias("total"),
-    )
+
+    def entries(name: str, zero: Column) -> Column:
+        by_place = F.transform(places, lambda p: F.coalesce(F.col("by_part")[p][name], zero))
+
+        def used(left_out: Sequence[int]) -> Column:
+            kept = F.filter(by_place, lambda x, p: ~p.isin(*left_out)) if left_out else by_place
+            return F.aggregate(kept, zero, lambda s, x: s + x)
+
+        return F.concat(by_place, F.array(*[used(m) for m in members])).alias(name)
+
+    packed = packed.select("column", "value", entries("n", F.lit(0).cast("bigint")), entries("total", F.lit(0.0)))
     spark = counts.sparkSession
     path = fresh_path(spark, "target-statistics")
     packed.write.partitionBy("column").parquet(path)
     schema = "value string, n array<bigint>, total array<double>"
     written = spark.read.schema(f"column string, {schema}").parquet(path)
-    size = F.sum(F.octet_length("value") + 48 + 16 * parts)
+    size = F.sum(F.octet_length("value") + 48 + 16 * (parts + len(members)))
     sizes = {r["column"]: r["size"] for r in written.groupBy("column").agg(size.alias("size")).collect()}
     budget = BroadcastBudget()
     tables = {c: joinable(spark.read.schema(schema).parquet(f"{path}/column={c}"), sizes[c], budget) for c in columns if c in sizes}
     empty = spark.createDataFrame([], schema)
-    return TargetStatistics({c: tables.get(c, empty) for c in columns}, tuple(n), tuple(total), prior_rows)
+    return TargetStatistics({c: tables.get(c, empty) for c in columns}, tuple(n), tuple(total), tuple(map(tuple, members)), prior_rows)
