@@ -39,9 +39,14 @@ SYLLABLES = {
 HASHES = 4  # each gives 64 hexadecimal digits
 
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
-SECRET = r"(?<=(?:password|passwd|secret|token|api_key|apikey)=)[^\s\"']{4,}+"
+# A keyword in any case, a separator, and the value: up to the closing quote if it is in quotes, else up to white space.
+KEYWORD = r"(?i:password|passwd|secret|token|api[_\-]?key)"
+NAMED = rf"{KEYWORD}[\"']?[ \t]{{0,8}}(?:=>|[:=]{{1,2}})[ \t]{{0,8}}"
+QUOTED = "|".join(rf"(?<={NAMED}{q})[^{q}\r\n]{{4,256}}+(?={q})" for q in "\"'")
+# What stands right before is looked at first; few places pass it.
+SECRET = rf"(?<=[:=>\t \"'])(?=[^\s\"'])(?<=[:=]>?[ \t]{{0,8}}[\"']?)(?:{QUOTED}|(?<={NAMED}[\"']?)[^\s\"']{{4,}}+)"
 ACCESS_KEY = r"(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])"
-HEX = r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])"
+HEX = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 CARD = r"(?<!\d)\d{4}(?:[ \-]?\d{4}){3}(?!\d)"
@@ -60,7 +65,7 @@ FIRST = rf"(?<!\p{{L}})(?:{ALL_FIRST})(?= \p{{Lu}}\p{{Ll}})"
 LAST = rf"(?=\p{{Lu}})(?:(?<=(?<!\p{{L}})(?:{'|'.join(TITLES)})\.? )|(?<=(?<!\p{{L}})(?:{ALL_FIRST}) )){CAPITAL}"
 ENTITY = "|".join((EMAIL, SECRET, ACCESS_KEY, HEX, IP, CARD, SSN, PHONE, FIRST, LAST))
 #: Texts without any of these hold no entity; it spares most texts the long pattern.
-HINT = rf"[@+]|\d[\d.\- ]{{6}}|=|[0-9a-f]{{32}}|AKIA|\b(?:{'|'.join(TITLES)})\.? \p{{Lu}}|\b(?:{ALL_FIRST}) \p{{Lu}}"
+HINT = rf"[@+]|\d[\d.\- ]{{6}}|{KEYWORD}|[0-9a-fA-F]{{32}}|AKIA|\b(?:{'|'.join(TITLES)})\.? \p{{Lu}}|\b(?:{ALL_FIRST}) \p{{Lu}}"
 
 
 def _whole(pattern: str) -> str:
@@ -118,7 +123,7 @@ def _poured(digest: Column, form: Column, letters: str = LOWER) -> Column:
 
     def replaced(i: Column) -> Column:
         c, byte = F.substring(form, i, F.lit(1)), _byte(digest, i - 1)
-        lower, upper = F.when(c.rlike("[a-z]"), _pick(letters, byte)), F.when(c.rlike("[A-Z]"), _pick(UPPER, byte))
+        lower, upper = F.when(c.rlike("[a-z]"), _pick(letters, byte)), F.when(c.rlike("[A-Z]"), _pick(letters.upper(), byte))
         return F.coalesce(F.when(c.rlike("[0-9]"), _pick(DIGITS, byte)), lower, upper, c)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), replaced), "")

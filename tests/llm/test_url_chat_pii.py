@@ -156,6 +156,26 @@ def test_surrogates(spark):
     assert again == by_id and all(other[i] != by_id[i] for i in range(7))
 
 
+def test_secrets_in_all_their_forms(spark):
+    token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    secrets = {
+        'token = "{}"': token, 'TOKEN = "{}"!!': token.upper(), "digest {} alone": token.upper()[:32], "Password: {}": "hunter2x", 'API_KEY = "{}"': "sk-Ab12-xyz9",
+        "api-key:{} next": "Zq8rT5w", "client_secret := '{}'": "pa55 phrase it is", '{{"passwd": "{}"}}': "Tr0ub4dor&3", "secret => {}": "Abc123def", "password={}": "e3b3ed3cc8548923d6",
+    }
+    rows = [(i, form.format(value)) for i, (form, value) in enumerate(secrets.items())]
+    plain = [(100, "the token is old, a secret garden; password:"), (101, "x = 12; y: none")]
+    found = {r.doc_id: r for r in replace_entities(spark.createDataFrame(rows + plain, "doc_id long, text string"), "k").collect()}
+    for i, (form, value) in enumerate(secrets.items()):
+        before, after = form.format("\x00").split("\x00")
+        text = found[i].text
+        assert found[i].n_entities == 1 and text.startswith(before) and text.endswith(after), text
+        poured = text[len(before) : len(text) - len(after)]
+        shape = lambda v: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", re.sub(r"[^\w\s]", "-", v))))
+        assert poured != value and shape(poured) == shape(value) and not any(w in poured for w in re.findall(r"\w{4,}", value))
+        assert len(value) < 32 or re.fullmatch("[0-9a-f]+|[0-9A-F]+", poured)
+    assert all(found[i].text == text and found[i].n_entities == 0 for i, text in plain)
+
+
 def test_surrogates_stay_distinct_in_small_spaces(spark):
     # Almost every number of this form is taken, so most first attempts collide.
     entities = spark.range(700).select(F.lit("ip").alias("kind"), F.concat_ws(".", F.col("id") % 9 + 1, (F.col("id") / 9).cast("int") % 9 + 1, (F.col("id") / 81).cast("int") + 1, F.lit(5)).alias("canonical"))
