@@ -6,7 +6,8 @@ case, digits digits, separators stay; names keep gender and script. All mentions
 whole corpus, also when a number is written with other separators.
 
 Distinct entities must get distinct surrogates, and no surrogate may be an entity of the corpus. Both are checked on the table of distinct
-entities: whoever collides, save the first, is hashed again with another attempt, until nothing collides.
+entities: whoever collides, save the first, is hashed again with another attempt, until nothing collides. Surrogates grow after
+some attempts, so that this ends also where entities use up the strings of their form.
 """
 
 from __future__ import annotations
@@ -115,44 +116,62 @@ def _pick(choices: str, value: Column) -> Column:
     return F.substring(F.lit(choices), F.pmod(value, F.lit(len(choices))).cast("int") + 1, F.lit(1))
 
 
-LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+SYMBOLS = "!#%*+-.?^~"
+#: Attempts in an entity's own format; each further one makes the surrogate a character longer.
+SAME_FORMAT = 4
 
 
-def _poured(digest: Column, form: Column, letters: str = LOWER) -> Column:
-    """Every letter and digit of `form` replaced by a keyed one of its kind."""
+def _poured(digest: Column, form: Column, letters: str = LOWER, symbols: bool = False) -> Column:
+    """Every letter and digit of `form` replaced by a keyed one of its kind, and with `symbols` all else but white space too.
+
+    Letters that are neither Latin nor Cyrillic give Latin ones.
+    """
 
     def replaced(i: Column) -> Column:
         c, byte = F.substring(form, i, F.lit(1)), _byte(digest, i - 1)
-        lower, upper = F.when(c.rlike("[a-z]"), _pick(letters, byte)), F.when(c.rlike("[A-Z]"), _pick(letters.upper(), byte))
-        return F.coalesce(F.when(c.rlike("[0-9]"), _pick(DIGITS, byte)), lower, upper, c)
+        made = F.when(c.rlike("[0-9]"), _pick(DIGITS, byte))
+        made = made.when(c.rlike("[a-z]"), _pick(letters, byte)).when(c.rlike("[A-Z]"), _pick(letters.upper(), byte))
+        made = made.when(c.rlike("[А-ЯЁ]"), _pick(CYRILLIC.upper(), byte)).when(c.rlike("[а-яё]"), _pick(CYRILLIC, byte))
+        made = made.when(c.rlike(r"\p{Lu}"), _pick(letters.upper(), byte)).when(c.rlike(r"\p{L}"), _pick(letters, byte))
+        made = made.when(c.rlike(r"\p{N}"), _pick(DIGITS, byte))
+        return (made.when(c.rlike(r"\S"), _pick(SYMBOLS, byte)) if symbols else made).otherwise(c)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), replaced), "")
 
 
-def _email(digest: Column, form: Column) -> Column:
+def _grown(form: Column, attempt: Column, by: str) -> Column:
+    """`form` with a character more for each attempt that its own length was not enough for."""
+    return F.concat(form, F.repeat(F.lit(by), F.greatest(attempt - (SAME_FORMAT - 1), F.lit(0))))
+
+
+def _email(digest: Column, form: Column, attempt: Column) -> Column:
     """The local part in its format, at a keyed host of a domain kept for examples, under the same last label if that is common."""
     local, host = F.substring_index(form, "@", 1), F.substring_index(form, "@", -1)
     ending = F.substring_index(host, ".", -1)
     ending = F.when(ending.isin("com", "net", "org"), ending).otherwise("com")
     label = _poured(F.reverse(digest), F.substring_index(host, ".", 1))
-    return F.concat(_poured(digest, local), F.lit("@"), label, F.lit(".example."), ending)
+    return F.concat(_poured(digest, _grown(local, attempt, "a")), F.lit("@"), label, F.lit(".example."), ending)
 
 
-def _ip(digest: Column, form: Column) -> Column:
-    """Four numbers with as many digits as before."""
+def _ip(digest: Column, form: Column, attempt: Column) -> Column:
+    """Four numbers with as many digits as before; of three digits where such have collided, at last beyond what addresses use."""
 
     def octet(part: Column, i: Column) -> Column:
         value = _byte(digest, i * 2) * 256 + _byte(digest, i * 2 + 1)
+        beyond = (F.pmod(value, F.lit(744)) + 256).cast("string")
         wide = F.pmod(value, F.lit(155)) + 100
         middle, single = F.pmod(value, F.lit(90)) + 10, F.pmod(value, F.lit(9)) + 1
-        return F.when(F.length(part) == 3, wide).when(F.length(part) == 2, middle).otherwise(single).cast("string")
+        fitting = F.when((F.length(part) == 3) | (attempt >= SAME_FORMAT), wide).when(F.length(part) == 2, middle).otherwise(single)
+        return F.when(attempt >= 2 * SAME_FORMAT, beyond).otherwise(fitting.cast("string"))
 
     return F.array_join(F.transform(F.split(form, r"\."), octet), ".")
 
 
 def _digits(digest: Column, form: Column) -> Column:
     """The first digit, which names a country or a network, and keyed ones."""
-    return F.concat(F.substring(form, 1, 1), _poured(digest, F.expr("substring(canonical, 2)")))
+    return F.concat(F.substring(form, 1, 1), _poured(digest, F.substring(form, F.lit(2), F.length(form))))
 
 
 def _luhn(digits: Column) -> Column:
@@ -201,14 +220,17 @@ def _surrogate(entities: DataFrame, key: str) -> DataFrame:
     """`entities` (kind, canonical, attempt) with `surrogate`, in canonical form."""
     made = entities.withColumn("digest", _digest(key, F.col("kind"), F.col("canonical"), F.col("attempt")))
     kind, digest, form, attempt = F.col("kind"), F.col("digest"), F.col("canonical"), F.col("attempt")
-    value = F.when(kind == "email", _email(digest, form)).when(kind == "ip", _ip(digest, form)).when(kind == "card", _card(digest, form))
-    value = value.when(kind.isin("ssn", "phone"), _digits(digest, form)).when(kind == "hex", _poured(digest, form, "abcdef"))
+    value = F.when(kind == "email", _email(digest, form, attempt)).when(kind == "ip", _ip(digest, form, attempt))
+    value = value.when(kind == "card", _card(digest, form)).when(kind.isin("ssn", "phone"), _digits(digest, _grown(form, attempt, "0")))
+    value = value.when(kind == "hex", _poured(digest, _grown(form, attempt, "0"), "abcdef"))
     value = value.when(kind == "access_key", F.concat(F.lit("AKIA"), _poured(digest, F.expr("substring(canonical, 5)"))))
     for script, gender in FIRST_NAMES:
         value = value.when(kind == f"first_{script}_{gender}", _first(digest, attempt, script, gender))
     for script in SYLLABLES:
         value = value.when(kind == f"last_{script}", _last(digest, attempt, script))
-    return made.withColumn("surrogate", value.otherwise(_poured(digest, form))).drop("digest")
+    # A form that ends with a digit grows by digits.
+    secret = F.when(form.rlike("[0-9]$"), _grown(form, attempt, "0")).otherwise(_grown(form, attempt, "a"))
+    return made.withColumn("surrogate", value.otherwise(_poured(digest, secret, symbols=True))).drop("digest")
 
 
 def assign_surrogates(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
@@ -234,11 +256,11 @@ def assign_surrogates(entities: DataFrame, key: str, scratch: Scratch) -> DataFr
 
 
 def _in_format(kind: Column, entity: Column, surrogate: Column) -> Column:
-    """A canonical surrogate written as the mention is: its digits between the mention's separators."""
+    """A canonical surrogate written as the mention is: its digits between the mention's separators, further ones at the end."""
     between = F.split(entity, "[0-9]")
 
     def placed(part: Column, i: Column) -> Column:
-        return F.concat(part, F.substring(surrogate, i + 1, F.lit(1)))
+        return F.concat(part, F.substring(surrogate, i + 1, F.when(i < F.size(between) - 1, 1).otherwise(F.length(surrogate))))
 
     return F.when(kind.isin(*NUMBERS), F.array_join(F.transform(between, placed), "")).otherwise(surrogate)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from estatespark.llm.chat_format import INSTRUCT, Mark, Template, format_turns, read_back
 from estatespark.llm.common import Scratch
-from estatespark.llm.surrogates import _luhn, assign_surrogates, replace_entities
+from estatespark.llm.surrogates import _in_format, _luhn, assign_surrogates, replace_entities
 from estatespark.llm.url_filter import best_split, host_and_path, judge_urls, matching_rule, segment_names
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -183,6 +183,43 @@ def test_surrogates_stay_distinct_in_small_spaces(spark):
     assert len(rows) == 700 == len({r.surrogate for r in rows}) and not {r.surrogate for r in rows} & {r.canonical for r in rows}
 
 
+def crowded_forms() -> list[tuple[str, str]]:
+    """Forms with more entities than half of their surrogates, and secrets without an ASCII letter or digit."""
+    pins, quads = [("secret", f"{i:04}") for i in range(7000)], [("ip", ".".join(f"{i:04}")) for i in range(10000)]
+    mails = [("email", f"{a}@{b}.site{i}.com") for a in "abcdefgh" for b in "xyz" for i in range(60)] + [("email", "-@-.example.com"), ("email", "-@-.a.com")]
+    phones = [("phone", f"1{i:02}") for i in range(100)]
+    return pins + quads + mails + phones + [("secret", s) for s in ("****", "----", "********", "пароль_", "λόγος", "密码密码", "😀😀😀😀")]
+
+
+def test_surrogates_end_where_forms_are_used_up(spark):
+    rows = crowded_forms()
+    # A look at the rounds, so that a loop without end fails and doesn't hang.
+    rounds = []
+
+    class Counted(Scratch):
+        def write(self, df, name, codec="snappy"):
+            rounds.append(name)
+            assert rounds.count("judged") <= 40
+            return super().write(df, name, codec)
+
+    entities = spark.createDataFrame(rows, "kind string, canonical string").repartition(8)
+    found = {(r.kind, r.canonical): r.surrogate for r in assign_surrogates(entities, "k", Counted(spark, "test")).collect()}
+    assert set(found) == set(rows) and len({(k, s) for (k, _), s in found.items()}) == len(rows)
+    assert not {(k, s) for (k, _), s in found.items()} & set(rows)
+    assert all(re.fullmatch(r"\d{4,12}", s) for (k, c), s in found.items() if k == "secret" and c.isdigit())
+    assert all(re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", s) for (k, _), s in found.items() if k == "ip")
+    assert re.fullmatch("[а-я]{6}[^\\w\\s]|[а-я]{6}_", found["secret", "пароль_"]) and not set("密码λόγςαινёщ") & set(found["secret", "密码密码"] + found["secret", "λόγος"])
+
+
+def test_masked_secrets_and_long_numbers_in_texts(spark):
+    texts = ["password=**** and token=----", "secret=Слово_а", "call (12) 3456-7890"]
+    found = {r.doc_id: r.text for r in replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    assert re.fullmatch(r"password=\S{4} and token=\S{4}", found[0]) and "****" not in found[0] and "----" not in found[0]
+    assert re.fullmatch(r"secret=[А-Я][а-я]{4}\S[а-я]", found[1]) and "Слово" not in found[1]
+    written = spark.range(1).select(_in_format(F.lit("phone"), F.lit("(12) 3456-7890"), F.lit("987654321012")).alias("w")).first().w
+    assert re.fullmatch(r"call \(1\d\) \d{4}-\d{4}", found[2]) and written == "(98) 7654-321012"
+
+
 def test_texts_without_entities_pass(spark):
     docs = odd_docs(spark)
     out = replace_entities(docs, "k")
