@@ -36,6 +36,7 @@ TITLES = ("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Monsieur", "Madame", "Señor
 SYLLABLES = {
     "latin": tuple("ba be do fi ga ha ka ke la lo ma me na no ra ro sa se ta to va ve wi za".split()),
     "cyrillic": tuple("ба бе ва во га да до за ка ко ла ле ма ми на но ра ро са со та то".split()),
+    "greek": tuple("βα βε γα δο ζα θε κα κο λα λε μα μι να νο πα ρα ρο σα σο τα τε φι".split()),
 }
 HASHES = 4  # each gives 64 hexadecimal digits
 
@@ -64,17 +65,25 @@ ALL_FIRST = "|".join(name for names in FIRST_NAMES.values() for name in names)
 CAPITAL = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 FIRST = rf"(?<!\p{{L}})(?:{ALL_FIRST})(?= \p{{Lu}}\p{{Ll}})"
 LAST = rf"(?=\p{{Lu}})(?:(?<=(?<!\p{{L}})(?:{'|'.join(TITLES)})\.? )|(?<=(?<!\p{{L}})(?:{ALL_FIRST}) )){CAPITAL}"
-ENTITY = "|".join((EMAIL, SECRET, ACCESS_KEY, HEX, IP, CARD, SSN, PHONE, FIRST, LAST))
+#: All names after a title; the last one is the family name.
+FULL = rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{'|'.join(TITLES)})\.? ){CAPITAL}(?: {CAPITAL})++"
+ENTITY = "|".join((EMAIL, SECRET, ACCESS_KEY, HEX, IP, CARD, SSN, PHONE, FULL, FIRST, LAST))
 #: Texts without any of these hold no entity; it spares most texts the long pattern.
-HINT = rf"[@+]|\d[\d.\- ]{{6}}|{KEYWORD}|[0-9a-fA-F]{{32}}|AKIA|\b(?:{'|'.join(TITLES)})\.? \p{{Lu}}|\b(?:{ALL_FIRST}) \p{{Lu}}"
+HINT = rf"[@+]|\d[\d.\- ]{{6}}|{KEYWORD}|[0-9a-fA-F]{{32}}|AKIA|(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\.?|{ALL_FIRST}) \p{{Lu}}"
 
 
 def _whole(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
 
-def _kind(entity: Column) -> Column:
-    """Type of a detected string, by its own form."""
+def _words(entity: Column) -> Column:
+    """The names of a full name, or the entity alone."""
+    return F.when(entity.rlike(rf"^{CAPITAL}(?: {CAPITAL})+$"), F.split(entity, " ")).otherwise(F.array(entity))
+
+
+def _kind(entity: Column, given: Column) -> Column:
+    """Type of a detected string, by its own form, and whether it is a `given` name of a full one."""
+    script = F.when(entity.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(entity.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
     first = [F.when(entity.isin(*names), f"first_{script}_{gender}") for (script, gender), names in FIRST_NAMES.items()]
     kind = F.coalesce(
         F.when(entity.contains("@") & entity.rlike(_whole(EMAIL)), "email"),
@@ -85,8 +94,7 @@ def _kind(entity: Column) -> Column:
         F.when(entity.rlike(_whole(SSN)), "ssn"),
         F.when(entity.rlike(_whole(PHONE)), "phone"),
         *first,
-        F.when(entity.rlike(r"^\p{IsCyrillic}+(?:-\p{IsCyrillic}+)?$"), "last_cyrillic"),
-        F.when(entity.rlike(_whole(CAPITAL)), "last_latin"),
+        F.when(entity.rlike(_whole(CAPITAL)), F.concat(F.when(given, "given_").otherwise("last_"), script)),
         F.lit("secret"),
     )
     return kind
@@ -227,7 +235,7 @@ def _surrogate(entities: DataFrame, key: str) -> DataFrame:
     for script, gender in FIRST_NAMES:
         value = value.when(kind == f"first_{script}_{gender}", _first(digest, attempt, script, gender))
     for script in SYLLABLES:
-        value = value.when(kind == f"last_{script}", _last(digest, attempt, script))
+        value = value.when(kind.isin(f"last_{script}", f"given_{script}"), _last(digest, attempt, script))
     # A form that ends with a digit grows by digits.
     secret = F.when(form.rlike("[0-9]$"), _grown(form, attempt, "0")).otherwise(_grown(form, attempt, "a"))
     return made.withColumn("surrogate", value.otherwise(_poured(digest, secret, symbols=True))).drop("digest")
@@ -280,22 +288,26 @@ def replace_entities(docs: DataFrame, key: str, id_column: str = "doc_id", text_
     candidates = packed.where(hinted).withColumn("hash", F.xxhash64("text", F.reverse("text")))
     found = candidates.select("id", "hash", F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)).alias("entities")).where(F.size("entities") > 0)
     found = scratch.write(found.dropDuplicates(["id", "hash"]), "found")
-    mentions = found.select("id", "hash", F.posexplode("entities").alias("place", "entity"))
-    mentions = mentions.withColumn("kind", _kind(F.col("entity"))).withColumn("canonical", _canonical(F.col("kind"), F.col("entity")))
+    mentions = found.select("id", "hash", F.posexplode("entities").alias("place", "whole")).withColumn("words", _words(F.col("whole")))
+    mentions = mentions.select("id", "hash", "place", F.size("words").alias("n_words"), F.posexplode("words").alias("part", "entity"))
+    mentions = mentions.withColumn("kind", _kind(F.col("entity"), F.col("part") < F.col("n_words") - 1)).drop("n_words").withColumn("canonical", _canonical(F.col("kind"), F.col("entity")))
     mentions = scratch.write(mentions, "mentions")
     surrogates = assign_surrogates(mentions.select("kind", "canonical").distinct(), key, scratch)
     # An entity may have any share of the mentions: one row on the other side, so hot ones are split at run time.
     replaced = mentions.join(surrogates, ["kind", "canonical"])
     written = _in_format(F.col("kind"), F.col("entity"), F.col("surrogate"))
-    lists = replaced.groupBy("id", "hash").agg(F.sort_array(F.collect_list(F.struct("place", written.alias("written")))).alias("placed"))
-    stored = lists = scratch.write(lists.select("id", "hash", F.transform("placed", lambda p: p["written"]).alias("written")), "lists")
+    lists = replaced.groupBy("id", "hash").agg(F.sort_array(F.collect_list(F.struct("place", "part", written.alias("written")))).alias("placed"))
+    stored = lists = scratch.write(lists, "lists")
     lists = lists.withColumnsRenamed({"id": "own_id", "hash": "own_hash"})
     same_row = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash"))
     joined = candidates.join(lists.hint("merge"), same_row, "left")
     between = F.split("text", ENTITY)
-    joined = joined.withColumn("between", F.when(F.col("written").isNotNull(), between))
-    rebuilt = F.array_join(F.transform("between", lambda part, i: F.concat(part, F.coalesce(F.get("written", i), F.lit("")))), "")
-    count = F.when(F.col("written").isNull(), 0).otherwise(F.size("written")).cast("long")
+    joined = joined.withColumn("between", F.when(F.col("placed").isNotNull(), between))
+    # What stands before an entity, or the space before a further name of a full one.
+    before: Callable[[Column], Column] = lambda p: F.when(p["part"] == 0, F.get("between", p["place"])).otherwise(" ")
+    pieces = F.transform("placed", lambda p: F.concat(before(p), p["written"]))
+    rebuilt = F.concat(F.array_join(pieces, ""), F.get("between", F.size("between") - 1))
+    count = F.when(F.col("placed").isNull(), 0).otherwise(F.size("placed")).cast("long")
     changed = joined.select("row", F.coalesce(rebuilt, F.col("text")).alias("text"), count.alias("n"))
     whole = changed.union(packed.where(~hinted).select("row", "text", F.lit(0).cast("long")))
     scratch.keep_only(stored)

@@ -183,6 +183,18 @@ def test_surrogates_stay_distinct_in_small_spaces(spark):
     assert len(rows) == 700 == len({r.surrogate for r in rows}) and not {r.surrogate for r in rows} & {r.canonical for r in rows}
 
 
+def test_full_names_after_titles(spark):
+    texts = ["Dr Priya Patel met Mrs. Anna Lena Smith-Jones. Then Mr Patel left", "Ms Priya Rao", "Dr. Γιώργος Παππάς εδώ, Herr Пётр Ильич", "Anna Smith and Dr Priya"]
+    found = {r.doc_id: r for r in replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    first = re.fullmatch(r"Dr (\w+) (\w+) met Mrs\. ([\w-]+) (\w+) (\w+)\. Then Mr (\w+) left", found[0].text)
+    assert first and first[2] == first[6] and not set(first.groups()) & {"Priya", "Patel", "Lena", "Smith-Jones"}
+    second = re.fullmatch(r"Ms (\w+) (\w+)", found[1].text)
+    assert second and second[1] == first[1] and second[2] not in (first[2], "Rao")
+    assert re.fullmatch(r"Dr\. [Α-ω]+ [Α-ω]+ εδώ, Herr [А-я]+ [А-я]+", found[2].text) and not re.search("Γιώ|Παπ|Пётр|Ильич", found[2].text)
+    assert found[3].text.startswith(first[3] + " ") and "Priya" not in found[3].text
+    assert [found[i].n_entities for i in range(4)] == [6, 2, 4, 3]
+
+
 def crowded_forms() -> list[tuple[str, str]]:
     """Forms with more entities than half of their surrogates, and secrets without an ASCII letter or digit."""
     pins, quads = [("secret", f"{i:04}") for i in range(7000)], [("ip", ".".join(f"{i:04}")) for i in range(10000)]
