@@ -8,16 +8,18 @@ A document is drawn when the hash of its id falls below its probability, so the
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatespark.llm.common import Scratch
-from estatespark.session import joinable
+from estatespark.session import BroadcastBudget, joinable, value_bytes
 
-SWEEPS = 40
 TOLERANCE = 1e-9
+#: Raking ends without a fit when the gap has stayed within this share of itself for so many sweeps. A slow start moves more.
+STALLED_SWEEPS, LEAST_MOVE = 10, 1e-4
 HEX_DIGITS = 13
 Target = Mapping[str, float] | float
 
@@ -51,24 +53,38 @@ def _goals(cells: DataFrame, key: str, target: Target) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: Mapping[str, Target], scratch: Scratch) -> DataFrame:
-    """`cells` (keys, tokens) with `weight`: tokens raked to the targets of each key. Cells without tokens have weight 0."""
-    weighed = cells.withColumn("weight", F.col("tokens").cast("double"))
+    """`cells` (keys, tokens) with `weight`: tokens raked to the targets of each key. Cells without tokens have weight 0.
+
+    Sweeps go on until the largest relative gap is below TOLERANCE. Targets that no weights of these cells meet leave a gap that
+    stays; then a warning tells the gap reached.
+    """
+    weighed, sizes = cells.withColumn("weight", F.col("tokens").cast("double")), {}
     for key, target in targets.items():
-        weighed = weighed.join(_goals(cells, key, target), key)
+        goals = scratch.write(_goals(cells, key, target), "goals")
+        # A sweep's sums have the same keys and one number each.
+        sizes[key] = goals.agg(F.sum(value_bytes(goals))).first()[0] or 0
+        weighed = weighed.join(joinable(goals, sizes[key]), key)
     weighed = scratch.write(weighed, "raked")
-    for _ in range(SWEEPS):
-        swept, gap = weighed.drop("gap"), F.lit(0.0)
+    gaps: list[float] = []
+    while True:
+        swept, gap, sums, budget = weighed.drop("gap"), F.lit(0.0), [], BroadcastBudget()
         for key in targets:
-            # A window holds cells, not documents: as many as the other keys have combinations.
-            swept = swept.withColumn(f"{key}_sum", F.sum("weight").over(Window.partitionBy(key)))
+            # Partial sums meet, so a key may have any share of the cells.
+            sums.append(scratch.write(swept.groupBy(key).agg(F.sum("weight").alias(f"{key}_sum")), "sums"))
+            swept = swept.join(joinable(sums[-1], sizes[key], budget), key)
             scale = F.when(F.col(f"{key}_sum") > 0, F.col(f"{key}_goal") / F.col(f"{key}_sum")).otherwise(1.0)
             swept = swept.withColumn(f"{key}_scale", scale).withColumn("weight", F.col("weight") * F.col(f"{key}_scale"))
             gap = F.greatest(gap, F.abs(F.col(f"{key}_scale") - 1.0))
         helpers = [f"{key}_{part}" for key in targets for part in ("sum", "scale")]
         following = scratch.write(swept.withColumn("gap", gap).drop(*helpers), "raked")
-        scratch.drop(weighed)
+        scratch.drop(weighed, *sums)
         weighed = following
-        if (weighed.agg(F.max("gap")).first()[0] or 0.0) < TOLERANCE:
+        gaps.append(weighed.agg(F.max("gap")).first()[0] or 0.0)
+        if gaps[-1] < TOLERANCE:
+            break
+        last = gaps[-STALLED_SWEEPS:]
+        if len(last) == STALLED_SWEEPS and max(last) - min(last) <= LEAST_MOVE * max(last):
+            warnings.warn(f"weights miss the targets by up to {gaps[-1]:.3g} of a goal after {len(gaps)} sweeps", stacklevel=2)
             break
     return weighed.drop("gap", *[f"{key}_goal" for key in targets])
 

@@ -1,4 +1,5 @@
 import collections
+import inspect
 import math
 import random
 import re
@@ -7,6 +8,7 @@ import pytest
 from fixtures import LONG, clashing, no_docs, odd_docs
 from pyspark.sql import functions as F
 
+from estatespark.llm import mixing
 from estatespark.llm.common import Scratch
 from estatespark.llm.mixing import rake, sample_documents, unit_hash
 from estatespark.llm.quality_rules import apply_rules, binomial_tail, choose_cutoffs, measures
@@ -76,6 +78,18 @@ def test_rules_reject_marked_texts(spark):
     assert {(r.good, r.kept, r["count"]) for r in kept} == {(True, True, 3000), (False, False, 300)}
 
 
+def test_raking_goes_on_until_it_fits_or_tells(spark):
+    schema = "a string, b string, tokens long"
+    dependent = spark.createDataFrame([("=x", "=p", 1000), ("=x", "=q", 1), ("=y", "=p", 1), ("=y", "=q", 1000)], schema)
+    raked = rake(dependent, {"a": {"x": 0.5, "y": 0.5}, "b": {"p": 0.62, "q": 0.38}}, Scratch(spark, "test")).collect()
+    shares = {"=x": 0.5, "=y": 0.5, "=p": 0.62, "=q": 0.38}
+    assert all(abs(sum(r.weight for r in raked if k in (r.a, r.b)) / (2002 * share) - 1) < 3e-9 for k, share in shares.items())
+    assert not any("Window" in line for line in inspect.getsource(mixing).splitlines())
+    one_sided = spark.createDataFrame([("=x", "=p", 1000), ("=y", "=p", 500), ("=y", "=q", 500)], schema)
+    with pytest.warns(UserWarning, match="miss the targets by up to 4 of a goal"):
+        rake(one_sided, {"a": {"x": 0.9, "y": 0.1}, "b": {"p": 0.5, "q": 0.5}}, Scratch(spark, "test"))
+
+
 def test_raking_meets_the_margins(spark):
     draw = random.Random(1)
     cells = [(f"={a}", f"={b}", draw.randint(1, 1000)) for a in "xyz" for b in "pq"]
