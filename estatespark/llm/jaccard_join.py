@@ -100,8 +100,7 @@ def _counts(width: int) -> Callable:
             found = [shingles(text, width, codes) for text in as_bytes(batch.column(0))]
             if found:
                 total += np.bincount(_slots(np.concatenate(found)), minlength=1 << SKETCH_BITS)
-        # A task's counts above 16 bits are rare enough to be cut: the levels only order shingles.
-        blocks = np.minimum(total, 65535).astype(np.uint16).reshape(-1, BLOCK)
+        blocks = total.reshape(-1, BLOCK)
         yield pa.RecordBatch.from_pydict({"block": list(range(len(blocks))), "counters": [b.tobytes() for b in blocks]})
 
     return run
@@ -112,7 +111,7 @@ def _levels(batches: Iterator[pa.RecordBatch]):
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counters in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            sums[block] = sums.get(block, 0) + np.frombuffer(counters, np.uint16).astype(np.int64)
+            sums[block] = sums.get(block, 0) + np.frombuffer(counters, np.int64)
     level = [np.minimum(255, np.round(6 * np.log2(1.0 + s))).astype(np.uint8).tobytes() for s in sums.values()]
     yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int64()), "levels": pa.array(level, pa.binary())})
 

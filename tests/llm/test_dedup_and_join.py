@@ -127,3 +127,16 @@ def test_graph_components(spark):
     links = spark.createDataFrame(edges, "u long, v long")
     found = {r.u: r.v for r in components(links, Scratch(spark, "test")).collect()}
     assert all(found[i] == 0 for i in range(1, 51)) and {found[x] for x in (101, 102, 200)} == {100} and found[339] == 300
+
+
+def test_counts_of_very_common_shingles_are_whole():
+    import numpy as np
+    import pyarrow as pa
+
+    from estatespark.llm import jaccard_join
+
+    batch = pa.RecordBatch.from_pydict({"text": ["one two three four"] * 70_000})
+    (counted,) = jaccard_join._counts(4)(iter([batch]))
+    largest = max(np.frombuffer(c, np.int64).max() for c in counted.column(1).to_pylist())
+    (levels,) = jaccard_join._levels(iter([counted]))
+    assert largest == 70_000 and max(max(b) for b in levels.column(1).to_pylist()) == round(6 * np.log2(70_001))
