@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estatespark.llm import bpe, chat_format, exact_dedup, jaccard_join, mixing, quality_model, quality_rules, surrogates, toxicity, url_filter
-from estatespark.llm.common import WORD, table
+from estatespark.llm import (
+    bpe, chat_format, exact_dedup, importance, jaccard_join, mixing, quality_model, quality_rules, simhash_join, surrogates,
+    token_alignment, toxicity, url_filter,
+)
+from estatespark.llm.common import WORD, Scratch, table
 from estatespark.llm.registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -210,3 +213,53 @@ def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= QUALITY_FROM).alias("kept"))
+
+
+IMPORTANCE_SEED = 2024
+
+
+def _importance_sql() -> str:
+    """CRC-32 by table over the bytes of each distinct word; the rest is sums and a sort."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return rf"""with crc_table as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+  case when c & 1 = 1 then xor(c >> 1, {importance.POLYNOMIAL}) else c >> 1 end, i)) as steps),
+texts as (select doc_id, regexp_extract_all({LOWERED}, '{word}') as w from documents),
+wanted as (select unnest(regexp_extract_all({LOWERED}, '{word}')) as word from benchmark),
+features as (select doc_id, unnest(w) as word from texts),
+spelled as (select word, hex(encode(word)) as digits from (select word from features union select word from wanted)),
+buckets as (select word, xor(list_reduce(list_transform(range(length(digits) // 2), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::bigint),
+  lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) % 10000 as bucket from spelled, crc_table),
+source as (select bucket, count(*) as n from features join buckets using (word) group by 1),
+target as (select bucket, count(*) as n from wanted join buckets using (word) group by 1),
+gains as (select bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select count(*) from features) + 10000)
+  / ((coalesce(s.n, 0) + 1)::double * ((select count(*) from wanted) + 10000))))::bigint as gain from source s full join target t using (bucket)),
+weights as (select doc_id, sum(gain)::bigint as weight from features join buckets using (word) join gains using (bucket) group by 1),
+scored as (select doc_id, len(w)::bigint as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+  (('0x' || substr(sha256('{IMPORTANCE_SEED}:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from texts left join weights using (doc_id)),
+ranked as (select doc_id, row_number() over (order by score desc, doc_id) as rank from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= (select count(*) * 10 // 100 from ranked) then rank end as rank
+ from scored left join ranked using (doc_id)"""
+
+
+@query("op11_importance_resampling", _importance_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    drawn = importance.resample(docs, target, percent=10, sizes=(1, 1), buckets=10_000, least_words=20, seed=IMPORTANCE_SEED)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+PIECES = "piece_bpe_32k.model"
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES)
+    aligned = token_alignment.align_texts(table(spark, sf_dir, "documents"), *paths)
+    # The corpus-wide counts and the digests both read the groups.
+    return token_alignment.alignment_digests(Scratch(spark, "alignment").write(aligned, "groups", "zstd"))
+
+
+@query("op13_simhash_components")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_join.simhash_components(table(spark, sf_dir, "documents"), width=3, distance=2)
