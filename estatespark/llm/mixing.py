@@ -18,8 +18,11 @@ from estatespark.llm.common import Scratch
 from estatespark.session import BroadcastBudget, joinable, value_bytes
 
 TOLERANCE = 1e-9
-#: Raking ends without a fit when the gap has stayed within this share of itself for so many sweeps. A slow start moves more.
+#: Raking ends without a fit when the gap has stayed within this share of itself for so many sweeps: nothing meets the targets.
 STALLED_SWEEPS, LEAST_MOVE = 10, 1e-4
+#: It ends as well when the share that FALL_SWEEPS sweeps take off the gap falls by SLOWING or more whenever the sweeps double, twice in
+#: a row: the targets push a cell to zero, and the gap goes with one over the sweeps. A slow fit keeps its share.
+FALL_SWEEPS, SLOWING, SLOW_FROM = 8, 0.7, 96
 HEX_DIGITS = 13
 Target = Mapping[str, float] | float
 
@@ -52,11 +55,25 @@ def _goals(cells: DataFrame, key: str, target: Target) -> DataFrame:
     return named.select(key, goal.alias(f"{key}_goal"))
 
 
+def _ends(gaps: list[float]) -> bool:
+    """Whether further sweeps are in vain, given the gap after each one."""
+    last = gaps[-STALLED_SWEEPS:]
+    if len(last) == STALLED_SWEEPS and max(last) - min(last) <= LEAST_MOVE * max(last):
+        return True
+    if len(gaps) < SLOW_FROM:
+        return False
+
+    def fall(sweeps: int) -> float:
+        return 1.0 - gaps[sweeps - 1] / gaps[sweeps - 1 - FALL_SWEEPS]
+
+    return all(fall(len(gaps) >> k) < SLOWING * fall(len(gaps) >> (k + 1)) for k in (0, 1))
+
+
 def rake(cells: DataFrame, targets: Mapping[str, Target], scratch: Scratch) -> DataFrame:
     """`cells` (keys, tokens) with `weight`: tokens raked to the targets of each key. Cells without tokens have weight 0.
 
-    Sweeps go on until the largest relative gap is below TOLERANCE. Targets that no weights of these cells meet leave a gap that
-    stays; then a warning tells the gap reached.
+    Sweeps go on until the largest relative gap is below TOLERANCE. Targets that these cells meet only with weights of zero, or not at
+    all, leave a gap that hardly falls any more; then raking ends and a warning tells the gap reached.
     """
     weighed, sizes = cells.withColumn("weight", F.col("tokens").cast("double")), {}
     for key, target in targets.items():
@@ -82,8 +99,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Target], scratch: Scratch) -> D
         gaps.append(weighed.agg(F.max("gap")).first()[0] or 0.0)
         if gaps[-1] < TOLERANCE:
             break
-        last = gaps[-STALLED_SWEEPS:]
-        if len(last) == STALLED_SWEEPS and max(last) - min(last) <= LEAST_MOVE * max(last):
+        if _ends(gaps):
             warnings.warn(f"weights miss the targets by up to {gaps[-1]:.3g} of a goal after {len(gaps)} sweeps", stacklevel=2)
             break
     return weighed.drop("gap", *[f"{key}_goal" for key in targets])
