@@ -1,9 +1,9 @@
 """URL filter: listed rules first, then naive Bayes over the words of the host and the tokens of the path.
 
 Host names are runs of letters that often hold several words. A unigram model of word counts splits each distinct name by Viterbi's
-algorithm into its most probable words of at most LONGEST_WORD letters; a run that is no known word costs more the longer it is. The counts come from page
+algorithm into its most probable words; a run that is no known word costs more the longer it is. The counts come from page
 texts, where words stand apart, and from the hyphenated parts of hosts and paths. Substrings of the distinct names are joined with
-the counts, so the dictionary is never broadcast and may grow with the corpus.
+the counts, so the dictionary is never broadcast and may grow with the corpus; long words are met by their first letters.
 
 Multinomial naive Bayes then adds up one weight per token. Tokens are hashed to 2**BITS weights, which bounds what is broadcast.
 """
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from estatespark.llm.common import Scratch, lower_ascii
 
 BITS = 18
-LONGEST_WORD = 20
+# Words of up to so many letters are looked up whole, longer ones by this many and then compared.
+SPAN = 20
 PARTS = r"://([^/?#]*)([^?#]*)"
 #: Words that mark a page for the weak labels that the classifier is fitted on.
 BLOCKED_WORDS = ("adult", "bets", "betting", "casino", "cheap", "gambling", "loans", "pills", "poker", "porn", "sex", "spam", "viagra", "xxx")
@@ -36,7 +37,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, "[^a-z]+"), lambda w: (F.length(w) > 0) & (F.length(w) <= LONGEST_WORD))
+    return F.filter(F.split(text, "[^a-z]+"), lambda w: F.length(w) > 0)
 
 
 def _path_tokens(path: Column) -> Column:
@@ -53,12 +54,18 @@ def word_counts(texts: DataFrame, column: str) -> DataFrame:
 
 def best_split(size: int, known: dict[tuple[int, int], float], total: float) -> list[tuple[int, int]]:
     """(start, length) of the words of a name of `size` letters; `known` has the counts of its substrings that are words."""
-    score, back = [0.0] + [-math.inf] * size, [0] * (size + 1)
+    ending: dict[int, list[tuple[int, float]]] = {}
+    for (start, length), n in sorted(known.items()):
+        ending.setdefault(start + length, []).append((start, n))
+    score, back = [0.0] * (size + 1), [0] * (size + 1)
+    # An unknown run counts as a tenth of a word for each letter, so where the best one begins does not depend on its end.
+    run_start, run_score, unknown = 0, 0.0, 1.0 - math.log10(total)
     for end in range(1, size + 1):
-        for start in range(max(0, end - LONGEST_WORD), end):
-            n = known.get((start, end - start))
-            # An unknown run counts as a tenth of a word for each letter.
-            chance = math.log10(n / total) if n else 1.0 - math.log10(total) - (end - start)
+        if score[end - 1] + end - 1 > run_score:
+            run_start, run_score = end - 1, score[end - 1] + end - 1
+        score[end], back[end] = run_score + unknown - end, run_start
+        for start, n in ending.get(end, ()):
+            chance = math.log10(n / total)
             if score[start] + chance > score[end]:
                 score[end], back[end] = score[start] + chance, start
     pieces, end = [], size
@@ -72,13 +79,13 @@ def segment_names(names: DataFrame, counts: DataFrame, scratch: Scratch) -> Data
     """(name, words) of distinct names. `counts` is (word, n)."""
     total = float(counts.agg(F.sum("n")).first()[0] or 0) + 10.0
     starts = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("start"))
-    longest = F.least(F.lit(LONGEST_WORD), F.length("name") - F.col("start") + 1)
+    longest = F.least(F.lit(SPAN), F.length("name") - F.col("start") + 1)
     spans = starts.select("name", "start", F.explode(F.sequence(F.lit(1), longest)).alias("length"))
-    spans = spans.withColumn("word", F.expr("substring(name, start, length)"))
-    # A span per letter and length at most, so a name's spans are bounded by its own length.
-    found = spans.join(counts, "word").groupBy("name").agg(
-        F.collect_list(F.struct((F.col("start") - 1).alias("start"), "length", "n")).alias("spans")
-    )
+    spans = spans.withColumn("head", F.expr("substring(name, start, length)"))
+    # SPAN spans per letter at most; a long word is met by the span of its first letters.
+    met = spans.join(counts.select("word", "n", F.left("word", F.lit(SPAN)).alias("head")), "head")
+    met = met.where(F.expr("substring(name, start, length(word)) = word")).withColumn("length", F.length("word"))
+    found = met.groupBy("name").agg(F.collect_list(F.struct((F.col("start") - 1).alias("start"), "length", "n")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

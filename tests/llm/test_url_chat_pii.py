@@ -64,6 +64,16 @@ def test_names_are_split_into_words(spark):
     assert found == {"cheappillsonline": ["cheap", "pills", "online"], "thepills": ["the", "pills"], "zzqx": ["zzqx"], "a": ["a"]}
 
 
+@pytest.mark.parametrize("length", [20, 21, 45])
+def test_words_of_any_length(spark, length):
+    word = ("ab" * length)[:length]
+    counts = spark.createDataFrame([(word, 50), (word[:10], 3), ("shop", 9), ("z" * 30, 2)], "word string, n long")
+    names = spark.createDataFrame([("shop" + word + "shop",), (word[:-1] + "c",), ("q" * 60,)], "name string")
+    found = {r["name"]: r.words for r in segment_names(names, counts, Scratch(spark, "test")).collect()}
+    assert found["shop" + word + "shop"] == ["shop", word, "shop"] and found["q" * 60] == ["q" * 60]
+    assert word not in found[word[:-1] + "c"]
+
+
 def test_pages_are_judged(spark):
     html = "<p>casino win garden flower shop news reader daily green</p>"
     rows = [(i, f"http://{h}.example.org/en/{i}", html) for i, h in enumerate(["casinowin", "gardenshop", "dailynews", "greenreader"] * 20)]
@@ -232,6 +242,60 @@ def test_masked_secrets_and_long_numbers_in_texts(spark):
     assert re.fullmatch(r"call \(1\d\) \d{4}-\d{4}", found[2]) and written == "(98) 7654-321012"
 
 
+def replaced(spark, texts):
+    return [r for r in sorted(replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect(), key=lambda r: r.doc_id)]
+
+
+def test_forms_without_a_length_limit(spark):
+    phrase = "a long pass phrase " * 30
+    texts = ["x" * 64 + "@m.com", "x" * 65 + "@m.com", "a@" + "b." * 10 + "com", f'secret = "{phrase}"', f"secret: '{phrase[:256]}'", f"secret: '{phrase[:257]}'",
+             "token =" + " " * 8 + "abcd1234", "token =" + " " * 9 + "abcd1234", "token" + "\t" * 40 + ":" + " " * 40 + "abcd1234", "jörg.müßig@mail.de и почта@пример.рф"]
+    found = replaced(spark, texts)
+    assert [r.n_entities for r in found] == [1] * 9 + [2]
+    assert "xx" not in found[1].text and "com" == found[2].text[-3:] and ".b." not in found[2].text
+    assert all("phrase" not in found[i].text for i in (3, 4, 5)) and len(found[3].text) == len(texts[3])
+    assert all(found[i].text[:-8] == texts[i][:-8] and found[i].text[-8:] != "abcd1234" for i in (6, 7, 8))
+    assert not re.search("jö|rg|müß|почта|пример", found[9].text) and found[9].text.count(".example.com") == 2
+
+
+def test_phone_numbers_in_groups(spark):
+    numbers = ["+49 30 123456", "+33 1 23 45 67 89", "030 1234567", "+44 (20) 7946 0958", "089/123456-78"]
+    plain = ["+5 apples 3", "0.123456789", "12 345 678", "+1 2 3", "01-02-2024", "1234567"]
+    found = replaced(spark, [f"call {n} now" for n in numbers + plain])
+    shape = lambda t: re.sub(r"\d", "0", t)
+    for number, r in zip(numbers, found):
+        assert r.n_entities == 1 and shape(r.text) == shape(f"call {number} now") and number not in r.text
+    assert all(r.n_entities == 0 and r.text == f"call {n} now" for n, r in zip(plain, found[len(numbers) :]))
+
+
+def valid_account(text):
+    turned = text[4:] + text[:4]
+    return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+
+def test_account_numbers(spark):
+    accounts = ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "FR1420041010050500013M02606", "NL91ABNA0417164300"]
+    assert all(valid_account(a.replace(" ", "")) for a in accounts)
+    found = replaced(spark, [f"to {a}, now" for a in accounts] + ["to DE88 3704 0044 0532 0130 00, now", "DE89370400440532013000 and DE89 3704 0044 0532 0130 00"])
+    for account, r in zip(accounts, found):
+        made = re.fullmatch(r"to (.+), now", r.text)[1]
+        assert r.n_entities == 1 and made != account and made[:2] == account[:2] and len(made) == len(account) and valid_account(made.replace(" ", ""))
+        assert [c == " " for c in made] == [c == " " for c in account]
+    assert found[4].n_entities == 0 and found[4].text == "to DE88 3704 0044 0532 0130 00, now"
+    one, other = found[5].text.split(" and ")
+    assert one == other.replace(" ", "") and found[5].n_entities == 2
+
+
+def test_titles_tell_the_gender(spark):
+    from estatespark.llm.surrogates import FIRST_NAMES
+
+    found = replaced(spark, ["Mrs Priya Patel", "Dr Priya Patel and Mr Ravi Shah", "Señor Quique Paz"])
+    names = [re.findall(r"\w+(?:-\w+)*", r.text) for r in found]
+    women, men = set(FIRST_NAMES["latin", "f"]), set(FIRST_NAMES["latin", "m"])
+    assert set(names[0][1].split("-")) <= women and names[1][1] == names[0][1] and names[1][2] == names[0][2]
+    assert set(names[1][5].split("-")) <= men and set(names[2][1].split("-")) <= men
+
+
 def test_texts_without_entities_pass(spark):
     docs = odd_docs(spark)
     out = replace_entities(docs, "k")
