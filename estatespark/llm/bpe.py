@@ -16,25 +16,27 @@ import json
 import sys
 from array import array
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from estatespark.llm.common import as_bytes
+from estatespark.llm.common import small_batches
 
 # Fixed values of byte-level tokenizers: the pattern that cuts texts, Unicode's white space, and the bytes that stand for themselves.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE_SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-# Entries of a worker's caches, about 200 MB together when full.
-CHUNK_CACHE = 250_000
-PIECE_CACHE = 100_000
-PAIR_CACHE = 300_000
+# Bytes that a task's caches may take, the entries in use; as much again for those of the time before.
+CHUNK_CACHE, PIECE_CACHE = 16 << 20, 6 << 20
+# What an entry takes besides its key's and value's own bytes, and what a pair of tokens takes.
+ENTRY, PAIR_ENTRY = 190, 220
+PAIR_CACHE = 8 << 20
 
 
 def byte_symbols() -> dict[str, int]:
@@ -44,23 +46,29 @@ def byte_symbols() -> dict[str, int]:
 
 
 class Bounded(dict):
-    """A dictionary that fills itself by `make` and holds up to `limit` entries in use and as many of the time before."""
+    """A dictionary of bytes that fills itself by `make`; entries in use take up to `limit` bytes, those of the time before as many."""
 
     def __init__(self, make: Callable, limit: int, longest: int = 64):
         super().__init__()
-        self.make, self.limit, self.longest, self.older = make, limit, longest, {}
+        self.make, self.limit, self.longest, self.older, self.held = make, limit, longest, {}, 0
 
-    def __missing__(self, key):
+    def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= self.longest:
-            if len(self) >= self.limit:
+            if self.held > self.limit:
                 self.older = dict(self)
                 self.clear()
+                self.held = 0
             self[key] = value
+            self.held += ENTRY + len(key) + len(value)
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.older, self.held = {}, 0
+
 
 class Vocabulary:
     """A byte-level vocabulary with its merges, from the content of a tokenizer file."""
@@ -105,11 +113,14 @@ class Vocabulary:
         the two tokens at the seam merge before the merge that was undone last.
         """
         known = self._test(left, right)
-        if len(self._pairs) >= PAIR_CACHE:
+        if len(self._pairs) >= PAIR_CACHE // PAIR_ENTRY:
             self._pairs.clear()
         self._pairs[(left, right)] = known
         return known
 
+    def forget(self) -> None:
+        self._pairs.clear()
+
     def _test(self, left: int, right: int) -> bool:
         made, rank = self.made, self.rank
         # Rank of the merge undone last, and whether it was on the left: on equal ranks the left one comes first.
@@ -218,31 +229,29 @@ class Encoder:
         """Text of the ids; bytes that are no UTF-8 become replacement characters."""
         return b"".join(map(self.vocabulary.spelling.__getitem__, ids)).decode("utf-8", "replace")
 
+    def forget(self) -> None:
+        """Empties the caches; what stays has the vocabulary's size."""
+        self.vocabulary.forget()
+        self.pieces.forget()
+        self.spaced.forget()
+
     def digits(self, ids: list[int]) -> str:
         """Decimal ids joined by commas."""
         return ",".join(map(self.decimals.__getitem__, ids))
 
 
-def encoder_for(content: str) -> Encoder:
-    """The worker's encoder for a file's content; tasks of one worker share its caches."""
+@contextmanager
+def encoder_for(content: str) -> Iterator[Encoder]:
+    """The worker's encoder for a file's content. The vocabulary is kept for the next task, the caches end with this one."""
     # Tasks get this module by value, so what outlives a task is held by a module of the worker's own.
     held = sys.modules.setdefault("estatespark_worker", ModuleType("estatespark_worker")).__dict__
     key = hashlib.sha256(content.encode()).hexdigest()
     if held.get("encoder_key") != key:
         held["encoder"], held["encoder_key"] = Encoder(content), key
-    return held["encoder"]
-
-
-def _slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with a bounded number of text bytes, one row at least."""
-    start, held = 0, 0
-    for i, text in enumerate(as_bytes(batch.column(1))):
-        held += len(text or b"")
-        if held > most:
-            yield batch.slice(start, i + 1 - start)
-            start, held = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
+    try:
+        yield held["encoder"]
+    finally:
+        held["encoder"].forget()
 
 
 def _vocabulary_file(spark, path: str):
@@ -252,64 +261,70 @@ def _vocabulary_file(spark, path: str):
 
 
 def encode_texts(docs: DataFrame, path: str, text_column: str = "text", output: str = "ids") -> DataFrame:
-    """Adds the ids of every whole text as array<int>. A missing text has no ids, as an empty one."""
-    content = _vocabulary_file(docs.sparkSession, path)
-    return _added(docs, text_column, output, "array<int>", _encoding(content))
+    """Adds the ids of every whole text as array<int>; only the texts go to Python, and only ids come back.
+
+    A missing text has no ids, as an empty one. Rows come out as often as they come in; a further column named like the output
+    is replaced, an empty table stays one.
+    """
+    small_batches(docs.sparkSession)
+    return _added(docs, text_column, output, "array<int>", _encoding(_vocabulary_file(docs.sparkSession, path)))
 
 
 def decode_ids(docs: DataFrame, path: str, ids_column: str = "ids", output: str = "decoded") -> DataFrame:
-    """Adds the text of every array of ids. A missing array gives an empty text."""
-    content = _vocabulary_file(docs.sparkSession, path)
-    return _added(docs, ids_column, output, "string", _decoding(content))
+    """Adds the text of every array of ids. A missing array gives an empty text; otherwise as `encode_texts`."""
+    small_batches(docs.sparkSession)
+    return _added(docs, ids_column, output, "string", _decoding(_vocabulary_file(docs.sparkSession, path)))
 
 
 def _added(docs: DataFrame, column: str, output: str, kind: str, run: Callable) -> DataFrame:
-    """`docs` with a column more, computed by `run` over (everything, column) batches."""
-    kept = [c for c in docs.columns if c != output]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{column}`").alias("value"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, value {kind}"
-    done = packed.mapInArrow(run, schema)
-    return done.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("value").alias(output))
+    """`docs` with a column more, which `run` makes of one column, batch by batch."""
+    made = F.arrow_udf(run, kind)(F.col(f"`{column}`"))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != output], made.alias(output))
 
 
 def _encoding(content) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]):
-        encoder = encoder_for(content.value)
-        for whole in batches:
-            for batch in _slices(whole):
-                ids = [encoder.encode(text or "") for text in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["row", "value"])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with encoder_for(content.value) as encoder:
+            for texts in batches:
+                found = [encoder.encode(text or "") for text in texts.to_pylist()]
+                offsets = np.r_[0, np.cumsum([len(ids) for ids in found])].astype(np.int32)
+                values = np.concatenate(found) if found else np.empty(0, np.int32)
+                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
     return run
 
 
 def _decoding(content) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]):
-        encoder = encoder_for(content.value)
-        for batch in batches:
-            texts = [encoder.decode(ids or []) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "value"])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with encoder_for(content.value) as encoder:
+            for arrays in batches:
+                yield pa.array([encoder.decode(ids or []) for ids in arrays.to_pylist()], pa.string())
 
     return run
 
 
 def token_digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document: id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (of the decoded text)."""
+    """Per document: id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (of the decoded text).
+
+    A missing text counts as an empty one; rows without an id and repeated rows come out as they come in. Further columns are left out,
+    an empty table gives an empty one.
+    """
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("value"))
     content = _vocabulary_file(docs.sparkSession, path)
     kind = narrow.schema["id"].dataType.simpleString()
     schema = f"{id_column} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encoder = encoder_for(content.value)
-        for batch in batches:
-            sizes, spelled, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = encoder.encode(text or "").tolist()
-                sizes.append(len(ids))
-                spelled.append(hashlib.sha256(encoder.digits(ids).encode()).hexdigest())
-                decoded.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spelled), pa.array(decoded)]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
+        with encoder_for(content.value) as encoder:
+            for batch in batches:
+                sizes, spelled, decoded = [], [], []
+                for text in batch.column(1).to_pylist():
+                    ids = encoder.encode(text or "").tolist()
+                    sizes.append(len(ids))
+                    spelled.append(hashlib.sha256(encoder.digits(ids).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+                columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spelled, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return narrow.mapInArrow(run, schema)

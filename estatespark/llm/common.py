@@ -56,6 +56,26 @@ class Scratch:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+# Rows that cross to Python at once. Whole texts are long; a batch lies in memory on both sides, and as a list of its texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends at most BATCH_ROWS rows at once to Python, or fewer if it is set so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    set_to = int(spark.conf.get(name))
+    if not 0 < set_to <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def unused(columns: list[str], name: str) -> str:
+    """`name`, longer if a column is already called so in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(column: Column) -> Column:
     """A-Z lower-cased, nothing else."""
     return F.translate(column, UPPER, LOWER)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from estatespark.llm.common import Scratch, as_bytes, row_numbers
+from estatespark.llm.common import Scratch, as_bytes, row_numbers, small_batches
 
 TRIE_BYTES = 48 * 1024 * 1024
 OUTPUT_BYTES = 16 * 1024 * 1024
@@ -238,6 +238,7 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def _round_one(docs: DataFrame, id_column: str, text_column: str, rest: list[str], largest: bool, trie_bytes: int):
+    small_batches(docs.sparkSession)
     payload = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(0).alias("none"))
     narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), payload.alias("rest"))
     schemas = _schemas(narrow.schema["id"].dataType, narrow.schema["rest"].dataType)

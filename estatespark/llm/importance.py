@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from estatespark.llm.common import Scratch, as_bytes
+from estatespark.llm.common import Scratch, as_bytes, small_batches
 
 # Runs of anything but ASCII letters, digits and bytes above ASCII separate words.
 FEATURE_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -187,6 +187,7 @@ def resample(
     Repeated rows count, and are drawn, as often as they come. Without target texts all gains follow the corpus alone.
     Further columns of both tables are left out, whatever their names.
     """
+    small_batches(docs.sparkSession)
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "importance")
     source = bucket_counts(docs, text_column, sizes, buckets)
     gains = spark.sparkContext.broadcast(bucket_gains(source, bucket_counts(target, target_text, sizes, buckets)))

@@ -22,14 +22,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from estatespark.llm.common import Scratch, as_bytes
+from estatespark.llm.common import Scratch, as_bytes, small_batches
 from estatespark.llm.components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SKETCH_BITS = 21
 BLOCK = 1 << 16
 BITMAP_BITS = 26
-WORD_CACHE = 400_000
+# Words whose codes a task keeps, about 9 MB.
+WORD_CACHE = 1 << 16
 MOST_MATCHES = 12
 # What verifying one candidate costs, counted in postings read.
 VERIFY_COST = 32.0
@@ -245,7 +246,9 @@ def _whole_sets(docs: DataFrame, id_column: str, text_column: str, width: int, c
     wanted = spark.sparkContext.broadcast(bitmap)
     narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("slot", slot)
     found = narrow.mapInArrow(_sets(width, wanted), "class bigint, codes array<bigint>")
-    return scratch.write(found.join(classes.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
+    sets = scratch.write(found.join(classes.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
+    wanted.destroy()
+    return sets
 
 
 def _needed(u_size: Column, v_size: Column, percent: int) -> Column:
@@ -376,12 +379,14 @@ def jaccard_components(
     and get the smallest id they reach, missing if there is none. Repeated rows come out as often as they come in.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     levels = spark.sparkContext.broadcast(frequency_levels(docs, text_column, width))
     narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n bigint, class bigint, matches int, prefix array<bigint>"
     members = scratch.write(narrow.mapInArrow(_prefixes(width, percent, levels), schema), "members")
+    levels.destroy()
     named = members.where("class is not null").groupBy("class").agg(F.min("id").alias("id"))
     once = members.where("prefix is not null").select("class", "n", "matches", "prefix").dropDuplicates(["class"])
     classes = scratch.write(once.join(named, "class"), "classes")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from estatespark.llm.common import as_bytes
+from estatespark.llm.common import as_bytes, small_batches, unused
 from estatespark.llm.fitting import adam, labelled_sample, sigmoid
 from estatespark.llm.hashed_text import gram_codes, slices
 from estatespark.llm.jaccard_join import WordCodes, shingles
@@ -79,35 +79,35 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def transform(self, docs: DataFrame, text_column: str = "text", level: int = 1) -> DataFrame:
-        """`docs` with expected_grade and tail_probability, of grades `level` and above, over whole texts.
+    def transform(
+        self, docs: DataFrame, text_column: str = "text", level: int = 1, output: tuple[str, str] = ("expected_grade", "tail_probability")
+    ) -> DataFrame:
+        """`docs` with the expected grade and the chance of grades `level` and above, over whole texts.
 
-        Missing and empty texts are scored by their features of no text.
+        Missing and empty texts are scored by their features of no text. Rows come out as often as they come in; further columns named
+        like the output are replaced, an empty table stays one.
         """
         if not 1 <= level <= len(self.thresholds):
             raise ValueError("level is a grade above the lowest")
+        small_batches(docs.sparkSession)
         shared = docs.sparkSession.sparkContext.broadcast((self.weights, self.thresholds))
-        kept = [c for c in docs.columns if c not in ("expected_grade", "tail_probability")]
-        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_column}`").alias("text"))
-        schema = f"row {packed.schema['row'].dataType.simpleString()}, expected double, tail double"
-        scored = packed.mapInArrow(_grades(shared, level), schema)
-        return scored.select(
-            *[F.col("row").getField(c).alias(c) for c in kept],
-            F.col("expected").alias("expected_grade"),
-            F.col("tail").alias("tail_probability"),
-        )
+        # Only the texts go to Python, and two numbers come back.
+        graded = F.arrow_udf(_grades(shared, level), "expected double, tail double")(F.col(f"`{text_column}`"))
+        kept, packed = [c for c in docs.columns if c not in output], unused(docs.columns, "graded")
+        grades = docs.select(*[F.col(f"`{c}`") for c in kept], graded.alias(packed))
+        named = [F.col(packed).getField(part).alias(name) for part, name in zip(("expected", "tail"), output)]
+        return grades.select(*[F.col(f"`{c}`") for c in kept], *named)
 
 
 def _grades(shared, level: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights, thresholds = shared.value
         features = Features()
-        for batch in batches:
-            found = map(features, as_bytes(batch.column(1)))
+        for texts in batches:
+            found = map(features, as_bytes(texts))
             scores = np.array([float(weights[codes] @ values) for codes, values in found], np.float64)
             above = 1.0 - sigmoid(thresholds[None, :] - scores[:, None])
-            columns = [batch.column(0), pa.array(above.sum(axis=1), pa.float64()), pa.array(above[:, level - 1], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "expected", "tail"])
+            yield pa.StructArray.from_arrays([pa.array(above.sum(axis=1)), pa.array(np.ascontiguousarray(above[:, level - 1]))], names=["expected", "tail"])
 
     return run
 
@@ -138,6 +138,7 @@ def fit_quality(
         raise ValueError("two grades are needed at least")
     counted = labels.groupBy(grade.cast("int").alias("grade")).agg(F.count("*").alias("n")).collect()
     share = np.array([{r["grade"]: r["n"] for r in counted}.get(g, 0) for g in range(grades)], np.float64)
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, grade, list(range(grades)), rows_per_grade, id_column, text_column)
     schema = f"key {sample.schema['key'].dataType.simpleString()}, label int, codes binary, values binary"
     # Sorted, so that the sums of the fit do not depend on which task came first.

@@ -123,9 +123,9 @@ def n_tokens() -> Column:
     return F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mixed(docs: DataFrame, targets: dict, budget: float) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict, budget: float, names: tuple[str, str] = ("probability", "sampled")) -> DataFrame:
     keys = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic()}
-    return mixing.sample_documents(docs, keys, n_tokens(), targets, budget)
+    return mixing.sample_documents(docs, keys, n_tokens(), targets, budget, names=names)
 
 
 MIX_BUDGET = 0.5
@@ -203,10 +203,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUALITY_LEVEL, QUALITY_FROM = 1, 0.5
 
 
-def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` with expected_grade and tail_probability. Grades: 0 poor, 1 good but toxic, 2 good."""
+def graded(docs: DataFrame, labels: DataFrame, names: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:
+    """`docs` with expected grade and chance of passing. Grades: 0 poor, 1 good but toxic, 2 good."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
-    return quality_model.fit_quality(docs, labels, grade, 3).transform(docs, level=QUALITY_LEVEL)
+    return quality_model.fit_quality(docs, labels, grade, 3).transform(docs, level=QUALITY_LEVEL, output=names)
 
 
 @query("op10_quality_model")

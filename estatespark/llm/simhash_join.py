@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from estatespark.llm.common import Scratch, as_bytes
+from estatespark.llm.common import Scratch, as_bytes, small_batches
 from estatespark.llm.components import components
 from estatespark.session import joinable
 
@@ -153,6 +153,7 @@ def simhash_components(
     """
     if not 0 <= distance < WIDTH or bucket < 2:
         raise ValueError("a distance below 64 and buckets of two at least are needed")
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "simhash")
     narrow = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatespark.llm.bpe import BYTE_LEVEL, PATTERN, byte_symbols
+from estatespark.llm.common import small_batches
 
 # Characters of text that a batch of the output holds, one text at least.
 SLICE = 1 << 20
@@ -188,6 +189,7 @@ def align_texts(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc
     `a_path` is a byte-level tokenizer file, `b_path` a piece model. Missing and empty texts, and texts that a side does not spell byte
     for byte, have no tokens. Rows keep their number; rows without an id have none. Further columns are left out.
     """
+    small_batches(docs.sparkSession)
     contents = _contents(docs.sparkSession, a_path, b_path)
     narrow = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
