@@ -18,7 +18,7 @@ from estatespark.operators import splits
 from estatespark.operators.projections import exp_prediction, log_target
 from estatespark.operators.target_statistics import TargetStatistics, count_categories, count_rows, fit_target_statistics
 from estatespark.schema import CATEGORICAL, IS_TEST, KEY, TARGET
-from estatespark.session import as_table
+from estatespark.session import as_table, in_this_run
 
 LABEL = "label"
 FEATURES = "features"
@@ -207,7 +207,7 @@ def _members(
         return (fit(0),)
     # The members' jobs run side by side, as tree fits leave many executors idle between their short stages.
     with ThreadPool(min(parallelism, count)) as pool:
-        return tuple(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(count)))
+        return tuple(pool.map(inheritable_thread_target(df.sparkSession)(in_this_run(fit)), range(count)))
 
 
 def fit_price_model(

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,28 +59,32 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-# Folders of the open runs, the innermost last. Threads of a run write to the same one.
-_RUNS: list[str] = []
-_RUNS_LOCK = threading.Lock()
+# The folder of the run that the current thread works for.
+_RUN: ContextVar[str | None] = ContextVar("estatespark_run", default=None)
 
 
 @contextmanager
 def run_folder(spark: SparkSession) -> Iterator[str]:
     """Tables written inside lie in one folder below the shared one, which goes when the run ends, failed or not.
 
-    What the run is to leave behind must be written elsewhere before the end.
+    What the run is to leave behind must be written elsewhere before the end. Runs may overlap in other threads or lie inside each
+    other: each has a folder of its own. Threads that work for a run are given functions wrapped by `in_this_run`.
     """
-    folder = fresh_path(spark, "run")
-    with _RUNS_LOCK:
-        _RUNS.append(folder)
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    outer = _RUN.set(folder)
     try:
         yield folder
     finally:
-        with _RUNS_LOCK:
-            _RUNS.remove(folder)
+        _RUN.reset(outer)
         remove_path(spark, folder)
 
 
+def in_this_run(function: Callable) -> Callable:
+    """`function` for other threads, so that it writes to the folder of the run that is open here and now."""
+    here = copy_context()
+    return lambda *arguments: here.copy().run(function, *arguments)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever store it is."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -89,9 +93,7 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder, or in the open run's, that nothing else uses."""
-    with _RUNS_LOCK:
-        root = _RUNS[-1] if _RUNS else shared_dir(spark)
-    return f"{root}/{label}-{uuid.uuid4().hex}"
+    return f"{_RUN.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def as_table(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:

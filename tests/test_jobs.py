@@ -1,6 +1,8 @@
 """A run from CSV files to CSV files."""
 
 import os
+import threading
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from estatespark.config import RunConfig
 from estatespark.plans import jobs
 from estatespark.schema import FEATURES, LABELS, LISTING, PSEUDO_LABELS
-from estatespark.session import BroadcastBudget, as_table, joinable, run_folder, shared_dir
+from estatespark.session import BroadcastBudget, as_table, in_this_run, joinable, run_folder, shared_dir
 from estatespark.sources import sinks, tables
 
 
@@ -121,6 +123,44 @@ def test_a_run_leaves_nothing_behind(spark, files, tmp_path):
     assert set(os.listdir(shared.removeprefix("file:"))) == before
 
 
+def test_runs_that_overlap_keep_their_tables(spark):
+    shared = shared_dir(spark)
+    first_open, second_open, first_ended = threading.Event(), threading.Event(), threading.Event()
+    found = {}
+
+    def first():
+        with run_folder(spark) as folder:
+            first_open.set()
+            assert second_open.wait(60)
+            found["first"] = folder, as_table(spark.range(3), "numbers").inputFiles()[0]
+        first_ended.set()
+
+    def second():
+        assert first_open.wait(60)
+        with run_folder(spark) as folder:
+            table = as_table(spark.range(4), "numbers")
+            second_open.set()
+            assert first_ended.wait(60)
+            found["second"], found["rows"] = (folder, table.inputFiles()[0]), table.count()
+
+    threads = [threading.Thread(target=job) for job in (first, second)]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    assert all(folder in path and os.path.dirname(folder) == shared for folder, path in (found["first"], found["second"]))
+    assert found["rows"] == 4 and found["first"][0] != found["second"][0]
+
+
+def test_threads_of_a_run_write_to_its_folder(spark):
+    with run_folder(spark) as folder:
+        with ThreadPool(2) as pool:
+            paths = pool.map(in_this_run(lambda n: as_table(spark.range(n), "numbers").inputFiles()[0]), [1, 2, 3])
+        with run_folder(spark) as inner:
+            assert inner in as_table(spark.range(1), "numbers").inputFiles()[0]
+        assert all(folder in path for path in paths) and folder in as_table(spark.range(1), "numbers").inputFiles()[0]
+
+
 def test_broadcasts_share_a_budget(spark):
     table = as_table(spark.range(100), "numbers")
     budget = BroadcastBudget(2000)
