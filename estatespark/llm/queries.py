@@ -255,7 +255,7 @@ PIECES = "piece_bpe_32k.model"
 @query("op12_token_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES)
-    aligned = token_alignment.align_texts(table(spark, sf_dir, "documents"), *paths)
+    aligned = token_alignment.align_texts(table(spark, sf_dir, "documents"), *paths, packed=True)
     # The corpus-wide counts and the digests both read the groups.
     return token_alignment.alignment_digests(Scratch(spark, "alignment").write(aligned, "groups", "zstd"))
 

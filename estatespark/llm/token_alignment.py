@@ -26,7 +26,7 @@ SLICE = 1 << 20
 # Entries that the first probe along a diagonal compares.
 FIRST_PROBE = 4
 NO_GROUPS = [np.empty(0, np.int32)] * 4
-GROUPS = "a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
+PARTS = ("a_ids", "b_ids", "a_sizes", "b_sizes")
 # Fixed values of piece vocabularies: the mark for a space.
 SPACE_MARK = "▁"
 
@@ -162,16 +162,20 @@ def _lists(arrays: tuple[np.ndarray, ...]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
 
 
-def _aligned(contents) -> Callable:
+def _packed(arrays: tuple[np.ndarray, ...]) -> pa.Array:
+    return pa.array([a.tobytes() for a in arrays], pa.binary())
+
+
+def _aligned(contents, column: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]):
         align = None
         for batch in batches:
             start = 0
             for texts in _slices(batch.column(1).to_pylist()):
                 align = align or Alignment(contents.value)
-                columns = [_lists(arrays) for arrays in zip(*map(align, texts))]
+                columns = [column(arrays) for arrays in zip(*map(align, texts))]
                 rows = batch.column(0).slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([rows, *columns], names=["id", "a_ids", "b_ids", "a_sizes", "b_sizes"])
+                yield pa.RecordBatch.from_arrays([rows, *columns], names=["id", *PARTS])
                 start += len(texts)
 
     return run
@@ -183,48 +187,50 @@ def _contents(spark: SparkSession, a_path: str, b_path: str):
         return spark.sparkContext.broadcast((a.read(), b.read()))
 
 
-def align_texts(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def align_texts(
+    docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id", text_column: str = "text", packed: bool = False
+) -> DataFrame:
     """(id, a_ids, b_ids, a_sizes, b_sizes): the ids of every whole text, after a space, and the numbers of tokens in its groups.
 
-    `a_path` is a byte-level tokenizer file, `b_path` a piece model. Missing and empty texts, and texts that a side does not spell byte
-    for byte, have no tokens. Rows keep their number; rows without an id have none. Further columns are left out.
+    They are arrays of int, or `packed`, which takes less to write and read back: 32-bit numbers in binary. `a_path` is a byte-level
+    tokenizer file, `b_path` a piece model. Missing and empty texts, and texts that a side does not spell byte for byte, have no
+    tokens. Rows keep their number; rows without an id have none. Further columns are left out.
     """
     small_batches(docs.sparkSession)
     contents = _contents(docs.sparkSession, a_path, b_path)
     narrow = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(_aligned(contents), f"id {kind}, {GROUPS}").withColumnRenamed("id", id_column)
+    kind, part = narrow.schema["id"].dataType.simpleString(), "binary" if packed else "array<int>"
+    schema = ", ".join([f"id {kind}", *[f"{name} {part}" for name in PARTS]])
+    return narrow.mapInArrow(_aligned(contents, _packed if packed else _lists), schema).withColumnRenamed("id", id_column)
 
 
-def _arrays(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(all values of the rows, offsets of the rows in them)."""
-    offsets = column.offsets.to_numpy()
-    return column.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64), (offsets - offsets[0]).astype(np.int64)
+def _rows(batch: pa.RecordBatch, first: int) -> Iterator[list[np.ndarray]]:
+    """The four packed parts of each row, from column `first` on."""
+    for row in zip(*(batch.column(first + i).to_pylist() for i in range(len(PARTS)))):
+        yield [np.frombuffer(part, np.int32) for part in row]
 
 
-def _links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(codes of the links, row by row, offsets of the rows): of each group the two tokens that end it, as A << 32 | B."""
-    (a, a_rows), (b, b_rows), (a_sizes, rows), (b_sizes, _) = map(_arrays, (batch.column(name) for name in ("a_ids", "b_ids", "a_sizes", "b_sizes")))
-    # Groups cover all tokens, so the running sums of sizes go on from row to row.
-    return a[np.cumsum(a_sizes) - 1] << 32 | b[np.cumsum(b_sizes) - 1], rows
+def _links(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
+    """Codes of a row's links: of each group the two tokens that end it, as A << 32 | B."""
+    return a[np.cumsum(a_sizes) - 1].astype(np.int64) << 32 | b[np.cumsum(b_sizes) - 1]
 
 
 def _pair_sums(batches: Iterator[pa.RecordBatch]):
     codes, sums = np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
-        found, n = np.unique(_links(batch)[0], return_counts=True)
+        found, n = np.unique(np.concatenate([np.empty(0, np.int64), *[_links(*row) for row in _rows(batch, 0)]]), return_counts=True)
         codes, place = np.unique(np.r_[codes, found], return_inverse=True)
         sums = np.bincount(place, weights=np.r_[sums, n], minlength=len(codes)).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(sums)], names=["pair", "n"])
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:
-    """(a, b, n): how many links hold the two ids linked.
+    """(a, b, n): how many links of packed groups hold the two ids linked.
 
     Of two tokens that end together one is a suffix of the other, so there are at most as many pairs as the tokens of both
     vocabularies have bytes, for any corpus. Tasks send sums over pairs.
     """
-    sums = aligned.select("a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(_pair_sums, "pair bigint, n bigint")
+    sums = aligned.select(*PARTS).mapInArrow(_pair_sums, "pair bigint, n bigint")
     summed = sums.groupBy("pair").agg(F.sum("n").alias("n"))
     return summed.select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND((1 << 32) - 1).cast("int").alias("b"), "n")
 
@@ -255,31 +261,24 @@ def _digested(counts) -> Callable:
         pairs, n, best = counts.value
         digits = _digits(1)
         for batch in batches:
-            codes, rows = _links(batch)
-            place = np.searchsorted(pairs, codes)
-            held, first = n[place], best[place]
-            (a, a_rows), (b, b_rows), (a_sizes, _), (b_sizes, _) = map(_arrays, (batch.column(i) for i in range(1, 5)))
-            most = max(a.max(initial=1), b.max(initial=1))
-            if most >= len(digits):
-                digits = _digits(int(most))
-            spelled = []
-            for k in range(batch.num_rows):
-                own, groups = slice(rows[k], rows[k + 1]), rows[k + 1] - rows[k]
-                if groups:
-                    text = _spelled_groups(a[a_rows[k] : a_rows[k + 1]], b[b_rows[k] : b_rows[k + 1]], a_sizes[own], b_sizes[own], digits)
-                    spelled.append(hashlib.sha256(text).hexdigest())
-                else:
-                    spelled.append("")
-            sums = [np.diff(np.r_[0, np.cumsum(values)][rows]) for values in (first, held)]
-            sizes = [np.diff(offsets) for offsets in (a_rows, b_rows, rows, rows)]
-            columns = [batch.column(0), *[pa.array(c.astype(np.int64)) for c in (*sizes, *sums)], pa.array(spelled, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+            numbers, spelled = [], []
+            for row in _rows(batch, 1):
+                a, b, a_sizes, b_sizes = row
+                place = np.searchsorted(pairs, _links(*row))
+                numbers.append((len(a), len(b), len(place), len(place), int(best[place].sum()), int(n[place].sum())))
+                most = int(max(a.max(initial=1), b.max(initial=1)))
+                if most >= len(digits):
+                    digits = _digits(most)
+                spelled.append(hashlib.sha256(_spelled_groups(*row, digits)).hexdigest() if len(place) else "")
+            columns = [pa.array(c, pa.int64()) for c in zip(*numbers)] if numbers else [pa.array([], pa.int64())] * 6
+            names = ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(spelled, pa.string())], names=names)
 
     return run
 
 
 def alignment_digests(aligned: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Per row of `align_texts`, written once: numbers of tokens, groups and links, links whose pair is the most frequent one of its B
+    """Per row of packed `align_texts`, written once: numbers of tokens, groups and links, links whose pair is the most frequent one of its B
     id in all rows (ties included), the sum of the links' counts, and a digest of the groups.
     """
     spark = aligned.sparkSession
@@ -293,4 +292,4 @@ def alignment_digests(aligned: DataFrame, id_column: str = "doc_id") -> DataFram
     counts = spark.sparkContext.broadcast((codes[order], n[order], (n == highest[b])[order].astype(np.int64)))
     kind = aligned.schema[id_column].dataType.simpleString()
     schema = f"{id_column} {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
-    return aligned.select(id_column, "a_ids", "b_ids", "a_sizes", "b_sizes").mapInArrow(_digested(counts), schema)
+    return aligned.select(id_column, *PARTS).mapInArrow(_digested(counts), schema)

@@ -76,6 +76,7 @@ def test_same_as_plain(spark, tokenizers):
     for r in aligned.collect():
         a, b = np.cumsum([0, *r.a_sizes]), np.cumsum([0, *r.b_sizes])
         assert [(r.a_ids[p:q], r.b_ids[s:t]) for p, q, s, t in zip(a, a[1:], b, b[1:])] == expected[r.doc_id]
+    aligned = align_texts(docs, A, B, packed=True).cache()
     counts = collections.Counter((g[0][-1], g[1][-1]) for groups in expected.values() for g in groups)
     assert {(r.a, r.b): r.n for r in link_counts(aligned).collect()} == counts
     best = collections.Counter()
@@ -96,7 +97,7 @@ def test_texts_spelled_otherwise_have_no_tokens(tokenizers):
 
 
 def test_odd_rows_and_empty_tables(spark):
-    rows = alignment_digests(align_texts(clashing(odd_docs(spark), "n_a"), A, B)).collect()
+    rows = alignment_digests(align_texts(clashing(odd_docs(spark), "n_a"), A, B, packed=True)).collect()
     assert len(rows) == 10 and sum(r.doc_id is None for r in rows) == 2
     assert {r.doc_id for r in rows if r.n_groups == 0 and r.groups_sha256 == ""} == {3, 4, None}
-    assert alignment_digests(align_texts(no_docs(spark), A, B)).count() == 0
+    assert alignment_digests(align_texts(no_docs(spark), A, B, packed=True)).count() == 0
