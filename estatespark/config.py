@@ -36,6 +36,10 @@ class RunConfig:
     early_stopping_rounds: int | None = None
     border_count: int = 64
     subsample: float = 1.0
+    # What errors of the log price count ("absolute", or "percentage" of it), and what a leaf holds ("mean" of the gradients, or
+    # "median" of the residuals).
+    loss: str = "absolute"
+    leaf_values: str = "mean"
     # The model's columns, where not all of them are wanted.
     features: tuple[str, ...] | None = None
     # network inputs
@@ -49,6 +53,8 @@ class RunConfig:
     def __post_init__(self):
         if self.quantile_transform not in (None, "uniform", "normal"):
             raise ValueError(f"quantile_transform must be 'uniform', 'normal' or null, not {self.quantile_transform!r}")
+        if self.loss not in ("absolute", "percentage") or self.leaf_values not in ("mean", "median"):
+            raise ValueError("loss is 'absolute' or 'percentage', leaf_values 'mean' or 'median'")
         if not 0.0 < self.valid_size < 1.0:
             raise ValueError("valid_size must lie between 0 and 1")
         if self.n_folds < 2:
@@ -61,6 +67,10 @@ class RunConfig:
         return self.pseudo_labels_path if self.pseudo_labels is True else (self.pseudo_labels or None)
 
 
+# Names of loss functions in run files. Leaves of these fits hold medians.
+LOSSES = {"MAE": "absolute", "MAPE": "percentage"}
+
+
 def config_from_mapping(values: dict) -> RunConfig:
     """Nested `model_params` are merged into the top level; settings of parts that are not built are left out."""
     flat = {k: v for k, v in values.items() if k != "model_params"}
@@ -74,6 +84,11 @@ def config_from_mapping(values: dict) -> RunConfig:
             chosen[name] = tuple(chosen[name])
     if "clip_rooms" in chosen and not isinstance(chosen["clip_rooms"], tuple):
         chosen["clip_rooms"] = (chosen["clip_rooms"], None)
+    named = flat.get("loss_function")
+    if named is not None:
+        if named not in LOSSES:
+            raise ValueError(f"loss_function is one of {sorted(LOSSES)}, not {named!r}")
+        chosen = {"loss": LOSSES[named], "leaf_values": "median"} | chosen
     suffix = "_embed_dim"
     if "embed_dims" in chosen:
         chosen["embed_dims"] = {k.removesuffix(suffix): v for k, v in chosen["embed_dims"].items()}

@@ -8,7 +8,7 @@ hold a wanted rank go on to the next step. No step brings a group's rows togethe
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -57,8 +57,42 @@ def _direct(rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float]
     return rows.groupBy(*keys).agg(found.alias("quantiles"))
 
 
-def _narrowed(rows: DataFrame, keys: list[str], probabilities: Sequence[float]) -> DataFrame:
-    """The counting way, for groups of any size. `rows` (keys, v, repeats) is read twice."""
+def medians_by_group(
+    df: DataFrame, key: str, value: str, weight: str | None, n_rows: int, direct_rows: int = DIRECT_ROWS
+) -> DataFrame:
+    """(key, median) of groups in `n_rows` rows together; missing values are left out.
+
+    Without weights the median lies between the two middle values. With positive weights it is the value in whose place half of
+    the group's weight is reached: the last one with no more than half of the weight below it.
+    """
+    mass = F.lit(1) if weight is None else F.col(weight)
+    rows = df.select(key, F.col(value).cast("double").alias("v"), mass.alias("repeats")).dropna()
+    if weight is None:
+        if n_rows <= direct_rows:
+            return rows.groupBy(key).agg(F.percentile("v", F.lit(0.5)).alias("median"))
+        sizes = as_table(rows.groupBy(key).agg(F.count("*").alias("n")), "group-sizes")
+        found = quantiles_by_group(df, [key], value, [0.5], sizes, direct_rows)
+        return found.select(key, F.col("quantiles")[0].alias("median"))
+    rows = rows.where("repeats > 0")
+    if n_rows > direct_rows:
+        return _narrowed(rows, [key], [0.5], _half_masses).select(key, F.col("quantiles")[0].alias("median"))
+    # No group has more rows than there are.
+    ordered = Window.partitionBy(key).orderBy("v")
+    below = F.coalesce(F.sum("w").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    counted = rows.groupBy(key, "v").agg(F.sum("repeats").alias("w")).withColumn("below", below)
+    half = counted.withColumn("half", F.sum("w").over(Window.partitionBy(key)) / 2)
+    return half.where("below <= half").groupBy(key).agg(F.max("v").alias("median"))
+
+
+def _half_masses(cells: DataFrame, keys: list[str], probabilities: Sequence[float]) -> DataFrame:
+    """Half of each group's weight as the wanted rank, on both sides, so that nothing lies between."""
+    totals = cells.groupBy(*keys).agg((F.sum("w") / 2).alias("rank"))
+    sides = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
+    return totals.select(*keys, F.lit(0).alias("i"), sides, F.lit(0.0).alias("share"), "rank")
+
+
+def _narrowed(rows: DataFrame, keys: list[str], probabilities: Sequence[float], asked: Callable | None = None) -> DataFrame:
+    """The counting way, for groups of any size. `rows` (keys, v, repeats) is read twice; `asked` gives the wanted ranks."""
     v, count = F.col("v"), F.sum("repeats").alias("w")
 
     # OCTAVE_CELLS per factor of two on either side of zero: at most 2 * 2100 * OCTAVE_CELLS cells for any rows.
@@ -66,7 +100,8 @@ def _narrowed(rows: DataFrame, keys: list[str], probabilities: Sequence[float])
     cell = F.when(v == 0, 0).when(v > 0, steps).otherwise(-steps).cast("bigint")
     rows = rows.withColumn("cell", cell)
     cells = as_table(rows.groupBy(*keys, "cell").agg(count), "quantile-cells")
-    ranks = as_table(_place(_ranks(cells, keys, probabilities), cells, keys, "cell"), "quantile-ranks")
+    wished = (asked or _ranks)(cells, keys, probabilities)
+    ranks = as_table(_place(wished, cells, keys, "cell"), "quantile-ranks")
     wanted = joinable(as_table(ranks.select(*keys, "cell").distinct(), "quantile-cells"))
     # Written are the distinct values of the wanted cells, counted before the shuffle, so that ties cost nothing.
     values = rows.join(wanted, [*keys, "cell"]).groupBy(*keys, "cell", "v").agg(count)

@@ -1,4 +1,4 @@
-"""Boosted trees on log prices with Spark ML: preparation, fit, fold ensemble, importances and scoring."""
+"""Boosted trees on log prices: preparation, fit, fold ensemble, importances and scoring."""
 
 from __future__ import annotations
 
@@ -8,20 +8,20 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatespark.config import RunConfig
 from estatespark.functions.numeric import hash_bucket
 from estatespark.operators import splits
+from estatespark.operators.boosting import FEATURES, LABEL, LOG_PREDICTION, BoostedTrees, best_prefix, fit_boosted
 from estatespark.operators.projections import exp_prediction, log_target
 from estatespark.operators.target_statistics import TargetStatistics, count_categories, count_rows, fit_target_statistics
 from estatespark.schema import CATEGORICAL, IS_TEST, KEY, TARGET
 from estatespark.session import as_table, in_this_run
 
-LABEL = "label"
-FEATURES = "features"
+__all__ = ["FEATURES", "LABEL", "best_prefix"]
+
 VALIDATION = "is_validation"
 FOLD = "fold"
 SHARED_SLOTS = "shared_slots"
@@ -59,10 +59,14 @@ class Encoder:
         # The slots that all members share are a column of their own, so that they are computed once.
         return self.statistics.attach(df).withColumn(SHARED_SLOTS, F.array(*slots).cast("array<double>"))
 
-    def features(self, member: int, own: Column | None = None) -> Column:
-        """The vector of a member, on rows that `attach` has prepared. Fit rows have `own`, their part of the statistics."""
+    def feature_array(self, member: int, own: Column | None = None) -> Column:
+        """The features of a member, on rows that `attach` has prepared. Fit rows have `own`, their part of the statistics."""
         means = [self.statistics.mean(c, member, own) for c in self.statistics.tables]
-        return array_to_vector(F.concat(F.col(SHARED_SLOTS), F.array(*means).cast("array<double>")))
+        return F.concat(F.col(SHARED_SLOTS), F.array(*means).cast("array<double>"))
+
+    def features(self, member: int, own: Column | None = None) -> Column:
+        """`feature_array` as a vector."""
+        return array_to_vector(self.feature_array(member, own))
 
 
 def part_of(n_folds: int, seed: int) -> Column:
@@ -99,44 +103,16 @@ def fit_encoder(
     return Encoder(tuple((c, tuple(labels[c])) for c in small), statistics, tuple(continuous))
 
 
-def first_trees(model: GBTRegressionModel, count: int) -> GBTRegressionModel:
-    """The model of the first `count` trees."""
-    if count >= model.getNumTrees:
-        return model
-    java, gateway = model._java_obj, SparkSession.active().sparkContext._gateway
-    package = gateway.jvm.org.apache.spark.ml.regression
-    trees = gateway.new_array(package.DecisionTreeRegressionModel, count)
-    weights = gateway.new_array(gateway.jvm.double, count)
-    for i in range(count):
-        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
-    shorter = GBTRegressionModel(package.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures()))
-    return shorter.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
-
-
-def best_prefix(errors: Sequence[float], patience: int | None = None) -> int:
-    """How many iterations to keep: up to the lowest error, the first of equal ones.
-
-    With `patience` the search ends after that many iterations in a row without a new lowest error.
-    """
-    best = 0
-    for i, error in enumerate(errors):
-        if error < errors[best]:
-            best = i
-        if patience is not None and i - best >= patience:
-            break
-    return best + 1
-
-
 @dataclass(frozen=True)
 class PriceModel:
     encoder: Encoder
-    trees: GBTRegressionModel
+    trees: BoostedTrees
     member: int = 0
 
     def score(self, attached: DataFrame, output: str) -> DataFrame:
         """Adds the predicted price to rows that the encoder has attached its counts to."""
-        rows = attached.withColumn(FEATURES, self.encoder.features(self.member))
-        return exp_prediction(self.trees.transform(rows), "log_prediction", output).drop(FEATURES, "log_prediction")
+        predicted = self.trees.predicted(attached.sparkSession, self.encoder.feature_array(self.member))
+        return exp_prediction(attached.withColumn(LOG_PREDICTION, predicted), LOG_PREDICTION, output).drop(LOG_PREDICTION)
 
     def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         """Adds the predicted price."""
@@ -145,36 +121,14 @@ class PriceModel:
     def importances(self, spark) -> DataFrame:
         """(feature, importance), slots of one source column added up."""
         total: dict[str, float] = {}
-        for name, value in zip(self.encoder.names, self.trees.featureImportances.toArray(), strict=True):
+        for name, value in zip(self.encoder.names, self.trees.importances(), strict=True):
             total[name] = total.get(name, 0.0) + float(value)
         return spark.createDataFrame(list(total.items()), "feature string, importance double")
 
 
-def tree_regressor(config: RunConfig) -> GBTRegressor:
-    # Absolute error of logarithms stands for the percentage error of prices.
-    return GBTRegressor(
-        featuresCol=FEATURES,
-        labelCol=LABEL,
-        predictionCol="log_prediction",
-        lossType="absolute",
-        maxIter=config.iterations,
-        stepSize=config.learning_rate,
-        maxDepth=config.max_depth,
-        maxBins=config.border_count,
-        subsamplingRate=config.subsample,
-        seed=config.random_seed,
-        # Residuals are written to the checkpoint folder every ten trees, so a lost executor does not restart a long fit.
-        checkpointInterval=10,
-    )
-
-
-def fit_trees(rows: DataFrame, validation: DataFrame | None, config: RunConfig) -> GBTRegressionModel:
-    """All iterations on `rows` (FEATURES, LABEL); with validation rows, the prefix of lowest error there."""
-    model = tree_regressor(config).fit(rows)
-    if not config.early_stopping or validation is None or validation.isEmpty():
-        return model
-    errors = model.evaluateEachIteration(validation, "absolute")
-    return first_trees(model, best_prefix(list(errors), config.early_stopping_rounds))
+def fit_trees(rows: DataFrame, validation: DataFrame | None, config: RunConfig, folder: str | None = None) -> BoostedTrees:
+    """Trees on `rows` (FEATURES, LABEL); with validation rows, the prefix of lowest error there."""
+    return fit_boosted(rows, validation, config, folder)[0]
 
 
 def _labelled(df: DataFrame, is_validation: Column | None, config: RunConfig) -> DataFrame:
@@ -225,7 +179,7 @@ def validation_curve(model: PriceModel, df: DataFrame) -> list[float]:
     """Mean absolute error of the log price after each tree."""
     known = model.encoder.attach(log_target(df, TARGET, LABEL).where(F.col(LABEL).isNotNull()))
     rows = known.select(model.encoder.features(model.member).alias(FEATURES), LABEL)
-    return list(model.trees.evaluateEachIteration(rows, "absolute"))
+    return model.trees.evaluate_each(rows)
 
 
 @dataclass(frozen=True)

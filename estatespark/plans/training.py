@@ -2,47 +2,82 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatespark.config import RunConfig
 from estatespark.operators import metrics, models, projections, pseudo_labels, quantile_map, splits, vectors
-from estatespark.plans.enrichment import enrich
+from estatespark.operators.area_stats import AreaStatistics
+from estatespark.plans import enrichment
 from estatespark.schema import IS_TEST, KEY, TARGET
 from estatespark.session import as_table
 
 
-def model_table(
+@dataclass(frozen=True)
+class Preparation:
+    """Everything fitted that turns listings into rows for the model."""
+
+    config: RunConfig
+    statistics: AreaStatistics
+    quantile_map: quantile_map.QuantileMap | None
+    n_images: int
+    components: vectors.Components | None
+    continuous: tuple[str, ...]
+    categorical: tuple[str, ...]
+
+    def transform(
+        self, listings: DataFrame, image_features: DataFrame | None = None, vector: str = "vector", keep: tuple[str, ...] = ()
+    ) -> DataFrame:
+        """Key, split flag, price, area, the columns to `keep` and the model's. `image_features` is (key, array `vector`)."""
+        config = self.config
+        enriched = enrichment.apply_enrichment(
+            listings, self.statistics, config.size_cutoff, config.valid_size, config.seed, config.size_backfill
+        )
+        table = projections.prepare(enriched, self.quantile_map, config.clip_rooms)
+        if self.n_images or self.components is not None:
+            if image_features is None:
+                raise ValueError("the model was fitted with photo features")
+            joined = vectors.join_image_features(table, image_features)
+            if self.components is not None:
+                projected = self.components.transform(joined, vector)
+                table = vectors.widen(projected, "pca", config.n_pca_features, "pca_feature_").drop(vector)
+            else:
+                table = vectors.widen(joined, vector, self.n_images)
+        # The area of the pseudo labels is kept, whether it is a feature or not.
+        area = [] if "postal_code" in self.categorical else ["postal_code"]
+        return projections.select_features(table, [KEY, IS_TEST, TARGET, *area, *keep], self.continuous, self.categorical)
+
+
+def fit_preparation(
     listings: DataFrame, config: RunConfig = RunConfig(), image_features: DataFrame | None = None, vector: str = "vector"
-) -> tuple[DataFrame, list[str], list[str]]:
-    """(rows ready for the model, continuous columns, categorical ones). `image_features` is (key, array `vector`)."""
-    enriched = enrich(listings, config.size_cutoff, config.valid_size, config.seed, config.size_backfill)
+) -> Preparation:
+    statistics = enrichment.fit_enrichment(listings, config.size_cutoff, config.valid_size, config.seed)
     fitted = None
     if config.quantile_transform is not None:
         # Enrichment leaves these columns as they are, so the map needs none of its joins.
         known = listings.where(~F.col(IS_TEST))
         fitted = quantile_map.fit_quantile_map(known, n_quantiles=config.n_quantiles, output=config.quantile_transform)
-    table = projections.prepare(enriched, fitted, config.clip_rooms)
-    n_images = 0
+    n_images, components = 0, None
     if config.use_image_features and image_features is not None:
         # Listings without photos have no vector, and so may the first row.
         n_images = image_features.agg(F.max(F.size(vector))).first()[0] or 0
         if config.n_pca_features:
-            joined = listings.select(KEY).join(image_features, KEY)
-            owned = as_table(joined.select(vector), "photo-vectors")
+            owned = as_table(listings.select(KEY).join(image_features, KEY).select(vector), "photo-vectors")
             components = vectors.fit_components(owned, vector, config.n_pca_features)
-            projected = components.transform(vectors.join_image_features(table, image_features), vector)
-            table = vectors.widen(projected, "pca", config.n_pca_features, "pca_feature_").drop(vector)
-        else:
-            table = vectors.widen(vectors.join_image_features(table, image_features), vector, n_images)
     continuous, categorical = projections.model_columns(
         config.columns_to_add, config.dont_use_size, n_images, config.n_pca_features if n_images else None, only=config.features
     )
-    # The area of the pseudo labels is kept, whether it is a feature or not.
-    area = [] if "postal_code" in categorical else ["postal_code"]
-    return projections.select_features(table, [KEY, IS_TEST, TARGET, *area], continuous, categorical), continuous, categorical
+    return Preparation(config, statistics, fitted, n_images, components, tuple(continuous), tuple(categorical))
+
+
+def model_table(
+    listings: DataFrame, config: RunConfig = RunConfig(), image_features: DataFrame | None = None, vector: str = "vector"
+) -> tuple[DataFrame, list[str], list[str]]:
+    """(rows ready for the model, continuous columns, categorical ones). `image_features` is (key, array `vector`)."""
+    fitted = fit_preparation(listings, config, image_features, vector)
+    return fitted.transform(listings, image_features, vector), list(fitted.continuous), list(fitted.categorical)
 
 
 @dataclass(frozen=True)
@@ -51,6 +86,7 @@ class TreeRun:
     scored: DataFrame
     metrics: DataFrame
     importances: DataFrame
+    preparation: Preparation | None = None
 
 
 def run_trees(
@@ -61,9 +97,10 @@ def run_trees(
     run: str = "run",
 ) -> TreeRun:
     """`labels` are pseudo labels (key, price, uncertainty) of test rows."""
-    table, continuous, categorical = model_table(listings, config, image_features)
+    prepared = fit_preparation(listings, config, image_features)
     # Every fold fit and the scoring read the prepared rows.
-    return fit_and_score(as_table(table, "prepared"), continuous, categorical, config, labels, run)
+    table = as_table(prepared.transform(listings, image_features), "prepared")
+    return replace(fit_and_score(table, list(prepared.continuous), list(prepared.categorical), config, labels, run), preparation=prepared)
 
 
 def fit_and_score(

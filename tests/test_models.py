@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from estatespark.config import RunConfig
@@ -109,7 +110,8 @@ def test_stopping_keeps_the_best_prefix(spark, rate):
     df = spark.createDataFrame(rows, ["features", "label", "held"]).persist()
     fit, held = df.where("not held"), df.where("held")
     config = RunConfig(iterations=14, learning_rate=rate, max_depth=3)
-    errors = list(models.tree_regressor(config).fit(fit).evaluateEachIteration(held, "absolute"))
+    learner = GBTRegressor(lossType="absolute", maxIter=14, stepSize=rate, maxDepth=3, maxBins=config.border_count, seed=0)
+    errors = list(learner.fit(fit).evaluateEachIteration(held, "absolute"))
     kept = models.fit_trees(fit, held, config)
     assert kept.getNumTrees == int(np.argmin(errors)) + 1
     error = kept.transform(held).agg(F.avg(F.abs(F.col("label") - F.col("log_prediction")))).first()[0]
