@@ -137,11 +137,10 @@ def _labelled(df: DataFrame, is_validation: Column | None, config: RunConfig) ->
     return known.withColumns({VALIDATION: F.coalesce(flag, F.lit(False)), FOLD: splits.fold(config.n_folds, config.seed)})
 
 
-def _members(
-    df: DataFrame, continuous: Sequence[str], config: RunConfig, is_validation: Column | None, categorical: Sequence[str],
-    by_fold: bool, parallelism: int,
-) -> tuple[PriceModel, ...]:
-    """Encodes the labelled rows once, writes them once, and fits each member on its partitions."""
+def _encoded(
+    df: DataFrame, continuous: Sequence[str], config: RunConfig, is_validation: Column | None, categorical: Sequence[str], by_fold: bool
+) -> tuple[Encoder, DataFrame]:
+    """The encoder, and the labelled rows encoded once for all members and written once, by fold."""
     known = _labelled(df, is_validation, config)
     fit_rows = known.where(~F.col(VALIDATION))
     encoder = fit_encoder(fit_rows, continuous, categorical, config.one_hot_max_size, config.n_folds, config.seed, by_fold)
@@ -149,7 +148,16 @@ def _members(
     count = len(encoder.statistics.members)
     vectors = [encoder.features(i, own).alias(f"{FEATURES}_{i}") for i in range(count)]
     encoded = encoder.attach(known).select(LABEL, VALIDATION, FOLD, *vectors)
-    encoded = as_table(encoded, "model-input", partition_by=FOLD)
+    return encoder, as_table(encoded, "model-input", partition_by=FOLD)
+
+
+def _members(
+    df: DataFrame, continuous: Sequence[str], config: RunConfig, is_validation: Column | None, categorical: Sequence[str],
+    by_fold: bool, parallelism: int,
+) -> tuple[PriceModel, ...]:
+    """Fits each member on its partitions of the encoded rows."""
+    encoder, encoded = _encoded(df, continuous, config, is_validation, categorical, by_fold)
+    count = len(encoder.statistics.members)
 
     def fit(i: int) -> PriceModel:
         rows = encoded.select(F.col(f"{FEATURES}_{i}").alias(FEATURES), LABEL, VALIDATION, FOLD)
@@ -175,6 +183,16 @@ def fit_price_model(
     return _members(df, continuous, config, is_validation, categorical, by_fold=False, parallelism=1)[0]
 
 
+def fit_curve(
+    df: DataFrame, continuous: Sequence[str], config: RunConfig, is_validation: Column, categorical: Sequence[str] = CATEGORICAL, folder: str | None = None
+) -> tuple[PriceModel, list[float]]:
+    """`fit_price_model`, and the validation error after each tree that was fitted. With a `folder` a broken fit goes on there."""
+    encoder, encoded = _encoded(df, continuous, config, is_validation, categorical, by_fold=False)
+    rows = encoded.select(F.col(f"{FEATURES}_0").alias(FEATURES), LABEL, VALIDATION)
+    trees, errors = fit_boosted(rows.where(~F.col(VALIDATION)), rows.where(F.col(VALIDATION)), config, folder)
+    return PriceModel(encoder, trees), errors
+
+
 def validation_curve(model: PriceModel, df: DataFrame) -> list[float]:
     """Mean absolute error of the log price after each tree."""
     known = model.encoder.attach(log_target(df, TARGET, LABEL).where(F.col(LABEL).isNotNull()))

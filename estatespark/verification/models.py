@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from estatespark.config import RunConfig
 from estatespark.operators import models, projections, search, splits
 from estatespark.operators.target_statistics import count_categories, count_rows, fit_target_statistics
-from estatespark.plans import training
+from estatespark.plans import saved_runs, training
 from estatespark.plans.search import search_runs
 from estatespark.schema import IS_TEST, KEY, TARGET
-from estatespark.session import as_table
+from estatespark.session import as_table, fresh_path
 from estatespark.verification.registry import check, rounded
 from estatespark.verification.tabular import HASH, HOLDOUT
 from estatespark.verification.views import view
@@ -87,6 +87,46 @@ def batch_score(spark, sf):
     return _scored(_fit(models.fit_fold_ensemble, rows, _validation()), rows)
 
 
+_SIDE = "case when feature='property_type' then pt=spot else nb>1.5 end"
+_MEDIAN_STUMP = RunConfig(**{**vars(STUMP), "leaf_values": "median"})
+_MEDIANS = f"""{_stump()}, mids as (select {_SIDE} as side, quantile_cont(y, 0.5) as mid from used cross join (select feature, spot from best) group by 1),
+ halves as (select e.listing_id, e.split, exp(mid) as prediction from everyone e cross join (select feature, spot from best) join mids on mids.side = ({_SIDE}))"""
+
+
+@check("leaf_medians", f"with {_ALL_FIT}, {_MEDIANS} select listing_id, split, round(prediction,6) as prediction from halves")
+def leaf_medians(spark, sf):
+    """The stump's split, with the median log price of each side."""
+    rows = _prepared(spark, sf)
+    return _scored(models.fit_price_model(rows.where(f"not {IS_TEST}"), FEATURES[1:], _MEDIAN_STUMP, None, FEATURES[:1]), rows)
+
+
+_WEIGHTED = f"""weighed as (select *, 1/greatest(abs(y),1) as w from f),
+ cuts as (select distinct 'property_type' as feature, pt as spot from weighed union all select 'nb_bathrooms', '1.5'),
+ sides as (select feature, spot, {_SIDE} as side, sum(w) as n, sum(w*y) as s from weighed, cuts group by all),
+ gains as (select feature, spot, sum(s*s/n) as gain from sides group by all having count(*)=2),
+ best as (select * from gains qualify row_number() over (order by gain desc)=1),
+ values_of as (select {_SIDE} as side, y, sum(w) as w from weighed cross join best group by 1, 2),
+ below as (select *, sum(w) over (partition by side order by y) - w as below, sum(w) over (partition by side) as total from values_of),
+ mids as (select side, max(y) as mid from below where below <= total/2 group by 1),
+ halves as (select e.listing_id, e.split, exp(mid) as prediction from everyone e cross join best join mids on mids.side = ({_SIDE}))"""
+
+
+@check("leaf_weighted_medians", f"with {_ALL_FIT}, {_WEIGHTED} select listing_id, split, round(prediction,6) as prediction from halves")
+def leaf_weighted_medians(spark, sf):
+    """Split and medians with weights of one over the log price, for percentage errors."""
+    rows, config = _prepared(spark, sf), RunConfig(**{**vars(_MEDIAN_STUMP), "loss": "percentage"})
+    return _scored(models.fit_price_model(rows.where(f"not {IS_TEST}"), FEATURES[1:], config, None, FEATURES[:1]), rows)
+
+
+@check("saved_run_score", f"with {ROWS}, {_stump(folds=3)} select listing_id, round(prediction,6) as prediction from scored")
+def saved_run_score(spark, sf):
+    """A run saved and loaded again, scoring the listings as new ones."""
+    listings, path = view(spark, sf, "listing"), fresh_path(spark, "saved-run")
+    saved_runs.save_run(training.run_trees(listings, STUMP), path)
+    new = listings.drop(TARGET, IS_TEST)
+    return rounded(saved_runs.load_run(spark, path).transform(new).select(KEY, "prediction"), 6)
+
+
 _SLOTS = "(select unnest(['property_type','nb_bathrooms']) as feature)"
 
 
@@ -177,6 +217,54 @@ def early_stop(spark, sf):
     return spark.createDataFrame(kept, "rule string, kept bigint")
 
 
+# Whole runs without SQL: tests hold them to properties.
+
+CURVE = RunConfig(
+    iterations=12, learning_rate=0.3, max_depth=4, features=(*FEATURES, "size", "postal_code", "nb_rooms"), columns_to_add=(), size_backfill=False,
+    early_stopping_rounds=3, leaf_values="median",
+)
+
+
+@check("early_stop_curve")
+def early_stop_curve(spark, sf):
+    """Validation error after each fitted tree, and whether the tree is kept. Fitting ends when patience runs out."""
+    table, continuous, categorical = training.model_table(view(spark, sf, "listing"), CURVE)
+    kept, errors = models.fit_curve(as_table(table, "prepared").where(~F.col(IS_TEST)), continuous, CURVE, _validation(), categorical)
+    rows = [(i + 1, float(e), i < kept.trees.getNumTrees) for i, e in enumerate(errors)]
+    return spark.createDataFrame(rows, "tree bigint, error double, kept boolean")
+
+
+@check("gbt_default")
+def gbt_default(spark, sf):
+    """One model with default settings on all columns."""
+    config = RunConfig()
+    table, continuous, categorical = training.model_table(view(spark, sf, "listing"), config)
+    table = as_table(table, "prepared")
+    model = models.fit_price_model(table.where(~F.col(IS_TEST)), continuous, config, _validation(), categorical)
+    return models.score_splits(model, table, config).select(KEY, "split", "prediction")
+
+
+@check("tree_run_default")
+def tree_run_default(spark, sf):
+    """The whole run with default settings: every row's score, as the submission and the errors need it."""
+    return training.run_trees(view(spark, sf, "listing"), RunConfig()).scored.select(KEY, "split", TARGET, "prediction")
+
+
+SEARCH_SPACE = {
+    "learning_rate": {"min": 0.02, "max": 0.06, "distribution": "log_uniform_values"},
+    "max_depth": {"values": [3, 4, 5]},
+    "subsample": {"min": 0.8, "max": 1.0},
+    "iterations": {"value": 2},
+}
+
+
+@check("random_search_range")
+def random_search_range(spark, sf):
+    """Trials drawn from ranges, by their errors."""
+    config = RunConfig(n_folds=2, features=CURVE.features, columns_to_add=(), size_backfill=False)
+    return search_runs(view(spark, sf, "listing"), search.sample_settings(SEARCH_SPACE, 2, seed=3), config)
+
+
 _PART = f"({HASH.format(seed=1)} % 2)*4+{HASH.format(seed=3)} % 4"
 
 
