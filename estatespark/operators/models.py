@@ -22,6 +22,8 @@ from estatespark.session import as_table, in_this_run
 
 __all__ = ["FEATURES", "LABEL", "best_prefix"]
 
+# Predictions of fit rows by the member that did not see them.
+LEFT_OUT = "left_out_prediction"
 VALIDATION = "is_validation"
 FOLD = "fold"
 SHARED_SLOTS = "shared_slots"
@@ -206,13 +208,21 @@ class FoldEnsemble:
 
     members: tuple[PriceModel, ...]
 
-    def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
+    def transform(self, df: DataFrame, output: str = "prediction", own_fold: Column | None = None) -> DataFrame:
+        """Adds the predicted price.
+
+        With `own_fold`, the fold of fit rows and missing for others, LEFT_OUT is added too: the price by the member that left the row
+        out, and for rows that all members left out the mean.
+        """
         names = [f"fold_{i}" for i in range(len(self.members))]
         rows = self.members[0].encoder.attach(df)
         for name, member in zip(names, self.members):
             rows = member.score(rows, name)
-        scored = average_predictions(rows, names, output)
-        return scored.select(*[c for c in df.columns if c != output], output)
+        scored, added = average_predictions(rows, names, output), [output]
+        if own_fold is not None:
+            outside = F.coalesce(F.get(F.array(*names), own_fold.cast("int")), F.col(output))
+            scored, added = scored.withColumn(LEFT_OUT, outside), [output, LEFT_OUT]
+        return scored.select(*[c for c in df.columns if c not in added], *added)
 
     def importances(self, spark) -> DataFrame:
         """Mean importance over the folds, highest first."""
@@ -244,6 +254,13 @@ def fit_fold_ensemble(
     return FoldEnsemble(_members(df, continuous, config, is_validation, categorical, by_fold=True, parallelism=parallelism))
 
 
-def score_splits(model, df: DataFrame, config: RunConfig = RunConfig(), output: str = "prediction") -> DataFrame:
-    """All rows with split name and predicted price."""
-    return model.transform(df, output).withColumn("split", splits.split_name(config.valid_size, config.seed, KEY, IS_TEST))
+def score_splits(
+    model, df: DataFrame, config: RunConfig = RunConfig(), output: str = "prediction", left_out: bool = False
+) -> DataFrame:
+    """All rows with split name and predicted price; with `left_out`, of an ensemble, also LEFT_OUT."""
+    split = splits.split_name(config.valid_size, config.seed, KEY, IS_TEST)
+    if left_out:
+        scored = model.transform(df, output, F.when(split == "train", splits.fold(config.n_folds, config.seed)))
+    else:
+        scored = model.transform(df, output)
+    return scored.withColumn("split", split)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from estatespark.config import RunConfig
 from estatespark.operators import pixels, splits, vectors
-from estatespark.plans import image_features, training
+from estatespark.plans import image_features, saved_runs, training
 from estatespark.schema import FEATURES, IS_TEST, KEY, LABELS, PSEUDO_LABELS, SUBMISSION
-from estatespark.session import run_folder
+from estatespark.session import remove_path, run_folder
 from estatespark.sources import sinks, tables
 
 
@@ -47,10 +47,12 @@ def tree_job(
     config: RunConfig = RunConfig(),
     image_feature_paths: tuple[str, ...] = (),
     run: str = "run",
+    save: bool = False,
 ) -> training.TreeRun:
     """Writes `submission.csv`, `metrics` and `importances` under `output`; what was written on the way is gone at the end.
 
-    Returns the tables as they lie under `output`. The model goes with the run; `training.run_trees` keeps it.
+    Returns the tables as they lie under `output`. With `save` the run lies there as well, in `model`, for `saved_runs.load_run`. The
+    same job run again replaces its own results; metrics of other runs stay.
     """
     listings = load_listings(spark, train, test, labels, config)
     images = load_image_features(spark, *image_feature_paths) if config.use_image_features and image_feature_paths else None
@@ -59,15 +61,28 @@ def tree_job(
     with run_folder(spark):
         result = training.run_trees(listings, config, images, pseudo, run)
         rows = tables.read_table(spark, template, SUBMISSION)
-        result.scored.select(KEY, IS_TEST, "split", "prediction").write.parquet(f"{output}/scored")
+        result.scored.select(KEY, IS_TEST, "split", "prediction").write.mode("overwrite").parquet(f"{output}/scored")
         scored = spark.read.parquet(f"{output}/scored")
         predicted = scored.where(F.col(IS_TEST))
         sinks.write_submission(sinks.fill_template(rows, predicted, "prediction"), f"{output}/submission.csv")
         sinks.append_metrics(result.metrics, f"{output}/metrics")
-        result.importances.write.parquet(f"{output}/importances")
-    return training.TreeRun(
-        None, scored, spark.read.parquet(f"{output}/metrics").where(F.col("run") == run), spark.read.parquet(f"{output}/importances")
-    )
+        result.importances.write.mode("overwrite").parquet(f"{output}/importances")
+        if save:
+            # A saved run is whole or not there, and a second attempt starts anew.
+            remove_path(spark, f"{output}/model")
+            saved_runs.save_run(result, f"{output}/model")
+    own = sinks.read_metrics(spark, f"{output}/metrics").where(F.col("run") == run)
+    return training.TreeRun(None, scored, own, spark.read.parquet(f"{output}/importances"))
+
+
+def score_job(spark: SparkSession, model: str, listings: str, template: str, output: str, image_feature_paths: tuple[str, ...] = ()) -> DataFrame:
+    """New listings scored by a saved run: writes `submission.csv` under `output` and returns it."""
+    new = tables.read_table(spark, listings, FEATURES)
+    images = load_image_features(spark, *image_feature_paths) if image_feature_paths else None
+    scored = saved_runs.load_run(spark, model).transform(new, images)
+    filled = sinks.fill_template(tables.read_table(spark, template, SUBMISSION), scored, "prediction")
+    sinks.write_submission(filled, f"{output}/submission.csv")
+    return tables.read_table(spark, f"{output}/submission.csv", filled.schema)
 
 
 def image_feature_job(

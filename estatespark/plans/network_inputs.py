@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from estatespark.config import RunConfig
 from estatespark.operators import encoding, pixels, projections, pseudo_labels, quantile_map, sequences, splits
 from estatespark.schema import IS_TEST, KEY, TARGET
-from estatespark.session import as_table
+from estatespark.session import as_table, fresh_path
+from estatespark.sources import photos
 
 
 @dataclass(frozen=True)
@@ -67,8 +70,51 @@ def photo_pixel_inputs(images: DataFrame, split: str, config: RunConfig = RunCon
     names = images.select(KEY, "split", order)
     chosen = sequences.first_photos(sequences.photo_fallback(names, split), order)
     kept = images.join(chosen, [KEY, "split", order])
-    resized = pixels.resize_photos(kept, config.target_size, config.im_size, config.norm_image)
+    return _padded(pixels.resize_photos(kept, config.target_size, config.im_size, config.norm_image), config)
+
+
+def _padded(resized: DataFrame, config: RunConfig) -> DataFrame:
     height, width = (config.target_size,) * 2 if config.target_size > 0 else config.im_size
     entry = "float" if config.norm_image else "smallint"
     zero = F.array_repeat(F.lit(0).cast(entry), height * width * 3)
     return sequences.pad_sequences(resized, "pixels", zero)
+
+
+# Paths that one decoding job takes.
+DECODED_AT_ONCE = 20_000
+
+
+def photo_file_inputs(
+    spark: SparkSession, root: str, split: str, config: RunConfig = RunConfig(), at_once: int = DECODED_AT_ONCE
+) -> tuple[DataFrame, dict[str, int]]:
+    """(`photo_pixel_inputs` of a photo tree, `n_photos` decoded and `n_undecoded` of them), each chosen file decoded once.
+
+    The photos are chosen from the listing of the tree, for which no file is read. Only chosen ones are decoded, in batches of bounded
+    number, and written resized. Where a chosen file turns out to be no image, it is taken off the listing and the choice is made
+    again, until every chosen file has been decoded.
+    """
+    photo = [KEY, "split", "name"]
+    listed = as_table(photos.read_photos(spark, root).select("path", *photo), "listed-photos")
+    resized, tried = fresh_path(spark, "resized-photos"), []
+    counts = {"n_photos": 0, "n_undecoded": 0}
+    while True:
+        chosen = as_table(sequences.first_photos(sequences.photo_fallback(listed, split), "name"), "chosen-photos")
+        wanted = chosen
+        for earlier in tried:
+            wanted = wanted.join(earlier, "path", "left_anti")
+        wanted = as_table(wanted.select("path"), "wanted-photos")
+        paths = (row["path"] for row in wanted.toLocalIterator())
+        while batch := list(islice(paths, at_once)):
+            counted = Observation(f"decoded-{uuid.uuid4().hex}")
+            images = photos.decode_files(spark, batch, counted).drop("path")
+            pixels.resize_photos(images, config.target_size, config.im_size, config.norm_image).write.mode("append").parquet(resized)
+            counts = {name: n + counted.get[name] for name, n in counts.items()}
+        tried.append(wanted)
+        done = spark.read.parquet(resized) if counts["n_photos"] else None
+        if done is None:
+            # A tree without photos gives no rows, of the same columns.
+            done = pixels.resize_photos(photos.decode_photos(spark, root).drop("path"), config.target_size, config.im_size, config.norm_image)
+        if wanted.isEmpty() or counts["n_undecoded"] == 0:
+            return _padded(done.join(chosen.select(*photo, "position"), photo), config), counts
+        broken = wanted.join(chosen, "path").join(done.select(*photo), photo, "left_anti").select("path")
+        listed = as_table(listed.join(broken, "path", "left_anti"), "listed-photos")

@@ -111,20 +111,25 @@ def fit_and_score(
     if labels is not None:
         known = pseudo_labels.append_pseudo_labels(known, table.where(F.col(IS_TEST)), labels, config.uncertainty_level)
     model = models.fit_fold_ensemble(known, continuous, config, validation, categorical)
-    scored = models.score_splits(model, table, config)
+    scored = models.score_splits(model, table, config, left_out=True)
     errors = metrics.metrics_by_split(scored.where(~F.col(IS_TEST)), "split", TARGET, "prediction")
     return TreeRun(model, scored, metrics.metric_rows(errors, run), model.importances(table.sparkSession))
 
 
 def pseudo_label_rounds(
-    listings: DataFrame, config: RunConfig = RunConfig(), rounds: int = 1, image_features: DataFrame | None = None
+    listings: DataFrame, config: RunConfig = RunConfig(), rounds: int = 1, image_features: DataFrame | None = None, out_of_fold: bool = False
 ) -> TreeRun:
-    """A run without pseudo labels, then runs on the labels of the run before. The rows are prepared once."""
+    """A run without pseudo labels, then runs on the labels of the run before. The rows are prepared once.
+
+    An area's uncertainty is the error of the prediction there; `out_of_fold`, of the prediction by members that did not see the row,
+    so that areas whose prices the trees have learnt by heart do not look certain.
+    """
     table, continuous, categorical = model_table(listings, config, image_features)
     table = as_table(table, "prepared")
     result = fit_and_score(table, continuous, categorical, config, run="round_0")
     for i in range(rounds):
-        scored = result.scored.select(KEY, "postal_code", TARGET, "prediction", IS_TEST)
-        labels = as_table(pseudo_labels.pseudo_labels(as_table(scored, "scored")), "pseudo-labels")
+        scored = as_table(result.scored.select(KEY, "postal_code", TARGET, "prediction", models.LEFT_OUT, IS_TEST), "scored")
+        judged = models.LEFT_OUT if out_of_fold else "prediction"
+        labels = as_table(pseudo_labels.pseudo_labels(scored, judged=judged), "pseudo-labels")
         result = fit_and_score(table, continuous, categorical, config, labels, f"round_{i + 1}")
     return result

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,22 @@ def decode_photos(spark: SparkSession, root: str, counted: Observation | None =
         .option("recursiveFileLookup", True)
         .load(root)
     )
+    return _decoded(images, counted)
+
+
+# Characters that a path would be matched by.
+PATTERN_SIGNS = r"([\\{}\[\]*?^])"
+
+
+def decode_files(spark: SparkSession, paths: list[str], counted: Observation | None = None) -> DataFrame:
+    """The photos at the given paths, as `decode_photos` gives them; no other file is read."""
+    return _decoded(spark.read.format("image").load([re.sub(PATTERN_SIGNS, r"\\\1", path) for path in paths]), counted)
+
+
+def _decoded(images: DataFrame, counted: Observation | None) -> DataFrame:
     flat = images.select(
-        F.col("image.origin").alias("path"),
+        # The origin is spelled as a URL, in which a plus is a plus.
+        F.url_decode(F.regexp_replace("image.origin", r"\+", "%2B")).alias("path"),
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("n_channels"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from estatespark.config import RunConfig
 from estatespark.operators import pixels, projections, sequences
 from estatespark.plans import image_features
-from estatespark.plans.network_inputs import photo_pixel_inputs
+from estatespark.plans.network_inputs import photo_file_inputs, photo_pixel_inputs
 from estatespark.sources import photos, sinks
 
 
@@ -108,6 +108,36 @@ def test_resize_and_normalise(spark, tree, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(made)
 
 
+@pytest.mark.parametrize("at_once", [3, 1000])
+def test_chosen_files_are_decoded_once(spark, tmp_path, at_once):
+    rng, made = np.random.default_rng(3), {}
+    names = ["00.jpg", "0 1.jpg", "0+2.jpg", "0%203.jpg", "x[1].jpg", "{y}.jpg", "é.jpg", "z.jpg", "zz.jpg"]
+    for split, listing, count in (("train", 1, 9), ("train", 2, 2), ("test", 2, 3), ("test", 3, 7), ("train", 4, 3), ("test", 4, 2)):
+        folder = tmp_path / split / f"ann_{listing}"
+        folder.mkdir(parents=True)
+        for name in names[:count]:
+            # Listing 4 has nothing but broken files in its own split.
+            broken = (listing == 1 and name in ("00.jpg", "x[1].jpg")) or (split, listing) == ("train", 4)
+            (folder / name).write_bytes(b"no photo" if broken else png(rng.integers(0, 256, (6, 5, 3), dtype=np.uint8)))
+            made[split, listing, name] = broken
+    config = RunConfig(target_size=4, norm_image=False)
+    expected = photo_pixel_inputs(photos.decode_photos(spark, str(tmp_path)).drop("path"), "train", config)
+    found, counts = photo_file_inputs(spark, str(tmp_path), "train", config, at_once)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    good = {s + str(i): sum(1 for (t, j, _), b in made.items() if (t, j) == (s, i) and not b) for s, i, _ in made}
+    chosen = min(6, good["train1"]) + good["train2"] + min(6, good["test3"]) + good["test4"]
+    # Broken files are decoded too, as only that tells; the rest of the tree is left alone.
+    assert counts["n_photos"] - counts["n_undecoded"] == chosen and counts["n_undecoded"] == 5
+    assert chosen == 16 and sum(not b for b in made.values()) == 21
+
+
+def test_no_photos_at_all(spark, tmp_path):
+    (tmp_path / "train" / "ann_1").mkdir(parents=True)
+    (tmp_path / "train" / "stray.jpg").write_bytes(b"x")
+    found, counts = photo_file_inputs(spark, str(tmp_path), "train", RunConfig(target_size=4))
+    assert found.count() == 0 and counts == {"n_photos": 0, "n_undecoded": 0}
+
+
 @pytest.mark.parametrize("target", [None, 0, -1])
 def test_stretch_without_target(spark, tree, target):
     root, _ = tree
