@@ -161,6 +161,32 @@ def test_threads_of_a_run_write_to_its_folder(spark):
         assert all(folder in path for path in paths) and folder in as_table(spark.range(1), "numbers").inputFiles()[0]
 
 
+def test_writes_can_be_repeated(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    for run, value in (("0001", 1.0), ("b", 2.0), ("0001", 3.0)):
+        sinks.append_metrics(spark.createDataFrame([(run, "MAPE_valid", value), (run, "MAPE_train", value)], "run string, metric string, value double"), path)
+    rows = sinks.read_metrics(spark, path).collect()
+    assert sorted((r.run, r.value) for r in rows) == [("0001", 3.0)] * 2 + [("b", 2.0)] * 2
+    features, wide = str(tmp_path / "features"), "listing_id bigint, image_feature_0 double, split string"
+    for split, value in (("train", 1.0), ("test", 2.0), ("train", 5.0)):
+        assert sinks.write_features(spark.createDataFrame([(1, value, split)], wide), features) == 1
+    assert {(r.split, r.image_feature_0) for r in spark.read.parquet(features).collect()} == {("train", 5.0), ("test", 2.0)}
+
+
+def test_a_job_run_again_and_its_model(spark, files, tmp_path):
+    _, paths, _ = files
+    config = RunConfig(iterations=3, learning_rate=0.3, max_depth=3, n_folds=2, leaf_values="median")
+    output = str(tmp_path / "out")
+    found = []
+    for _ in range(2):
+        jobs.tree_job(spark, paths["train"], paths["test"], paths["labels"], paths["template"], output, config, run="r", save=True)
+        found.append({r.listing_id: r.price for r in tables.read_table(spark, f"{output}/submission.csv", LABELS).collect()})
+        assert sinks.read_metrics(spark, f"{output}/metrics").count() == 2 and spark.read.parquet(f"{output}/scored").count() == 1200
+    assert found[0] == pytest.approx(found[1], rel=1e-12)
+    scored = jobs.score_job(spark, f"{output}/model", paths["test"], paths["template"], str(tmp_path / "scored"))
+    assert {r.listing_id: r.price for r in scored.collect()} == pytest.approx(found[1], rel=1e-9)
+
+
 def test_broadcasts_share_a_budget(spark):
     table = as_table(spark.range(100), "numbers")
     budget = BroadcastBudget(2000)

@@ -212,6 +212,47 @@ def test_random_search(spark, market):
         search_runs(market, [{"lr": 0.1}])
 
 
+def test_a_broken_search_goes_on(spark, market, tmp_path, monkeypatch):
+    config = RunConfig(n_folds=2, features=("size", "city"), columns_to_add=(), size_backfill=False)
+    settings = [{"max_depth": d, "iterations": 1} for d in (1, 2, 3)]
+    folder, begun, own = str(tmp_path / "trials"), [], training.fit_and_score
+
+    def fit(*arguments):
+        begun.append(arguments[-1])
+        if len(begun) == 2:
+            raise RuntimeError("lost")
+        return own(*arguments)
+
+    monkeypatch.setattr(training, "fit_and_score", fit)
+    with pytest.raises(RuntimeError):
+        search_runs(market, settings[:2], config, folder=folder)
+    assert begun[0] == "trial_0000"
+    begun[:] = ["one", "two"]
+    found = search_runs(market, settings, config, folder=folder, parallelism=2).collect()
+    assert sorted(begun[2:]) == ["trial_0001", "trial_0002"]
+    begun[:] = ["one", "two"]
+    changed = search_runs(market, [settings[0], {"max_depth": 4, "iterations": 1}], config, folder=folder)
+    assert begun[2:] == ["trial_0001"] and changed.count() == 4
+    plain = {(r.run, r.metric): r.value for r in search_runs(market, settings, config, parallelism=3).collect()}
+    assert len(plain) == 6 and {k: v for k, v in plain.items() if k[0] != "trial_0001"} == pytest.approx(
+        {(r.run, r.metric): r.value for r in found if r.run != "trial_0001"}
+    )
+
+
+def test_fit_rows_are_judged_by_members_that_left_them_out(market, run):
+    rows = run.scored.select("listing_id", "split", "prediction", models.LEFT_OUT, splits.fold(2).alias("fold")).collect()
+    table = run.preparation.transform(market)
+    apart = {}
+    for i, member in enumerate(run.model.members):
+        apart[i] = {r.listing_id: r.p for r in member.transform(table, "p").select("listing_id", "p").collect()}
+    for r in rows:
+        own = apart[r.fold][r.listing_id] if r.split == "train" else r.prediction
+        assert r[models.LEFT_OUT] == pytest.approx(own, rel=1e-9)
+    known = run.scored.where("split = 'train'").join(market.select("listing_id", F.col("price").alias("actual")), "listing_id")
+    errors = [metrics.mape(known, "actual", c).first()["mape"] for c in ("prediction", models.LEFT_OUT)]
+    assert errors[0] < errors[1]
+
+
 def test_network_inputs_take_pseudo_labels(spark, market):
     labels = market.where("is_test").select("listing_id", F.lit(5000.0).alias("price"), (F.col("listing_id") % 2).cast("double").alias("uncertainty"))
     plain, more = network_inputs(market).rows, network_inputs(market, labels=labels).rows
