@@ -33,7 +33,7 @@ WHITE_SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 # Bytes that a task's caches may take, the entries in use; as much again for those of the time before.
-CHUNK_CACHE, PIECE_CACHE = 16 << 20, 6 << 20
+CHUNK_CACHE, PIECE_CACHE = 40 << 20, 8 << 20
 # What an entry takes besides its key's and value's own bytes, and what a pair of tokens takes.
 ENTRY, PAIR_ENTRY = 190, 220
 PAIR_CACHE = 8 << 20

@@ -24,6 +24,17 @@ def adam(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps:
     return at
 
 
+def descend(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: int, rate: float, momentum: float = 0.9) -> np.ndarray:
+    """Full-batch gradient descent with momentum, which looks ahead. A weight moves as far as the rows ask for, so weights that
+    explain little stay little.
+    """
+    at, pace = start.copy(), np.zeros_like(start)
+    for _ in range(steps):
+        pace = momentum * pace - rate * gradient(at + momentum * pace)
+        at += pace
+    return at
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: Column, classes: list[int], rows_per_class: int, id_column: str, text_column: str
 ) -> DataFrame:

@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 A text is the set of its hashed character n-grams, A-Z lower-cased and white space unified. Each gram's weight is its log ratio of document
-frequencies in the two classes, shrunk, times a weight fitted by logistic regression, so grams that say nothing add nothing
-however long a text is.
+frequencies in the two classes times a weight fitted by logistic regression. The fitted weights go with the ratios themselves, so
+grams that say little count by the square of it and don't add up to a verdict in long texts.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatespark.llm.common import as_bytes
-from estatespark.llm.fitting import adam, labelled_sample, sigmoid
+from estatespark.llm.fitting import descend, labelled_sample, sigmoid
 from estatespark.llm.hashed_text import Distinct, gram_codes, slices
 
 GRAMS = (3, 4, 5)
@@ -24,10 +24,7 @@ BITS = 18
 SLICE = 1 << 20
 # Bound of the sample that the model is fitted on: this many labelled rows of each class.
 ROWS_PER_CLASS = 2000
-PENALTY, RATE, STEPS = 1e-6, 0.05, 100
-# Log ratios are drawn to zero by this much: grams that are less than e times as frequent in one class count for nothing, or
-# thousands of them would outweigh the few that tell in a long text.
-SHRINK = 1.0
+PENALTY, RATE, STEPS = 1e-4, 0.1, 150
 # Codes that the fit takes up at once.
 BLOCK = 1 << 20
 
@@ -128,7 +125,6 @@ def fit_toxicity(
 
     toxic, clean = spread(label), spread(1 - label)
     ratio = np.log((toxic + 1) / (label.sum() + 2)) - np.log((clean + 1) / ((1 - label).sum() + 2))
-    ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - SHRINK, 0.0)
     # Both classes weigh the same in the fit; their real share comes back through the intercept.
     weight = np.where(label == 1, 0.5 / label.sum(), 0.5 / (1 - label).sum())
 
@@ -136,5 +132,5 @@ def fit_toxicity(
         error = (sigmoid(gathered(ratio * at[:-1]) + at[-1]) - label) * weight
         return np.append(spread(error) * ratio + PENALTY * at[:-1], error.sum())
 
-    fitted = adam(gradient, np.zeros(size + 1), STEPS, RATE)
+    fitted = descend(gradient, np.zeros(size + 1), STEPS, RATE)
     return ToxicityModel(ratio * fitted[:-1], float(fitted[-1]) + prior)

@@ -5,6 +5,7 @@ import pytest
 from fixtures import LONG, clashing, no_docs, odd_docs
 from pyspark.sql import functions as F
 
+from estatespark.llm import toxicity
 from estatespark.llm.fitting import labelled_sample
 from estatespark.llm.hashed_text import Distinct, gram_codes, slices
 from estatespark.llm.quality_model import Features, OrdinalModel, fit_quality
@@ -38,8 +39,6 @@ def test_grams():
 
 
 def test_grams_of_sliced_texts(monkeypatch):
-    from estatespark.llm import toxicity
-
     whole = set(Grams()(LONG.encode()).tolist())
     monkeypatch.setattr(toxicity, "SLICE", 1000)
     assert set(toxicity.Grams()(LONG.encode()).tolist()) == whole and max(GRAMS) == 5 and BITS == 18
@@ -52,6 +51,32 @@ def test_toxicity_on_held_out_texts(spark):
     assert all((r.score >= 0.7) == (r.toxic == 1) for r in scored)
 
 
+def test_toxicity_fit_as_plain_matrices(spark):
+    docs, labels = corpus(spark, 120)
+    model = fit_toxicity(docs, labels)
+    label = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = docs.collect()
+    y = np.array([label[r.doc_id] for r in rows], float)
+    x = np.zeros((len(rows), 1 << BITS))
+    for i, r in enumerate(rows):
+        padded = f" {r.text.lower()} ".encode()
+        x[i, np.unique(gram_codes(np.frombuffer(padded, np.uint8), GRAMS, BITS))] = 1
+    toxic, clean = y @ x, (1 - y) @ x
+    ratio = np.log((toxic + 1) / (y.sum() + 2)) - np.log((clean + 1) / ((1 - y).sum() + 2))
+    # Every gram is scaled by its own ratio, however small that is.
+    scaled, mass = x * ratio, np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    at, pace = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    for _ in range(toxicity.STEPS):
+        ahead = at + 0.9 * pace
+        error = (1 / (1 + np.exp(-(scaled @ ahead[:-1] + ahead[-1]))) - y) * mass
+        pace = 0.9 * pace - toxicity.RATE * np.append(error @ scaled + toxicity.PENALTY * ahead[:-1], error.sum())
+        at += pace
+    np.testing.assert_allclose(model.weights, ratio * at[:-1], atol=1e-9)
+    assert model.intercept == pytest.approx(at[-1] + np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
+    small = np.flatnonzero((np.abs(ratio) < 1) & (np.abs(ratio) > 1e-9) & (x.sum(axis=0) > 0))
+    assert len(small) and (model.weights[small] != 0).all()
+
+
 def test_toxicity_of_odd_rows(spark):
     docs, labels = corpus(spark, 200)
     model = fit_toxicity(docs, clashing(labels.union(spark.createDataFrame([(None, 1, 1), (7, 1, None), (99999, 1, 1)], LABELS)), "key", "text"))
