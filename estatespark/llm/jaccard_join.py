@@ -284,38 +284,84 @@ def _linked(pairs: DataFrame, classes: DataFrame, sets: Callable, percent: int,
     return links
 
 
-def _paired(low: int, high: int, percent: int) -> Callable:
-    """(u, v) of rows of one (token, block) whose ranks are `low` to `high` apart. Rows come sorted by token, block and rank.
+def _needed_shared(total: np.ndarray, percent: int) -> np.ndarray:
+    return (total * percent + (99 + percent)) // (100 + percent)
 
-    A block holds all ranks from its first to its last row, so distance in rank is distance in place. What is held is one block.
+
+def _good(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of rows (class, size, place, before, root) of one shingle may link and meet here first."""
+    (_, size_a, place_a, before_a, root_a), (_, size_b, place_b, before_b, root_b) = a, b
+    needed = _needed_shared(size_a + size_b, percent)
+    # Where both have the same shingle before this one, the pair has met there.
+    good = (root_a != root_b) & ((before_a != before_b) | (before_a == 0))
+    return good & (size_a - place_a >= needed) & (size_b - place_b >= needed)
+
+
+def _given(held: list[np.ndarray]) -> pa.RecordBatch:
+    found = np.unique(np.concatenate(held, axis=1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
+
+
+def _collected(pairs: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) in batches, the smaller class first."""
+    held, count = [], 0
+    for found in pairs:
+        held.append(np.sort(found, axis=0))
+        count += found.shape[1]
+        if count > PAIR_CHUNK:
+            yield _given(held)
+            held, count = [], 0
+    if count:
+        yield _given(held)
+
+
+def _near_pairs(low: int, high: int, percent: int) -> Callable:
+    """Pairs of rows of one (token, block) whose ranks are `low` to `high` apart, all blocks at once.
+
+    A block holds all ranks from its first to its last row, so distance in rank is distance in place.
     """
 
-    def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, block, key, size, place, before, root, own = columns
+    def pairs(columns: list[np.ndarray]) -> Iterator[np.ndarray]:
+        token, block, *values, own = columns
         starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])])
         lengths = np.diff(np.r_[starts, len(token)])
         behind = np.repeat(starts + lengths, lengths) - np.arange(len(token)) - 1
-        held, count = [], 0
         for step in range(low, min(high, int(lengths.max()) - 1) + 1):
             a = np.flatnonzero(behind >= step)
             b = a + step
-            total = size[a] + size[b]
-            needed = (total * percent + (99 + percent)) // (100 + percent)
-            # Where both have the same shingle before this one, the pair has met there.
-            good = own[b] & (root[a] != root[b]) & ((before[a] != before[b]) | (before[a] == 0))
-            good &= (size[a] - place[a] >= needed) & (size[b] - place[b] >= needed)
-            u, v = key[a[good]], key[b[good]]
-            held.append(np.stack([np.minimum(u, v), np.maximum(u, v)]))
-            count += len(u)
-            if count > PAIR_CHUNK:
-                yield give(held)
-                held, count = [], 0
-        if count:
-            yield give(held)
-
-    def give(held: list[np.ndarray]) -> pa.RecordBatch:
-        found = np.unique(np.concatenate(held, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
+            good = own[b] & _good([v[a] for v in values], [v[b] for v in values], percent)
+            yield np.stack([values[0][a[good]], values[0][b[good]]])
+
+    return pairs
+
+
+def _far_pairs(low: int, high: int, percent: int) -> Callable:
+    """Pairs of rows of two blocks of one token whose ranks are `low` to `high` apart.
+
+    `block` names both, the left one in the upper half; `own` tells the left one's rows. Both hold LEAST_BLOCK ranks at most, without
+    gaps, so what a pair of blocks takes is bounded for any window.
+    """
+
+    def pairs(columns: list[np.ndarray]) -> Iterator[np.ndarray]:
+        token, block, *values, own = columns
+        starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])])
+        for start, end in zip(starts, np.r_[starts[1:], len(token)]):
+            between = (int(block[start] & 0xFFFFFFFF) - int(block[start] >> 32)) * LEAST_BLOCK
+            left = [v[start:end][own[start:end]] for v in values]
+            right = [v[start:end][~own[start:end]] for v in values] if between else left
+            n, m = len(left[0]), len(right[0])
+            for distance in range(max(low, between - n + 1), min(high, between + m - 1) + 1):
+                first, last = max(0, between - distance), min(n, between + m - distance)
+                a = [v[first:last] for v in left]
+                b = [v[first + distance - between : last + distance - between] for v in right]
+                good = _good(a, b, percent)
+                yield np.stack([a[0][good], b[0][good]])
+
+    return pairs
+
+
+def _by_block(pairs: Callable) -> Callable:
+    """Applies `pairs` to whole blocks of rows, which come sorted by token, block and rank. What is held is one block."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         open_block: list[list[np.ndarray]] = []
@@ -334,14 +380,37 @@ def _paired(low: int, high: int, percent: int) -> Callable:
                 columns = [np.concatenate([o, c]) for o, c in zip(whole, columns)]
                 cut += len(whole[0])
             if cut:
-                yield from pairs([c[:cut] for c in columns])
+                yield from _collected(pairs([c[:cut] for c in columns]))
             open_block.append([c[cut:] for c in columns])
         if open_block:
-            yield from pairs([np.concatenate(c) for c in zip(*open_block)])
+            yield from _collected(pairs([np.concatenate(c) for c in zip(*open_block)]))
 
     return run
 
 
+def _near_blocks(active: DataFrame, high: int) -> DataFrame:
+    """Postings in blocks of LEAST_BLOCK ranks, each with as many ranks of the block before as the window reaches back."""
+    block = F.floor(F.col("rank") / LEAST_BLOCK)
+    reaches = (F.col("rank") % LEAST_BLOCK >= LEAST_BLOCK - high) & ((block + 1) * LEAST_BLOCK <= F.col("last"))
+    dealt = active.withColumn("own", F.explode(F.when(reaches, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    return dealt.withColumn("block", F.when(F.col("own"), block).otherwise(block + 1))
+
+
+def _far_blocks(active: DataFrame, low: int, high: int) -> DataFrame:
+    """Postings in every pair of blocks of LEAST_BLOCK ranks that the window joins."""
+    nearest, farthest = max(0, -(-(low + 1) // LEAST_BLOCK) - 1), (high - 1) // LEAST_BLOCK + 1
+    own, last = F.floor(F.col("rank") / LEAST_BLOCK), F.floor(F.col("last") / LEAST_BLOCK)
+    left = F.transform(
+        F.filter(F.sequence(F.lit(nearest), F.lit(farthest)), lambda k: own + k <= last),
+        lambda k: F.struct((F.shiftleft(own, 32) + own + k).alias("block"), F.lit(True).alias("own")),
+    )
+    right = F.transform(
+        F.filter(F.sequence(F.lit(max(1, nearest)), F.lit(max(1, farthest))), lambda k: own - k >= 0),
+        lambda k: F.struct((F.shiftleft(own - k, 32) + own).alias("block"), F.lit(False).alias("own")),
+    )
+    return active.select("*", F.inline(F.concat(left, right)))
+
+
 def _candidates(postings: DataFrame, stars: DataFrame | None, low: int, high: int, percent: int, scratch: Scratch) -> DataFrame | None:
     """(u, v) of classes in different components whose postings of some shingle lie `low` to `high` ranks apart; None when no
     shingle reaches as far with postings of different components.
@@ -355,16 +424,14 @@ def _candidates(postings: DataFrame, stars: DataFrame | None, low: int, high: in
     active = scratch.write(active.join(tokens.hint("merge"), "token"), "active")
     if active.isEmpty():
         return None
-    # A shingle's postings are dealt to blocks of ranks, each with as many ranks of the block before as the window reaches back.
-    # A block is bounded, so no shingle is hot.
-    width = max(4 * high, LEAST_BLOCK)
-    block = F.floor(F.col("rank") / width)
-    reaches = (F.col("rank") % width >= width - high) & ((block + 1) * width <= F.col("last"))
-    dealt = active.withColumn("own", F.explode(F.when(reaches, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
-    dealt = dealt.withColumn("block", F.when(F.col("own"), block).otherwise(block + 1))
+    # A shingle's postings are dealt to blocks of ranks, and beyond a quarter of a block to pairs of blocks. Both are bounded for any
+    # window, so no shingle is hot.
+    near = 4 * high <= LEAST_BLOCK
+    dealt = _near_blocks(active, high) if near else _far_blocks(active, low, high)
     dealt = dealt.repartition("token", "block").sortWithinPartitions("token", "block", "rank")
     met = dealt.select("token", "block", "class", "n", "place", "before", "root", "own")
-    pairs = scratch.write(met.mapInArrow(_paired(low, high, percent), "u bigint, v bigint").distinct(), "pairs")
+    paired = _by_block((_near_pairs if near else _far_pairs)(low, high, percent))
+    pairs = scratch.write(met.mapInArrow(paired, "u bigint, v bigint").distinct(), "pairs")
     scratch.drop(active)
     return pairs
 

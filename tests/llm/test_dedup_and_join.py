@@ -1,10 +1,12 @@
 import collections
 import hashlib
+import random
 
 import pytest
 from fixtures import DOCS, LONG, clashing, near_copies, no_docs, odd_docs, odd_rows
 from pyspark.sql import functions as F
 
+from estatespark.llm import jaccard_join
 from estatespark.llm.common import Scratch
 from estatespark.llm.components import components
 from estatespark.llm.exact_dedup import PatriciaTrie, common_length, drop_copies, mark_copies
@@ -122,6 +124,27 @@ def test_large_group_of_near_copies(spark):
     assert {r.component_id for r in found} == {0}
 
 
+@pytest.mark.parametrize("percent, seed", [(70, 0), (80, 1), (100, 2)])
+def test_far_pairs_of_blocks_as_brute_force(spark, monkeypatch, percent, seed):
+    """Few words in many texts: each is in the prefixes of texts that mostly do not link, so every window is looked at."""
+    monkeypatch.setattr(jaccard_join, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "FIRST_WINDOW", 1)
+    monkeypatch.setattr(jaccard_join, "WINDOW_GROWTH", 3)
+    blocks, far = [], jaccard_join._far_blocks
+
+    def watched(active, low, high):
+        dealt = far(active, low, high)
+        blocks.extend(r["count"] for r in dealt.groupBy("token", "block").count().collect())
+        return dealt
+
+    monkeypatch.setattr(jaccard_join, "_far_blocks", watched)
+    draw = random.Random(seed)
+    rows = [(i, " ".join(draw.sample([f"w{j}" for j in range(22)], 8))) for i in range(220)]
+    found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=1, percent=percent).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, 1, percent)
+    assert blocks and max(blocks) <= 2 * 16
+
+
 def test_graph_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (200, 100)] + [(300, x) for x in range(301, 340)]
     links = spark.createDataFrame(edges, "u long, v long")
@@ -133,8 +156,6 @@ def test_counts_of_very_common_shingles_are_whole():
     import numpy as np
     import pyarrow as pa
 
-    from estatespark.llm import jaccard_join
-
     batch = pa.RecordBatch.from_pydict({"text": ["one two three four"] * 70_000})
     (counted,) = jaccard_join._counts(4)(iter([batch]))
     largest = max(np.frombuffer(c, np.int64).max() for c in counted.column(1).to_pylist())
