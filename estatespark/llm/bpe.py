@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import sys
+import threading
 from array import array
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -32,11 +33,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WHITE_SPACE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-# Bytes that a task's caches may take, the entries in use; as much again for those of the time before.
-CHUNK_CACHE, PIECE_CACHE = 40 << 20, 8 << 20
+# Bytes that a worker's caches may take, the entries in use; as much again for those of the time before.
+CHUNK_CACHE, PIECE_CACHE = 40 << 20, 12 << 20
 # What an entry takes besides its key's and value's own bytes, and what a pair of tokens takes.
 ENTRY, PAIR_ENTRY = 190, 220
-PAIR_CACHE = 8 << 20
+PAIR_CACHE = 48 << 20
+# Seconds after a task in which the next one of its stage takes over the caches; then they are emptied.
+IDLE_SECONDS = 5.0
 
 
 def byte_symbols() -> dict[str, int]:
@@ -242,16 +245,20 @@ class Encoder:
 
 @contextmanager
 def encoder_for(content: str) -> Iterator[Encoder]:
-    """The worker's encoder for a file's content. The vocabulary is kept for the next task, the caches end with this one."""
+    """The worker's encoder for a file's content. The tasks of a stage share its caches, which end soon after the last one."""
     # Tasks get this module by value, so what outlives a task is held by a module of the worker's own.
     held = sys.modules.setdefault("estatespark_worker", ModuleType("estatespark_worker")).__dict__
+    if "emptying" in held:
+        held["emptying"].cancel()
     key = hashlib.sha256(content.encode()).hexdigest()
     if held.get("encoder_key") != key:
         held["encoder"], held["encoder_key"] = Encoder(content), key
     try:
         yield held["encoder"]
     finally:
-        held["encoder"].forget()
+        held["emptying"] = threading.Timer(IDLE_SECONDS, held["encoder"].forget)
+        held["emptying"].daemon = True
+        held["emptying"].start()
 
 
 def _vocabulary_file(spark, path: str):
