@@ -1,11 +1,13 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
 from fixtures import clashing, no_docs, odd_docs
 from tokenizers import Tokenizer
 
+from estatespark.llm import bpe
 from estatespark.llm.bpe import Encoder, decode_ids, encode_texts, token_digests
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +47,28 @@ def test_ids_that_are_no_text(encoder, public):
         assert encoder.decode(ids) == public.decode(ids, skip_special_tokens=False)
 
 
+def test_caches_are_shared_and_end(monkeypatch):
+    monkeypatch.setattr(bpe, "IDLE_SECONDS", 0.3)
+    with open(PATH, encoding="utf-8") as file:
+        content = file.read()
+    with bpe.encoder_for(content) as first:
+        ids = first.encode("hello there zebra crossing").tolist()
+    held = len(first.spaced)
+    with bpe.encoder_for(content) as second:
+        assert second is first and len(first.spaced) == held > 0
+    time.sleep(1.0)
+    assert not first.spaced and not first.pieces and not first.vocabulary._pairs
+    assert first.encode("hello there zebra crossing").tolist() == ids
+
+
+def test_caches_are_bounded_in_bytes():
+    made = bpe.Bounded(lambda key: key.encode() * 4, 20_000)
+    for i in range(5000):
+        assert made[f"key {i}"] == f"key {i}".encode() * 4
+        assert made.held <= 20_000 + 300 and len(made.older) <= 20_000 // bpe.ENTRY + 2
+    assert made["x" * 100] and "x" * 100 not in made
+
+
 def test_round_trip_and_odd_rows(spark):
     docs = clashing(odd_docs(spark), "ids", "value", "row")
     encoded = encode_texts(docs, PATH)
