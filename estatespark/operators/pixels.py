@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,40 +52,56 @@ def with_geometry(df: DataFrame, target: int | None = 128, im_size: tuple[int, i
     return df.withColumns({name: F.lit(value).cast("bigint") for name, value in fixed.items()})
 
 
-def bilinear(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """(h, w, c) resampled to (height, width, c) between pixel centres."""
+@lru_cache(maxsize=4096)
+def _weights(old: int, new: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbours and share of the second one, of the new pixels from `first` up to `last`."""
+    centre = np.clip((np.arange(first, last) + 0.5) * (old / new) - 0.5, 0, old - 1)
+    low = np.floor(centre).astype(int)
+    return low, np.minimum(low + 1, old - 1), centre - low
 
-    def weights(old: int, new: int):
-        centre = np.clip((np.arange(new) + 0.5) * (old / new) - 0.5, 0, old - 1)
-        low = np.floor(centre).astype(int)
-        return low, np.minimum(low + 1, old - 1), centre - low
 
-    top, bottom, down = weights(pixels.shape[0], height)
-    left, right, across = weights(pixels.shape[1], width)
+def bilinear(
+    pixels: np.ndarray, height: int, width: int, rows: tuple[int, int] | None = None, columns: tuple[int, int] | None = None
+) -> np.ndarray:
+    """(..., h, w, c) resampled to (..., height, width, c) between pixel centres, or to the `rows` and `columns` of that alone."""
+    top, bottom, down = _weights(pixels.shape[-3], height, *(rows or (0, height)))
+    left, right, across = _weights(pixels.shape[-2], width, *(columns or (0, width)))
     across, down = across[None, :, None], down[:, None, None]
-    upper = pixels[top][:, left] * (1 - across) + pixels[top][:, right] * across
-    lower = pixels[bottom][:, left] * (1 - across) + pixels[bottom][:, right] * across
-    return upper * (1 - down) + lower * down
+
+    def between(line: np.ndarray) -> np.ndarray:
+        taken = pixels[..., line, :, :]
+        return taken[..., left, :] * (1 - across) + taken[..., right, :] * across
+
+    return between(top) * (1 - down) + between(bottom) * down
 
 
 def rgb(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     """Rows of pixels as Spark's image source stores them (grey, or blue-green-red with an optional alpha)."""
-    pixels = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
-    return np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[:, :, 2::-1]
+    return _rgb(np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels))
+
+
+def _rgb(pixels: np.ndarray) -> np.ndarray:
+    return np.repeat(pixels, 3, axis=-1) if pixels.shape[-1] == 1 else pixels[..., 2::-1]
 
 
 def normalise(pixels: np.ndarray) -> np.ndarray:
     return (pixels / 255.0 - np.asarray(CHANNEL_MEAN)) / np.asarray(CHANNEL_STD)
 
 
-def _cut(pixels: np.ndarray, row) -> np.ndarray:
-    resized = bilinear(pixels.astype(np.float64), int(row.new_height), int(row.new_width))
-    left, top, right, bottom = (int(row.pad_left), int(row.pad_top), int(row.pad_right), int(row.pad_bottom))
+# Height, width, channels, then the columns of `with_geometry`: photos with the same ones are resized together.
+SHAPE = ("height", "width", "n_channels", "new_height", "new_width", "pad_left", "pad_top", "pad_right", "pad_bottom")
+# Numbers that are worked on at once.
+NUMBERS_AT_ONCE = 2_000_000
+
+
+def _cut(pixels: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """(n, h, w, c) of one shape at the target size. Only what stays inside the square is resampled."""
+    new_height, new_width, left, top, right, bottom = shape[3:]
+    rows, columns = (max(-top, 0), new_height - max(-bottom, 0)), (max(-left, 0), new_width - max(-right, 0))
+    resized = bilinear(pixels.astype(np.float64), new_height, new_width, rows, columns)
     # A margin of one pixel can be positive after rounding.
-    resized = np.pad(
-        resized, ((max(top, 0), max(bottom, 0)), (max(left, 0), max(right, 0)), (0, 0)), constant_values=PADDING
-    )
-    return resized[max(-top, 0) : resized.shape[0] - max(-bottom, 0), max(-left, 0) : resized.shape[1] - max(-right, 0)]
+    margins = ((0, 0), (max(top, 0), max(bottom, 0)), (max(left, 0), max(right, 0)), (0, 0))
+    return np.pad(resized, margins, constant_values=PADDING) if any(map(any, margins)) else resized
 
 
 def resize_photos(
@@ -101,18 +119,35 @@ def resize_photos(
     )
     names = [f.name for f in passed]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def resized(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        shapes = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in SHAPE], axis=1).astype(np.int64)
+        data = batch.column("data")
+        kinds, kind = np.unique(shapes, axis=0, return_inverse=True)
+        order = np.argsort(kind.ravel(), kind="stable")
+        ends = np.cumsum(np.bincount(kind.ravel(), minlength=len(kinds)))
+        for shape, places in zip(map(tuple, kinds.tolist()), np.split(order, ends[:-1])):
+            height, width, channels = shape[:3]
+            most = max(1, NUMBERS_AT_ONCE // max(1, height * width * 3, shape[3] * shape[4] * 3))
+            for start in range(0, len(places), most):
+                chosen = pa.array(places[start : start + most])
+                raw = b"".join(v.as_py() for v in data.take(chosen))
+                photos = _rgb(np.frombuffer(raw, dtype=np.uint8).reshape(len(chosen), height, width, channels))
+                out = np.floor(_cut(photos, shape) + 0.5)
+                flat = (normalise(out).astype(np.float32) if norm_image else out.astype(np.int16)).reshape(len(out), -1)
+                offsets = np.arange(len(out) + 1, dtype=np.int32) * flat.shape[1]
+                sides = [pa.array(np.full(len(out), side, np.int32)) for side in out.shape[1:3]]
+                kept = [batch.column(n).take(chosen) for n in names]
+                yield pa.RecordBatch.from_arrays([*kept, *sides, pa.ListArray.from_arrays(offsets, flat.ravel())], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = []
-            for row in batch.itertuples(index=False):
-                out = np.floor(_cut(rgb(row.data, row.height, row.width, row.n_channels), row) + 0.5)
-                flat = (normalise(out).astype(np.float32) if norm_image else out.astype(np.int16)).ravel()
-                done.append((*[getattr(row, n) for n in names], out.shape[0], out.shape[1], flat))
-            yield pd.DataFrame(done, columns=schema.names)
+            if batch.num_rows:
+                # Photos of rare shapes would be batches of their own, each with the cost of one.
+                yield from pa.Table.from_batches(resized(batch)).combine_chunks().to_batches(max_chunksize=1000)
 
     with_size = with_geometry(images, target, im_size)
     # Arrow batches are bounded in bytes by the session (64 MB by default), whatever the photo size.
-    return with_size.mapInPandas(run, schema)
+    return with_size.mapInArrow(run, schema)
 
 
 def colour_summary() -> Callable[[np.ndarray], np.ndarray]:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import sys
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from estatespark.config import RunConfig
 from estatespark.operators import pixels
@@ -30,8 +30,14 @@ DRAWN = """drawn as (select p_partkey as photo_no, p_partkey%500 as listing_id,
 PIXEL = "((photo_no*7+{x}*3+{y}*5+(2-c)*11)%256)"
 
 
+# Photos that one task draws.
+DRAWN_AT_ONCE = 20_000
+
+
 def drawn_photos(spark, sf):
-    rows = table(spark, sf, "part").select(
+    parts = table(spark, sf, "part").select("p_partkey", "p_size")
+    # A small file is one task's, but the photos drawn from it are much work. They are drawn where `data` is wanted.
+    rows = parts.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(parts.count() / DRAWN_AT_ONCE))).select(
         F.col("p_partkey").alias("photo_no"),
         (F.col("p_partkey") % 500).alias("listing_id"),
         F.when(F.col("p_partkey") % 5 == 0, "test").otherwise("train").alias("split"),
@@ -40,15 +46,15 @@ def drawn_photos(spark, sf):
         F.lit(3).alias("n_channels"),
     )
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            data = []
-            for row in batch.itertuples(index=False):
-                y, x, c = np.ogrid[: row.height, : row.width, :3]
-                data.append(((row.photo_no * 7 + x * 3 + y * 5 + c * 11) % 256).astype(np.uint8).tobytes())
-            yield batch.assign(data=data)
+    def draw(number: pa.Array, height: pa.Array, width: pa.Array) -> pa.Array:
+        y, x, c = np.ogrid[: pc.max(height).as_py() or 0, : pc.max(width).as_py() or 0, :3]
+        # Bytes overflow as the rest modulo 256 does.
+        shades, drawn = (x * 3 + y * 5 + c * 11).astype(np.uint8), []
+        for n, h, w in zip(number.to_pylist(), height.to_pylist(), width.to_pylist()):
+            drawn.append((shades[:h, :w] + np.uint8(n * 7 % 256)).tobytes())
+        return pa.array(drawn, pa.binary())
 
-    return rows.mapInPandas(draw, T.StructType([*rows.schema.fields, T.StructField("data", T.BinaryType())]))
+    return rows.withColumn("data", F.arrow_udf(draw, "binary")("photo_no", "height", "width"))
 
 
 _PATHS = """paths as (select photo_no, '/photos/'||split||case when photo_no%17=0 then '/' else '/ann_'||cast(listing_id as varchar)||'/' end

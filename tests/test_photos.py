@@ -13,6 +13,7 @@ from estatespark.operators import pixels, projections, sequences
 from estatespark.plans import image_features
 from estatespark.plans.network_inputs import photo_file_inputs, photo_pixel_inputs
 from estatespark.sources import photos, sinks
+from estatespark.verification.photos import drawn_photos
 
 
 def png(array: np.ndarray) -> bytes:
@@ -213,3 +214,18 @@ def test_a_hot_listing_is_capped_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("listing_id"), F.col("id").alias("name"))
     plan = sequences.first_photos(df, "name")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_photos_drawn_from_one_file_are_resized_in_many_tasks(spark, tmp_path):
+    rows = [(i, i % 23) for i in range(40)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    drawn = drawn_photos(spark, str(tmp_path))
+    resized = pixels.resize_photos(drawn, 6)
+    tasks = resized.select("photo_no", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.photo_no for r in tasks) == [i for i, _ in rows] and len({r.task for r in tasks}) > 1
+    # Photos of one shape are resized together, with the same result as alone.
+    together = {r.photo_no: r.pixels for r in resized.unionByName(resized).collect()}
+    for row in drawn.collect():
+        width, height = row.width, row.height
+        pixel = np.array([[[(row.photo_no * 7 + x * 3 + y * 5 + (2 - c) * 11) % 256 for c in range(3)] for x in range(width)] for y in range(height)])
+        assert np.abs(np.array(together[row.photo_no]).reshape(6, 6, 3) - expected_cut(pixel.astype(float), 6)).max() <= 0.5 + 1e-9
