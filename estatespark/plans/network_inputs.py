@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from estatespark.config import RunConfig
 from estatespark.operators import encoding, pixels, projections, pseudo_labels, quantile_map, sequences, splits
 from estatespark.schema import IS_TEST, KEY, TARGET
-from estatespark.session import as_table, fresh_path
+from estatespark.session import as_table, fresh_path, joinable
 from estatespark.sources import photos
 
 
@@ -69,7 +69,8 @@ def photo_pixel_inputs(images: DataFrame, split: str, config: RunConfig = RunCon
     """
     names = images.select(KEY, "split", order)
     chosen = sequences.first_photos(sequences.photo_fallback(names, split), order)
-    kept = images.join(chosen, [KEY, "split", order])
+    # While the choice is small the photos stay where they are.
+    kept = images.join(joinable(as_table(chosen, "chosen-photos")), [KEY, "split", order])
     return _padded(pixels.resize_photos(kept, config.target_size, config.im_size, config.norm_image), config)
 
 
