@@ -1,11 +1,14 @@
 """Trees grown in blocks, against the library's own boosting and plain medians."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
+from estatespark import session
 from estatespark.config import RunConfig, config_from_mapping
 from estatespark.functions import quantiles
 from estatespark.functions.quantiles import medians_by_group
@@ -147,3 +150,19 @@ def test_loss_functions_of_run_files():
         config_from_mapping({"loss_function": "RMSE"})
     with pytest.raises(ValueError):
         RunConfig(leaf_values="mode")
+
+
+def test_no_tree_is_walked_again_where_leaves_hold_medians(data, monkeypatch, spark):
+    fit, held, _, _ = data
+    seen, own = [], boosting.grow
+
+    def grow(current, number, *rest):
+        seen.append(current._jdf.queryExecution().optimizedPlan().toString().count("UDF("))
+        return own(current, number, *rest)
+
+    monkeypatch.setattr(boosting, "grow", grow)
+    with session.run_folder(spark) as folder:
+        trees, errors = fit_boosted(fit, held, RunConfig(iterations=4, max_depth=2, learning_rate=0.5, leaf_values="median"))
+        kept = [name for name in os.listdir(folder.removeprefix("file:")) if name.startswith("leaves-")]
+        assert trees.evaluate_each(held) == pytest.approx(errors[: trees.getNumTrees], abs=1e-9)
+    assert seen == [0] * 4 and len(errors) == 4 and len(kept) == 1
