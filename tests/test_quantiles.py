@@ -132,3 +132,12 @@ def test_constant_and_empty_columns(spark):
     rows = spark.createDataFrame([(2.0, 1.0), (3.0, None), (4.0, None), (None, None)], "x double, y double")
     assert [r["x"] for r in fitted.transform(rows, fill=False).collect()] == [0.0, 0.0, 1.0, None]
     assert all(r["y"] is None for r in fitted.transform(rows, fill=False).collect())
+
+
+def test_price_rows_that_are_read_several_times_come_from_a_narrow_table(spark):
+    from estatespark.verification import tabular
+
+    rows = tabular._written_price_rows(spark, "/root/testdata/sf0.001")
+    plain = tabular._price_rows(spark, "/root/testdata/sf0.001")
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.schema == plain.schema and rows.exceptAll(plain).isEmpty() and plain.exceptAll(rows).isEmpty()
