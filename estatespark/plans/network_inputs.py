@@ -35,8 +35,9 @@ def network_inputs(listings: DataFrame, config: RunConfig = RunConfig(), labels:
         fitted = quantile_map.fit_quantile_map(
             listings.where(~F.col(IS_TEST)), n_quantiles=config.n_quantiles, output=config.quantile_transform
         )
-    prepared = as_table(projections.prepare(listings, fitted, config.clip_rooms), "prepared")
-    prepared = prepared.withColumn("split", splits.split_name(config.valid_size, config.seed))
+    prepared = projections.prepare(listings, fitted, config.clip_rooms)
+    # The split's hash is drawn once, not at each of the reads below.
+    prepared = as_table(prepared.withColumn("split", splits.split_name(config.valid_size, config.seed)), "prepared")
     if labels is not None:
         test = prepared.where(F.col(IS_TEST))
         more = pseudo_labels.append_pseudo_labels(prepared.limit(0), test, labels, config.uncertainty_level)
