@@ -10,7 +10,7 @@ from estatespark.functions import numeric
 from estatespark.operators import encoding, projections, quantile_map, splits, vectors
 from estatespark.plans.network_inputs import network_inputs, photo_inputs
 from estatespark.schema import CATEGORICAL, CONTINUOUS, QUANTILE_COLUMNS
-from estatespark.session import fresh_path
+from estatespark.session import as_table, fresh_path
 from estatespark.sources import sinks
 from estatespark.verification.registry import check, exploded, rounded
 from estatespark.verification.tabular import _PREPARED, BASE
@@ -77,8 +77,10 @@ def ordinal_encode_k(spark, sf):
 )
 def preprocessor(spark, sf):
     """Scaling and codes fitted on the cleaned fit rows, applied to all rows."""
-    prepared = _prepared(spark, sf)
-    fitted = encoding.fit_preprocessor(prepared.where(splits.is_fit()))
+    # Two fits and the transform read the rows, so those are joined and cleaned once.
+    rows = _prepared(spark, sf).select("listing_id", splits.is_fit().alias("is_fit"), *CONTINUOUS, *CATEGORICAL)
+    prepared = as_table(rows, "prepared")
+    fitted = encoding.fit_preprocessor(prepared.where("is_fit"))
     return rounded(fitted.transform(prepared).select("listing_id", *CONTINUOUS, *CATEGORICAL))
 
 
