@@ -29,15 +29,18 @@ def test_parts_are_drawn_before_rows_are_stacked(spark):
     assert counts.agg(F.sum("n")).first()[0] == 800
 
 
-def test_members_share_what_is_written(spark):
-    """A member's features are the shared slots and its own means, as the encoder gives them."""
+def test_own_parts_are_drawn_once_for_all_members(spark, monkeypatch):
+    """Written rows ask for a part's hash in one place, and hold the features that the encoder gives."""
+    plans, as_table = [], models.as_table
+    monkeypatch.setattr(models, "as_table", lambda df, label, partition_by=None: plans.append((label, optimized(df))) or as_table(df, label, partition_by))
     config = RunConfig(n_folds=2, one_hot_max_size=5)
     encoder, encoded = models._encoded(_rows(spark), ["price"], config, F.col("listing_id") % 5 == 0, ["a", "b"], True)
-    assert [f.name for f in encoded.schema.fields if f.dataType.typeName() in ("array", "udt")] == ["shared_slots", "means_0", "means_1"]
+    # The row's fold, and the fold and finer hash of its part.
+    assert dict(plans)["model-input"].count("md5") == 3
     known = models._labelled(_rows(spark), F.col("listing_id") % 5 == 0, config)
     own = F.when(~F.col("is_validation"), models.part_of(2, 0)).otherwise(-1)
     for member in range(2):
-        found = models._of_member(encoded, member).select("features", "is_validation", "fold").collect()
+        found = encoded.select(F.col(f"features_{member}").alias("features"), "is_validation", "fold").collect()
         wanted = encoder.attach(known).select(encoder.features(member, own).alias("features"), "is_validation", "fold").collect()
         key = lambda r: (r["features"].toArray().tolist(), r["is_validation"], r["fold"])
         assert len(found) == 400 and sorted(map(key, found)) == sorted(map(key, wanted))
