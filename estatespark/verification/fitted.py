@@ -146,7 +146,9 @@ def _normal(p: str) -> str:
 
 
 def _fitted_map(spark, sf, output, **options):
-    listings = projections.add_department(view(spark, sf, "listing"))
+    # The fit and the transform read the rows, so those are joined once.
+    rows = projections.add_department(view(spark, sf, "listing")).select("listing_id", "is_test", *QUANTILE_COLUMNS)
+    listings = as_table(rows, "listings")
     return listings, quantile_map.fit_quantile_map(listings.where("not is_test"), output=output, **options)
 
 
